@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as V
 from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.regex import SPACE, alternation, jvm_regex, strip
+from spanveil.functions.rules import gate
 from spanveil.functions.spans import MATCH, empty_of, find_gated, find_matches
 
-_PREFIX_HEAD = "(?:" + "|".join(V.ADDRESS_PREFIX_WORDS) + ")"
-PREFIX = jvm_regex(_PREFIX_HEAD + V.ADDRESS_PREFIX_TAIL, ignore_case=True)
-_PREFIX_GROUP = r"(?s)\A" + jvm_regex(
-    _PREFIX_HEAD + V.ADDRESS_PREFIX_TAIL.split("(?=")[0], ignore_case=True
-) + r"\z"
+_PREFIX_HEAD = alternation(V.ADDRESS_PREFIX_WORDS)
+PREFIX = _PREFIX_HEAD + jvm_regex(V.ADDRESS_PREFIX_TAIL, ignore_case=True)
+_PREFIX_GROUP = r"(?s)\A" + _PREFIX_HEAD + jvm_regex(V.ADDRESS_PREFIX_TAIL.split("(?=")[0]) + r"\z"
 
 # The repeated group of V.STREET_HEAD makes the JVM recurse per word and overflow
 # its stack on long texts.  Letters and white space up to the last word start
@@ -28,8 +27,8 @@ STREET = (
     )
     + alternation(V.STREET_WORDS)
 )
-UNIT = "(?iu)" + alternation(V.UNIT_WORDS) + jvm_regex(V.UNIT_TAIL, ignore_case=True)
-CITY = "(?iu)" + alternation(V.CITIES) + jvm_regex(V.CITY_TAIL, ignore_case=True)
+UNIT = alternation(V.UNIT_WORDS) + jvm_regex(V.UNIT_TAIL, ignore_case=True)
+CITY = alternation(V.CITIES) + jvm_regex(V.CITY_TAIL, ignore_case=True)
 
 
 def _has_good_length(text: Column) -> Column:
@@ -83,17 +82,21 @@ def units(text: Column) -> Column:
     return F.filter(found, lambda m: _has_good_length(m["text"]))
 
 
-def cities(text: Column) -> Column:
-    """A known city followed by a six-digit postal code."""
-    gate = text.rlike(r"[\p{IsWhite_Space}\x1c-\x1f,]\p{Nd}{6}")
+def cities(text: Column, digits: Column | None = None) -> Column:
+    """A known city followed by a six-digit postal code.
+
+    ``digits`` may give the outcome of the gate of that name.
+    """
+    long_enough = gate(text, "digits") if digits is None else digits
     return F.transform(
-        find_gated(text, CITY, gate), lambda m: _span(m["start"], m["end"], strip(m["text"]))
+        find_gated(text, CITY, long_enough & text.rlike(SPACE[:-1] + r",]\p{Nd}{6}")),
+        lambda m: _span(m["start"], m["end"], strip(m["text"])),
     )
 
 
-def address_candidates(text: Column) -> tuple[Column, Column]:
+def address_candidates(text: Column, digits: Column | None = None) -> tuple[Column, Column]:
     """(unconditional, conditional) candidates, each ``array<MATCH>``."""
-    return after_prefix(text), F.concat(streets(text), units(text), cities(text))
+    return after_prefix(text), F.concat(streets(text), units(text), cities(text, digits))
 
 
 def settle_addresses(unconditional: Column, conditional: Column) -> Column:

@@ -33,18 +33,23 @@ def jvm_regex(pattern: str, *, ignore_case: bool = False, edges: str = "") -> st
     return ("(?iu)" if ignore_case else "") + out
 
 
+# Letters that equal an ASCII letter when case is ignored, besides its other case.
+_EXTRA_CASES = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
 def alternation(words: list[str]) -> str:
-    """One group for a word list, branching on the first letter.
+    """A case-insensitive group for a word list, branching on the first letter.
 
     Words with different first letters exclude each other, so grouping by
-    letter keeps the outcome of trying the words in list order and spares the
-    engine a trial per word at every position of the text.
+    letter keeps the outcome of trying the words in list order.  The look-ahead
+    spares the engine a trial per word at every position of the text.
     """
     by_letter: dict[str, list[str]] = {}
     for word in words:
         by_letter.setdefault(word[0], []).append(word[1:])
+    first = "".join(x + x.upper() + _EXTRA_CASES.get(x, "") for x in by_letter)
     branches = [f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items()]
-    return f"(?=[{''.join(by_letter)}])(?:{'|'.join(branches)})"
+    return f"(?=[{first}])(?iu:{'|'.join(branches)})"
 
 
 def strip(text: Column) -> Column:

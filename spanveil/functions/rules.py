@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,41 +13,60 @@ from spanveil.functions.regex import digits_of, jvm_regex
 from spanveil.functions.spans import drop_repeats, find_gated
 
 
+# Cheap conditions on a text, shared by rules.  Each is looked at once per text.
+GATES: dict[str, Callable[[Column], Column]] = {
+    "at": lambda text: text.contains("@"),
+    "plus": lambda text: text.contains("+"),
+    "dash": lambda text: text.contains("-"),
+    "underscore": lambda text: text.contains("_"),
+    "digits": lambda text: text.rlike(r"\p{Nd}{4}"),
+}
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A JVM regex that never matches an empty string.
+
+    ``needs`` names the gate that every text with a match passes.
+    """
+
+    regex: str
+    needs: str | None = None
+
+
 @dataclass(frozen=True)
 class Rule:
     """One entity type found by patterns.
 
-    ``rank`` orders rules for ties, ``gate`` is a cheap condition that every
-    text with a match fulfils, ``keep`` is a further test of a match and
+    ``rank`` orders rules for ties, ``keep`` is a further test of a match and
     ``mask`` hides a value (else the default mask of the entity type is used).
-    ``patterns`` are JVM regexes that never match an empty string.
+    With ``distinct``, patterns that match at the same offsets count once.
     """
 
     entity_type: str
     rank: int
     confidence: float
-    patterns: tuple[str, ...]
-    gate: Callable[[Column], Column] | None = None
+    patterns: tuple[Pattern, ...]
     keep: Callable[[Column], Column] | None = None
     distinct: bool = False
     mask: Callable[[Column], Column] | None = None
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, text: Column, gates: Mapping[str, Column] | None = None) -> Column:
         """``array<struct<start,end,text>>``, pattern by pattern."""
-        gate = self.gate(text) if self.gate else None
-        lists = [find_gated(text, pattern, gate) for pattern in self.patterns]
+        lists = [find_gated(text, p.regex, gate(text, p.needs, gates)) for p in self.patterns]
         found = drop_repeats(lists) if self.distinct else F.concat(*lists)
         if self.keep is None:
             return found
         return F.filter(found, lambda m: self.keep(m["text"]))
 
 
-def _holds(piece: str) -> Callable[[Column], Column]:
-    return lambda text: text.contains(piece)
-
-
-def _has(regex: str) -> Callable[[Column], Column]:
-    return lambda text: text.rlike(regex)
+def gate(
+    text: Column, needs: str | None, gates: Mapping[str, Column] | None = None
+) -> Column | None:
+    """The condition for a gate name, taken from ``gates`` if it is there."""
+    if needs is None:
+        return None
+    return gates[needs] if gates and needs in gates else GATES[needs](text)
 
 
 def _is_upi(match: Column) -> Column:
@@ -63,39 +82,47 @@ def _starts(first: str, regex: str) -> str:
     return f"(?={first})" + regex
 
 
-# Nine digits in a row come with any match of the first phone pattern, a plus
-# sign with any match of the others.
-_PHONE_GATE = r"\p{Nd}{9}|\+\p{Nd}"
-_DIGIT = r"\p{Nd}"
+def _digits_first(pattern: str, edges: str = "()", ignore_case: bool = False) -> Pattern:
+    regex = jvm_regex(pattern, edges=edges, ignore_case=ignore_case)
+    return Pattern(_starts(r"\p{Nd}", regex), "digits")
+
+
+def _any_case(pattern: str, needs: str) -> Pattern:
+    return Pattern(jvm_regex(pattern, edges="()", ignore_case=True), needs)
+
 
 STRUCTURED_RULES = (
-    Rule("EMAIL", 1, 0.95, (jvm_regex(V.EMAIL),), gate=_holds("@")),
+    Rule("EMAIL", 1, 0.95, (Pattern(jvm_regex(V.EMAIL), "at"),)),
     Rule(
         "PHONE",
         2,
         0.90,
         (
-            _starts("[+0-9]", jvm_regex(V.PHONE_INDIAN_MOBILE, edges=")")),
-            jvm_regex(V.PHONE_INDIAN_SPACED),
-            jvm_regex(V.PHONE_INTERNATIONAL),
+            Pattern(_starts("[+0-9]", jvm_regex(V.PHONE_INDIAN_MOBILE, edges=")")), "digits"),
+            Pattern(jvm_regex(V.PHONE_INDIAN_SPACED), "plus"),
+            Pattern(jvm_regex(V.PHONE_INTERNATIONAL), "plus"),
         ),
-        gate=_has(_PHONE_GATE),
         distinct=True,
     ),
     Rule(
         "AADHAAR",
         3,
         0.98,
-        (_starts(_DIGIT, jvm_regex(V.AADHAAR, edges="()")),),
+        (_digits_first(V.AADHAAR),),
         keep=lambda m: F.length(digits_of(m)) == 12,
     ),
-    Rule("PAN", 4, 0.98, (_starts("[A-Z]{5}[0-9]", jvm_regex(V.PAN, edges="()")),)),
-    Rule("IP_ADDRESS", 5, 0.95, (_starts("[0-9]", jvm_regex(V.IP_ADDRESS, edges="()")),)),
+    Rule(
+        "PAN",
+        4,
+        0.98,
+        (Pattern(_starts("[A-Z]{5}[0-9]", jvm_regex(V.PAN, edges="()")), "digits"),),
+    ),
+    Rule("IP_ADDRESS", 5, 0.95, (Pattern(_starts("[0-9]", jvm_regex(V.IP_ADDRESS, edges="()"))),)),
     Rule(
         "CREDIT_CARD",
         6,
         0.85,
-        (_starts(_DIGIT, jvm_regex(V.CREDIT_CARD, edges="()")),),
+        (_digits_first(V.CREDIT_CARD),),
         keep=lambda m: F.length(digits_of(m)).between(13, 19),
     ),
     Rule(
@@ -103,36 +130,23 @@ STRUCTURED_RULES = (
         7,
         0.80,
         (
-            _starts(_DIGIT, jvm_regex(V.DATE_DAY_FIRST, edges="()")),
-            _starts(_DIGIT, jvm_regex(V.DATE_YEAR_FIRST, edges="()")),
-            _starts(_DIGIT, jvm_regex(V.DATE_MONTH_NAME, edges="()", ignore_case=True)),
+            _digits_first(V.DATE_DAY_FIRST),
+            _digits_first(V.DATE_YEAR_FIRST),
+            _digits_first(V.DATE_MONTH_NAME, ignore_case=True),
         ),
     ),
-    Rule("PASSPORT", 8, 0.90, (_starts(r"[A-Z]\p{Nd}", jvm_regex(V.PASSPORT, edges="()")),)),
-    Rule("BANK_ACCOUNT", 9, 0.85, (_starts(_DIGIT, jvm_regex(V.BANK_ACCOUNT, edges="()")),)),
-    Rule("IFSC", 10, 0.95, (_starts("[A-Z]{4}0", jvm_regex(V.IFSC, edges="()")),)),
-    Rule("UPI", 11, 0.90, (jvm_regex(V.UPI),), gate=_holds("@"), keep=_is_upi),
     Rule(
-        "DEVICE_ID",
-        12,
-        0.95,
-        (jvm_regex(V.DEVICE_ID, edges="()", ignore_case=True),),
-        gate=_holds("-"),
-    ),
-    Rule(
-        "FINGERPRINT",
-        13,
-        0.98,
-        (jvm_regex(V.FINGERPRINT, edges="()", ignore_case=True),),
-        gate=_holds("_"),
-    ),
-    Rule(
-        "FACE_TEMPLATE",
-        14,
-        0.98,
-        (jvm_regex(V.FACE_TEMPLATE, edges="()", ignore_case=True),),
-        gate=_holds("_"),
+        "PASSPORT",
+        8,
+        0.90,
+        (Pattern(_starts(r"[A-Z]\p{Nd}", jvm_regex(V.PASSPORT, edges="()")), "digits"),),
     ),
+    Rule("BANK_ACCOUNT", 9, 0.85, (_digits_first(V.BANK_ACCOUNT),)),
+    Rule("IFSC", 10, 0.95, (Pattern(_starts("[A-Z]{4}0", jvm_regex(V.IFSC, edges="()"))),)),
+    Rule("UPI", 11, 0.90, (Pattern(jvm_regex(V.UPI), "at"),), keep=_is_upi),
+    Rule("DEVICE_ID", 12, 0.95, (_any_case(V.DEVICE_ID, "dash"),)),
+    Rule("FINGERPRINT", 13, 0.98, (_any_case(V.FINGERPRINT, "underscore"),)),
+    Rule("FACE_TEMPLATE", 14, 0.98, (_any_case(V.FACE_TEMPLATE, "underscore"),)),
 )
 
 ADDRESS_RANK = 15
@@ -141,18 +155,12 @@ MODEL_RANK = 100
 
 # The basic profile: own names, certain about everything, overlaps stay.
 BASIC_RULES = (
-    Rule("email", 1, 1.0, (jvm_regex(V.EMAIL, ignore_case=True),), gate=_holds("@")),
-    Rule(
-        "phone",
-        2,
-        1.0,
-        (_starts("[+0-9]", jvm_regex(V.BASIC_PHONE)),),
-        gate=_has(r"\p{Nd}{5}"),
-    ),
-    Rule("aadhaar", 3, 1.0, (_starts(_DIGIT, jvm_regex(V.BASIC_AADHAAR, edges="()()")),)),
-    Rule("pan", 4, 1.0, (jvm_regex(V.PAN, edges="()", ignore_case=True),), gate=_has("[0-9]{4}")),
-    Rule("ip", 5, 1.0, (_starts("[0-9]", jvm_regex(V.BASIC_IP, edges="()")),)),
-    Rule("credit_card", 6, 1.0, (_starts(_DIGIT, jvm_regex(V.CREDIT_CARD, edges="()")),)),
+    Rule("email", 1, 1.0, (Pattern(jvm_regex(V.EMAIL, ignore_case=True), "at"),)),
+    Rule("phone", 2, 1.0, (Pattern(_starts("[+0-9]", jvm_regex(V.BASIC_PHONE)), "digits"),)),
+    Rule("aadhaar", 3, 1.0, (_digits_first(V.BASIC_AADHAAR, edges="()()"),)),
+    Rule("pan", 4, 1.0, (_any_case(V.PAN, "digits"),)),
+    Rule("ip", 5, 1.0, (Pattern(_starts("[0-9]", jvm_regex(V.BASIC_IP, edges="()"))),)),
+    Rule("credit_card", 6, 1.0, (_digits_first(V.CREDIT_CARD),)),
 )
 
 

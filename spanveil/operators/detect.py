@@ -6,7 +6,7 @@ without a hit costs one failing regex search per rule.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from spanveil.functions.rules import (
     ADDRESS_CONFIDENCE,
     ADDRESS_RANK,
     BASIC_RULES,
+    GATES,
     STRUCTURED_RULES,
     Rule,
 )
@@ -27,13 +28,24 @@ _MAYBE = "__maybe_addresses"
 _RAW = "__raw"
 
 
-def _ranked_matches(text: Column, rules: Iterable[Rule]) -> Column:
+def _ranked_matches(
+    text: Column, rules: Iterable[Rule], gates: Mapping[str, Column] | None = None
+) -> Column:
     ordered = sorted(rules, key=lambda r: r.rank)
     return F.concat(
-        *[ranked(r.matches(text), r.entity_type, r.rank, r.confidence) for r in ordered]
+        *[ranked(r.matches(text, gates), r.entity_type, r.rank, r.confidence) for r in ordered]
     )
 
 
+def _with_gates(
+    df: DataFrame, text: str, rules: Iterable[Rule]
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Add the gates of the rules as columns, so that each is looked at once per row."""
+    needed = sorted({p.needs for r in rules for p in r.patterns if p.needs} | {"digits"})
+    gated = df.withColumns({f"__gate_{name}": GATES[name](F.col(text)) for name in needed})
+    return gated, {name: F.col(f"__gate_{name}") for name in needed}
+
+
 def _with_raw(
     df: DataFrame,
     text: str,
@@ -42,20 +54,17 @@ def _with_raw(
     model_spans: str | None,
 ) -> DataFrame:
     """Add all ranked matches as ``_RAW``, rule by rule."""
-    column = F.col(text)
+    gated, gates = _with_gates(df, text, rules)
     parts = [F.col(_STRUCTURED)]
-    found = {_STRUCTURED: _ranked_matches(column, rules)}
+    found = {_STRUCTURED: _ranked_matches(F.col(text), rules, gates)}
     if addresses:
-        found[_SURE], found[_MAYBE] = address_candidates(column)
+        found[_SURE], found[_MAYBE] = address_candidates(F.col(text), gates["digits"])
         settled = settle_addresses(F.col(_SURE), F.col(_MAYBE))
         parts.append(ranked(settled, "ADDRESS", ADDRESS_RANK, ADDRESS_CONFIDENCE))
     if model_spans:
-        parts.append(F.coalesce(F.col(model_spans), F.array().cast(df.schema[model_spans].dataType)))
-    return (
-        df.withColumns(found)
-        .withColumn(_RAW, F.concat(*parts))
-        .drop(*found)
-    )
+        none = F.array().cast(df.schema[model_spans].dataType)
+        parts.append(F.coalesce(F.col(model_spans), none))
+    return gated.withColumns(found).withColumn(_RAW, F.concat(*parts))
 
 
 def detect_raw(
@@ -94,8 +103,9 @@ def detect(
 
 def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
     """The basic profile: six rules, sorted by start, overlaps left as they are."""
+    gated, gates = _with_gates(df, text, BASIC_RULES)
     keyed = F.transform(
-        _ranked_matches(F.col(text), BASIC_RULES),
+        _ranked_matches(F.col(text), BASIC_RULES, gates),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["rank"].alias("rank"),
@@ -103,7 +113,7 @@ def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections")
             *[s[c].alias(c) for c in ("entity_type", "text", "confidence", "detection_method")],
         ),
     )
-    return df.withColumn(out, plain(F.sort_array(keyed)))
+    return gated.select(*df.columns, plain(F.sort_array(keyed)).alias(out))
 
 
 def with_counts(
