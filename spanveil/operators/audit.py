@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import DETECTION  # noqa: F401  (schema of detection columns)
 from spanveil.operators.detect import detect, explode_detections
 
 # column -> type and default of what an action may leave out
@@ -126,7 +125,8 @@ def _file_event(processed: DataFrame, step: int, **columns: Column) -> list[Colu
             passed_on = name in ("ip_address", "user_agent") and name in processed.columns
             given[name] = F.col(name) if passed_on else F.lit(default)
         given[name] = given[name].cast(kind)
-    return [column.alias(name) for name, column in given.items()]
+    # One order of columns, so that the events of a file fit into one array.
+    return [given[name].alias(name) for name in sorted(given)]
 
 
 def _upload(processed: DataFrame) -> list[Column]:

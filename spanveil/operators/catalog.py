@@ -53,28 +53,31 @@ def process_files(
 ) -> DataFrame:
     """Detect and sanitize admitted files; one row per file with its outcome.
 
-    Needs file_id, filename, text, uploaded_by, created_at; a null text is a
-    file that could not be read and comes out as ``failed``.
+    Needs file_id, filename, text, uploaded_by, created_at and takes size and
+    hash from ``content`` if there is one, else from the text.  A null text is
+    a file that could not be read and comes out as ``failed``.
     """
     check_mode(mode, key)
     found = detect_with_counts(files, rules=rules)
     done = sanitize(found, mode=mode, key=key, rules=rules)
     failed = F.col("text").isNull()
-    return done.select(
-        *files.columns,
-        file_type_of(F.col("filename")).alias("file_type"),
-        F.octet_length("text").alias("file_size"),
-        content_hash(F.col("text")).alias("original_hash"),
-        F.when(~failed, content_hash(F.col("sanitized_text"))).alias("sanitized_hash"),
-        F.lit(mode).alias("anonymization_mode"),
-        F.when(failed, "failed").otherwise("completed").alias("status"),
-        F.when(failed, "no text could be read").alias("error_message"),
-        "detections",
-        "entity_counts",
-        "total_entities",
-        "sanitized_text",
-        (F.current_timestamp() if processed_at is None else processed_at).alias("processed_at"),
-    )
+    original = F.col("content" if "content" in files.columns else "text")
+    outcome = {
+        "file_type": file_type_of(F.col("filename")),
+        "file_size": F.octet_length(original),
+        "original_hash": content_hash(original),
+        "sanitized_hash": F.when(~failed, content_hash(F.col("sanitized_text"))),
+        "anonymization_mode": F.lit(mode),
+        "status": F.when(failed, "failed").otherwise("completed"),
+        "error_message": F.when(failed, "no text could be read"),
+        "detections": F.col("detections"),
+        "entity_counts": F.col("entity_counts"),
+        "total_entities": F.col("total_entities"),
+        "sanitized_text": F.col("sanitized_text"),
+        "processed_at": F.current_timestamp() if processed_at is None else processed_at,
+    }
+    kept = [c for c in files.columns if c not in outcome and c != "content"]
+    return done.select(*kept, *[column.alias(name) for name, column in outcome.items()])
 
 
 def catalog_rows(processed: DataFrame) -> DataFrame:

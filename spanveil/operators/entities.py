@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.fixed_values import MODEL_CONFIDENCE, MODEL_LABELS
 from spanveil.functions.regex import WORD
 from spanveil.functions.rules import MODEL_RANK
@@ -94,29 +95,33 @@ def with_listed_entities(
         _phrase(find_matches(F.col("name"), every_word)).alias("phrase"), "entity_type"
     ).distinct()
     hits = (
-        df.select(key, F.col(text), find_matches(F.col(text), every_word).alias("__words"))
-        .select(key, text, F.explode_outer(runs).alias("run"))
+        df.select(key, find_matches(F.col(text), every_word).alias("__words"))
+        .select(key, F.explode_outer(runs).alias("run"))
         .filter(F.col("run").isNotNull())
-        .select(key, "run.*", F.col(text).alias("__text"))
+        .select(key, "run.*")
+        .join(listed, "phrase")
     )
-    hits = hits.select(
-        key,
-        "start",
-        "end",
-        "phrase",
-        F.col("__text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
-    ).join(listed, "phrase")
-    span = F.struct(
-        F.col("start"),
-        (-F.col("end")).alias("neg_end"),
-        F.lit(MODEL_RANK).alias("rank"),
-        F.col("end"),
-        F.col("entity_type"),
-        F.col("text"),
-        F.lit(MODEL_CONFIDENCE).alias("confidence"),
-        F.lit("ner").alias("detection_method"),
+    found = hits.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "entity_type"))).alias("__found")
     )
-    spans = hits.groupBy(key).agg(F.sort_array(F.collect_list(span)).alias(out))
-    return df.join(spans, key, "left").withColumn(
-        out, F.coalesce(F.col(out), empty_of(RANKED))
+
+    def span(pages: Column, hit: Column) -> Column:
+        return F.struct(
+            hit["start"].alias("start"),
+            (-hit["end"]).alias("neg_end"),
+            F.lit(MODEL_RANK).alias("rank"),
+            hit["end"].alias("end"),
+            hit["entity_type"].alias("entity_type"),
+            cut(pages, hit["start"], hit["end"]).alias("text"),
+            F.lit(MODEL_CONFIDENCE).alias("confidence"),
+            F.lit("ner").alias("detection_method"),
+        )
+
+    # The texts are not carried along with the word runs; values are cut out at the end.
+    spans = let(
+        pages_of(F.col(text)),
+        lambda pages: F.transform(F.col("__found"), lambda hit: span(pages, hit)),
+    )
+    return df.join(found, key, "left").select(
+        *df.columns, F.coalesce(spans, empty_of(RANKED)).alias(out)
     )

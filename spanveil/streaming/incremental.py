@@ -7,22 +7,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanveil.operators.audit import log_lifecycle
 from spanveil.operators.catalog import catalog_rows, process_files
+from spanveil.sources.storage import write_sanitized
 
 
 def write_batch(files: DataFrame, users: DataFrame, folder: str, name: str, **options) -> None:
     """Write one batch of files as sanitized copies, catalog rows and audit rows.
 
     The processed rows are written first and read back for the other outputs,
-    so the texts are looked at once.  Every output of a batch has a folder of
-    its own that is overwritten: a batch that runs again after a failure
-    replaces what it left behind.
+    so the texts are looked at once.  They hold detected values, so their
+    folder is to be kept from readers of sanitized copies.  Every output of a
+    batch has a folder of its own that is overwritten: a batch that runs again
+    after a failure replaces what it left behind.
     """
     spark = files.sparkSession
-    sanitized = f"{folder}/sanitized/batch={name}"
-    process_files(files, **options).drop("text").write.mode("overwrite").parquet(sanitized)
-    done = spark.read.parquet(sanitized)
-    catalog_rows(done).write.mode("overwrite").parquet(f"{folder}/catalog/batch={name}")
-    log_lifecycle(done, users).write.mode("overwrite").parquet(f"{folder}/audit/batch={name}")
+
+    def target(output: str) -> str:
+        return f"{folder}/{output}/batch={name}"
+
+    processed = process_files(files, **options).drop("text")
+    processed.write.mode("overwrite").parquet(target("processed"))
+    done = spark.read.parquet(target("processed"))
+    write_sanitized(done, target("sanitized"), mode="overwrite")
+    catalog_rows(done).write.mode("overwrite").parquet(target("catalog"))
+    log_lifecycle(done, users).write.mode("overwrite").parquet(target("audit"))
 
 
 def start_incremental(
