@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
 from spanveil.functions.arrays import cut, let, pages_of
-from spanveil.functions.regex import SPACE, alternation, jvm_regex, strip
-from spanveil.functions.rules import gate
-from spanveil.functions.spans import MATCH, empty_of, find_gated, find_matches
+from spanveil.functions.regex import alternation, jvm_regex, strip
+from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, hit
+from spanveil.functions.spans import MATCH, RANKED, empty_of, find_ranked, match, ranked
 
 _PREFIX_HEAD = alternation(V.ADDRESS_PREFIX_WORDS)
 PREFIX = _PREFIX_HEAD + jvm_regex(V.ADDRESS_PREFIX_TAIL, ignore_case=True)
@@ -31,26 +33,24 @@ UNIT = alternation(V.UNIT_WORDS) + jvm_regex(V.UNIT_TAIL, ignore_case=True)
 CITY = alternation(V.CITIES) + jvm_regex(V.CITY_TAIL, ignore_case=True)
 
 
-def _has_good_length(text: Column) -> Column:
-    return F.length(text).between(V.ADDRESS_MIN_LENGTH, V.ADDRESS_MAX_LENGTH)
+PARTS = (Pattern(PREFIX), Pattern(STREET), Pattern(UNIT), Pattern(CITY, "digits"))
 
 
-def _span(start: Column, end: Column, text: Column) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), text.alias("text"))
+def _has_good_length(span: Column) -> Column:
+    return F.length(span["text"]).between(V.ADDRESS_MIN_LENGTH, V.ADDRESS_MAX_LENGTH)
 
 
-def after_prefix(text: Column) -> Column:
+def _after_prefix(found: Column) -> Column:
     """What follows "address:", up to punctuation; offsets include outer blanks."""
-    found = find_gated(text, PREFIX)
 
     def inner(m: Column) -> Column:
         group = F.regexp_extract(m["text"], _PREFIX_GROUP, 1)
-        return _span(m["end"] - F.length(group), m["end"], strip(group))
+        return match(m["end"] - F.length(group), m["end"], strip(group))
 
-    return F.filter(F.transform(found, inner), lambda m: _has_good_length(m["text"]))
+    return F.filter(F.transform(found, inner), _has_good_length)
 
 
-def streets(text: Column) -> Column:
+def _streets(text: Column, found: Column) -> Column:
     """A number, words and a street word, with some context around it."""
 
     def shorten(words: Column, delimiter: Column) -> Column:
@@ -62,41 +62,41 @@ def streets(text: Column) -> Column:
         end = F.least(length, m["end"] + V.STREET_CONTEXT_AFTER)
         delimiters = F.array(*[F.lit(d) for d in V.STREET_DELIMITERS])
         words = F.aggregate(delimiters, strip(cut(pages, start, end)), shorten)
-        return let(words, lambda w: _span(start, start + F.length(w), w))
+        return let(words, lambda w: match(start, start + F.length(w), w))
 
     placed = let(
-        pages_of(text),
-        lambda pages: F.transform(
-            find_matches(text, STREET), lambda m: in_context(pages, F.length(text), m)
-        ),
+        F.struct(pages_of(text).alias("pages"), F.length(text).alias("length")),
+        lambda doc: F.transform(found, lambda m: in_context(doc["pages"], doc["length"], m)),
     )
-    kept = F.filter(placed, lambda m: _has_good_length(m["text"]))
-    return F.when(text.rlike(STREET), kept).otherwise(empty_of(MATCH))
+    return F.filter(placed, _has_good_length)
 
 
-def units(text: Column) -> Column:
-    """Flat, house, floor and the like with a number or letter after it."""
-    found = F.transform(
-        find_gated(text, UNIT), lambda m: _span(m["start"], m["end"], strip(m["text"]))
-    )
-    return F.filter(found, lambda m: _has_good_length(m["text"]))
+def _stripped(found: Column) -> Column:
+    return F.transform(found, lambda m: match(m["start"], m["end"], strip(m["text"])))
 
 
-def cities(text: Column, digits: Column | None = None) -> Column:
-    """A known city followed by a six-digit postal code.
+def address_parts(text: Column, gates: Mapping[str, Column] | None = None) -> Column:
+    """``array<RANKED>`` of the four patterns, numbered by rank from 1."""
+    searches = [
+        (hit(text, part, gates), part.regex, number, "ADDRESS", ADDRESS_CONFIDENCE)
+        for number, part in enumerate(PARTS, 1)
+    ]
+    return find_ranked(text, searches)
 
-    ``digits`` may give the outcome of the gate of that name.
-    """
-    long_enough = gate(text, "digits") if digits is None else digits
-    return F.transform(
-        find_gated(text, CITY, long_enough & text.rlike(SPACE[:-1] + r",]\p{Nd}{6}")),
-        lambda m: _span(m["start"], m["end"], strip(m["text"])),
-    )
 
+def address_candidates(text: Column, parts: Column) -> dict[str, Column]:
+    """``array<MATCH>`` per kind of address, from ``address_parts``."""
 
-def address_candidates(text: Column, digits: Column | None = None) -> tuple[Column, Column]:
-    """(unconditional, conditional) candidates, each ``array<MATCH>``."""
-    return after_prefix(text), F.concat(streets(text), units(text), cities(text, digits))
+    def only(number: int) -> Column:
+        return F.filter(parts, lambda p: p["rank"] == number)
+
+    has_street = F.exists(parts, lambda p: p["rank"] == 2)
+    return {
+        "prefix": _after_prefix(only(1)),
+        "street": F.when(has_street, _streets(text, only(2))).otherwise(empty_of(MATCH)),
+        "unit": F.filter(_stripped(only(3)), _has_good_length),
+        "city": _stripped(only(4)),
+    }
 
 
 def settle_addresses(unconditional: Column, conditional: Column) -> Column:
@@ -115,5 +115,22 @@ def settle_addresses(unconditional: Column, conditional: Column) -> Column:
     return F.aggregate(conditional, unconditional, step)
 
 
-def find_addresses(text: Column) -> Column:
-    return settle_addresses(*address_candidates(text))
+def addresses_of(text: Column, parts: Column) -> Column:
+    """``array<RANKED>`` of the addresses in a text, from ``address_parts``."""
+    kinds = address_candidates(text, parts)
+    settled = settle_addresses(
+        kinds["prefix"], F.concat(kinds["street"], kinds["unit"], kinds["city"])
+    )
+    dressed = F.transform(
+        settled,
+        lambda m: ranked(
+            m["start"],
+            m["end"],
+            m["text"],
+            rank=F.lit(ADDRESS_RANK),
+            entity_type=F.lit("ADDRESS"),
+            confidence=F.lit(ADDRESS_CONFIDENCE),
+            method=F.lit("regex"),
+        ),
+    )
+    return F.when(F.size(parts) > 0, dressed).otherwise(empty_of(RANKED))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
 from spanveil.functions.regex import digits_of, jvm_regex
-from spanveil.functions.spans import drop_repeats, find_gated
+from spanveil.functions.spans import find_ranked
 
 
 # Cheap conditions on a text, shared by rules.  Each is looked at once per text.
@@ -40,7 +40,7 @@ class Rule:
 
     ``rank`` orders rules for ties, ``keep`` is a further test of a match and
     ``mask`` hides a value (else the default mask of the entity type is used).
-    With ``distinct``, patterns that match at the same offsets count once.
+    Patterns of a rule that match at the same offsets count once.
     """
 
     entity_type: str
@@ -48,17 +48,8 @@ class Rule:
     confidence: float
     patterns: tuple[Pattern, ...]
     keep: Callable[[Column], Column] | None = None
-    distinct: bool = False
     mask: Callable[[Column], Column] | None = None
 
-    def matches(self, text: Column, gates: Mapping[str, Column] | None = None) -> Column:
-        """``array<struct<start,end,text>>``, pattern by pattern."""
-        lists = [find_gated(text, p.regex, gate(text, p.needs, gates)) for p in self.patterns]
-        found = drop_repeats(lists) if self.distinct else F.concat(*lists)
-        if self.keep is None:
-            return found
-        return F.filter(found, lambda m: self.keep(m["text"]))
-
 
 def gate(
     text: Column, needs: str | None, gates: Mapping[str, Column] | None = None
@@ -69,6 +60,36 @@ def gate(
     return gates[needs] if gates and needs in gates else GATES[needs](text)
 
 
+def hit(text: Column, pattern: Pattern, gates: Mapping[str, Column] | None = None) -> Column:
+    """Whether a text holds a match, the cheap condition first."""
+    found = text.rlike(pattern.regex)
+    cheap = gate(text, pattern.needs, gates)
+    return F.coalesce(found if cheap is None else cheap & found, F.lit(False))
+
+
+def rule_spans(
+    text: Column, rules: Sequence[Rule], gates: Mapping[str, Column] | None = None
+) -> Column:
+    """``array<RANKED>`` of all rules, in order of rank; repeats are still in."""
+    searches = [
+        (hit(text, pattern, gates), pattern.regex, r.rank, r.entity_type, r.confidence)
+        for r in sorted(rules, key=lambda r: r.rank)
+        for pattern in r.patterns
+    ]
+    found = find_ranked(text, searches)
+    tests = [r for r in rules if r.keep is not None]
+    if not tests:
+        return found
+
+    def kept(span: Column) -> Column:
+        test = F.when(F.lit(False), False)
+        for r in tests:
+            test = test.when(span["rank"] == r.rank, r.keep(span["text"]))
+        return test.otherwise(True)
+
+    return F.filter(found, kept)
+
+
 def _is_upi(match: Column) -> Column:
     lowered = F.lower(match)
     test = lowered.contains(V.UPI_HANDLES[0])
@@ -102,7 +123,6 @@ STRUCTURED_RULES = (
             Pattern(jvm_regex(V.PHONE_INDIAN_SPACED), "plus"),
             Pattern(jvm_regex(V.PHONE_INTERNATIONAL), "plus"),
         ),
-        distinct=True,
     ),
     Rule(
         "AADHAAR",

@@ -5,7 +5,7 @@ Offsets count characters (code points) from zero, ends are exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,16 +28,18 @@ def empty_of(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
 
 
-def find_matches(text: Column, regex: str) -> Column:
-    """All leftmost, non-overlapping matches with offsets: ``array<MATCH>``.
+def _with_offsets(
+    text: Column, regex: Column, element_type: str, dress: Callable[[Column, Column, Column], Column]
+) -> Column:
+    """All leftmost, non-overlapping matches; ``dress(start, end, value)`` makes an element.
 
     The text between matches and the matches themselves come from one pass
     each; running lengths give the offsets.
     """
-    grower = Grower(MATCH)
+    grower = Grower(element_type)
     pieces = F.zip_with(
         F.split(text, regex, -1),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+        F.regexp_extract_all(text, regex, F.lit(0)),
         lambda gap, hit: F.struct(
             F.length(gap).alias("gap"), F.length(hit).alias("len"), hit.alias("hit")
         ),
@@ -46,74 +48,111 @@ def find_matches(text: Column, regex: str) -> Column:
     def step(acc: Column, piece: Column) -> Column:
         start = acc["pos"] + piece["gap"]
         end = start + piece["len"]
-        match = F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("text"))
         return F.when(piece["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("pos"), grower.push(acc["out"], match).alias("out"))
+            F.struct(
+                end.alias("pos"),
+                grower.push(acc["out"], dress(start, end, piece["hit"])).alias("out"),
+            )
         )
 
     zero = F.struct(F.lit(0).alias("pos"), grower.empty().alias("out"))
     return F.aggregate(pieces, zero, step, lambda acc: grower.items(acc["out"]))
 
 
-def find_gated(text: Column, regex: str, gate: Column | None = None) -> Column:
-    """``find_matches`` only where a cheap look says there is something to find."""
-    hit = text.rlike(regex)
-    return F.when(hit if gate is None else gate & hit, find_matches(text, regex)).otherwise(
-        empty_of(MATCH)
-    )
+def match(start: Column, end: Column, text: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), text.alias("text"))
 
 
-def drop_repeats(matches: list[Column]) -> Column:
-    """Concatenate match lists; of matches with the same offsets keep the first."""
-    if len(matches) == 1:
-        return matches[0]
-    ordered_type = "struct<list:int,start:int,end:int,text:string>"
-    def keyed(found: Column, number: int) -> Column:
-        return F.transform(
-            found,
-            lambda m: F.struct(
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                F.lit(number).alias("list"),
-                m["text"].alias("text"),
-            ),
-        )
+def find_matches(text: Column, regex: str) -> Column:
+    """``array<MATCH>`` of one regex."""
+    return _with_offsets(text, F.lit(regex), MATCH, match)
 
-    everything = F.concat(*[keyed(found, i) for i, found in enumerate(matches)])
-    grower = Grower(ordered_type)
 
-    def step(acc: Column, m: Column) -> Column:
-        last = grower.last(acc)
-        same = (last["start"] == m["start"]) & (last["end"] == m["end"])
-        item = F.struct(*[m[c].alias(c) for c in ("list", "start", "end", "text")])
-        return F.when(F.coalesce(same, F.lit(False)), acc).otherwise(grower.push(acc, item))
+def ranked(
+    start: Column,
+    end: Column,
+    text: Column,
+    *,
+    rank: Column,
+    entity_type: Column,
+    confidence: Column,
+    method: Column,
+) -> Column:
+    """One span with its ordering keys."""
+    return F.struct(
+        start.alias("start"),
+        (-end).alias("neg_end"),
+        rank.alias("rank"),
+        end.alias("end"),
+        entity_type.alias("entity_type"),
+        text.alias("text"),
+        confidence.alias("confidence"),
+        method.alias("detection_method"),
+    )
 
-    once = F.aggregate(F.sort_array(everything), grower.empty(), step, grower.items)
-    return F.transform(
-        F.sort_array(once),
-        lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "text")]),
+
+def find_ranked(text: Column, searches: Sequence[tuple[Column, str, int, str, float]]) -> Column:
+    """``array<RANKED>`` of many regexes, in their order.
+
+    Each search is (hit, regex, rank, entity type, confidence), where ``hit``
+    tells whether there is anything to find.  The regexes are rows of a small
+    array, so the plan holds the search once, however many there are.
+    """
+    rows = F.array(
+        *[
+            F.struct(
+                hit.alias("hit"),
+                F.lit(regex).alias("regex"),
+                F.lit(rank).alias("rank"),
+                F.lit(entity_type).alias("entity_type"),
+                F.lit(confidence).alias("confidence"),
+            )
+            for hit, regex, rank, entity_type, confidence in searches
+        ]
     )
 
+    def search(row: Column) -> Column:
+        def dress(start: Column, end: Column, value: Column) -> Column:
+            return ranked(
+                start,
+                end,
+                value,
+                rank=row["rank"],
+                entity_type=row["entity_type"],
+                confidence=row["confidence"],
+                method=F.lit("regex"),
+            )
 
-def ranked(
-    matches: Column, entity_type: str | Column, rank: int, confidence: float, method: str = "regex"
-) -> Column:
-    """Dress raw matches as ``array<RANKED>``."""
-    name = F.lit(entity_type) if isinstance(entity_type, str) else entity_type
-    return F.transform(
-        matches,
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            (-m["end"]).alias("neg_end"),
-            F.lit(rank).alias("rank"),
-            m["end"].alias("end"),
-            name.alias("entity_type"),
-            m["text"].alias("text"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(method).alias("detection_method"),
+        return _with_offsets(text, row["regex"], RANKED, dress)
+
+    return F.flatten(F.transform(F.filter(rows, lambda row: row["hit"]), search))
+
+
+def drop_repeats(spans: Column) -> Column:
+    """Of spans with the same rank and offsets keep one; by rank, else in the order given."""
+    grower = Grower(f"struct<rank:int,at:int,span:{RANKED}>")
+    keyed = F.transform(
+        spans,
+        lambda s, i: F.struct(
+            s["rank"].alias("rank"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            i.alias("at"),
+            s.alias("span"),
         ),
     )
 
+    def step(acc: Column, new: Column) -> Column:
+        old = grower.last(acc)["span"]
+        same = (old["rank"] == new["rank"]) & (old["start"] == new["start"]) & (
+            old["end"] == new["end"]
+        )
+        item = F.struct(*[new[c].alias(c) for c in ("rank", "at", "span")])
+        return F.when(F.coalesce(same, F.lit(False)), acc).otherwise(grower.push(acc, item))
+
+    once = F.aggregate(F.sort_array(keyed), grower.empty(), step, grower.items)
+    return F.transform(F.sort_array(once), lambda k: k["span"])
+
 
 def plain(spans: Column) -> Column:
     """Drop the ordering keys: ``array<RANKED>`` to ``array<DETECTION>``."""

@@ -6,35 +6,18 @@ without a hit costs one failing regex search per rule.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.addresses import address_candidates, settle_addresses
-from spanveil.functions.rules import (
-    ADDRESS_CONFIDENCE,
-    ADDRESS_RANK,
-    BASIC_RULES,
-    GATES,
-    STRUCTURED_RULES,
-    Rule,
-)
-from spanveil.functions.spans import count_by_type, plain, ranked, resolve_overlaps
-
-_STRUCTURED = "__structured"
-_SURE = "__sure_addresses"
-_MAYBE = "__maybe_addresses"
-_RAW = "__raw"
-
+from spanveil.functions.addresses import address_candidates, address_parts, addresses_of
+from spanveil.functions.rules import BASIC_RULES, GATES, STRUCTURED_RULES, Rule, rule_spans
+from spanveil.functions.spans import count_by_type, drop_repeats, plain, resolve_overlaps
 
-def _ranked_matches(
-    text: Column, rules: Iterable[Rule], gates: Mapping[str, Column] | None = None
-) -> Column:
-    ordered = sorted(rules, key=lambda r: r.rank)
-    return F.concat(
-        *[ranked(r.matches(text, gates), r.entity_type, r.rank, r.confidence) for r in ordered]
-    )
+_RULES = "__rules"
+_PARTS = "__address_parts"
+_RAW = "__raw"
 
 
 def _with_gates(
@@ -55,18 +38,36 @@ def _with_raw(
 ) -> DataFrame:
     """Add all ranked matches as ``_RAW``, rule by rule."""
     gated, gates = _with_gates(df, text, rules)
-    parts = [F.col(_STRUCTURED)]
-    found = {_STRUCTURED: _ranked_matches(F.col(text), rules, gates)}
+    parts = [F.col(_RULES)]
+    found = {_RULES: rule_spans(F.col(text), rules, gates)}
     if addresses:
-        found[_SURE], found[_MAYBE] = address_candidates(F.col(text), gates["digits"])
-        settled = settle_addresses(F.col(_SURE), F.col(_MAYBE))
-        parts.append(ranked(settled, "ADDRESS", ADDRESS_RANK, ADDRESS_CONFIDENCE))
+        found[_PARTS] = address_parts(F.col(text), gates)
+        parts.append(addresses_of(F.col(text), F.col(_PARTS)))
     if model_spans:
         none = F.array().cast(df.schema[model_spans].dataType)
         parts.append(F.coalesce(F.col(model_spans), none))
     return gated.withColumns(found).withColumn(_RAW, F.concat(*parts))
 
 
+def find_rule(df: DataFrame, rule: Rule, text: str = "text", *, out: str = "detections") -> DataFrame:
+    """All matches of a single rule."""
+    return detect_raw(df, text, rules=(rule,), addresses=False, out=out)
+
+
+def find_address_kind(
+    df: DataFrame, kind: str, text: str = "text", *, out: str = "detections"
+) -> DataFrame:
+    """Address candidates of one kind: prefix, street, unit or city."""
+    parted = df.withColumn(_PARTS, address_parts(F.col(text)))
+    return parted.select(*df.columns, address_candidates(F.col(text), F.col(_PARTS))[kind].alias(out))
+
+
+def find_addresses(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
+    """All addresses, before other entities come in."""
+    parted = df.withColumn(_PARTS, address_parts(F.col(text)))
+    return parted.select(*df.columns, plain(addresses_of(F.col(text), F.col(_PARTS))).alias(out))
+
+
 def detect_raw(
     df: DataFrame,
     text: str = "text",
@@ -78,7 +79,7 @@ def detect_raw(
 ) -> DataFrame:
     """All matches in rule order, overlaps included."""
     return _with_raw(df, text, rules, addresses, model_spans).select(
-        *df.columns, plain(F.col(_RAW)).alias(out)
+        *df.columns, plain(drop_repeats(F.col(_RAW))).alias(out)
     )
 
 
@@ -105,7 +106,7 @@ def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections")
     """The basic profile: six rules, sorted by start, overlaps left as they are."""
     gated, gates = _with_gates(df, text, BASIC_RULES)
     keyed = F.transform(
-        _ranked_matches(F.col(text), BASIC_RULES, gates),
+        rule_spans(F.col(text), BASIC_RULES, gates),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["rank"].alias("rank"),

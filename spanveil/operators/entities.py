@@ -12,7 +12,7 @@ from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.fixed_values import MODEL_CONFIDENCE, MODEL_LABELS
 from spanveil.functions.regex import WORD
 from spanveil.functions.rules import MODEL_RANK
-from spanveil.functions.spans import RANKED, empty_of, find_matches
+from spanveil.functions.spans import RANKED, empty_of, find_matches, ranked
 
 Model = Callable[[str], Iterable[tuple[str, int, int]]]
 
@@ -106,15 +106,14 @@ def with_listed_entities(
     )
 
     def span(pages: Column, hit: Column) -> Column:
-        return F.struct(
-            hit["start"].alias("start"),
-            (-hit["end"]).alias("neg_end"),
-            F.lit(MODEL_RANK).alias("rank"),
-            hit["end"].alias("end"),
-            hit["entity_type"].alias("entity_type"),
-            cut(pages, hit["start"], hit["end"]).alias("text"),
-            F.lit(MODEL_CONFIDENCE).alias("confidence"),
-            F.lit("ner").alias("detection_method"),
+        return ranked(
+            hit["start"],
+            hit["end"],
+            cut(pages, hit["start"], hit["end"]),
+            rank=F.lit(MODEL_RANK),
+            entity_type=hit["entity_type"],
+            confidence=F.lit(MODEL_CONFIDENCE),
+            method=F.lit("ner"),
         )
 
     # The texts are not carried along with the word runs; values are cut out at the end.

@@ -9,16 +9,10 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
 from spanveil.functions.arrays import Grower, cut, let, pages_of
-from spanveil.functions.addresses import find_addresses
-from spanveil.functions.masks import check_mode, redact, replacement, stars
-from spanveil.functions.regex import jvm_regex
-from spanveil.functions.rules import (
-    ADDRESS_CONFIDENCE,
-    ADDRESS_RANK,
-    STRUCTURED_RULES,
-    Rule,
-)
-from spanveil.functions.spans import ranked, resolve_overlaps, splice
+from spanveil.functions.addresses import address_parts, addresses_of
+from spanveil.functions.masks import check_mode, redact, replacement
+from spanveil.functions.rules import STRUCTURED_RULES, Rule, rule_spans
+from spanveil.functions.spans import resolve_overlaps, splice
 
 Replace = Callable[[Column, Column], Column]
 
@@ -172,10 +166,8 @@ def sanitize_sql_literals(
     )
 
     def clean(inner: Column) -> Column:
-        spans = F.concat(
-            *[ranked(r.matches(inner), r.entity_type, r.rank, r.confidence) for r in rules],
-            ranked(find_addresses(inner), "ADDRESS", ADDRESS_RANK, ADDRESS_CONFIDENCE),
-        )
+        addresses = let(address_parts(inner), lambda parts: addresses_of(inner, parts))
+        spans = F.concat(rule_spans(inner, rules), addresses)
         return let(resolve_overlaps(spans), lambda found: splice(inner, found, replace))
 
     rebuilt = F.transform(

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.functions import addresses as A
 from spanveil.functions import fixed_values as V
 from spanveil.functions import texts as T
 from spanveil.functions.masks import mask, redact, tokenize
@@ -150,24 +149,28 @@ def preview(spark: SparkSession, directory: str) -> DataFrame:
 
 
 # --- detectors --------------------------------------------------------------
-def _matches(find: Callable[[Column], Column]) -> Query:
+def _long(find: Callable[[DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        found = C.corpus(spark, directory).select("key", find(F.col("text")).alias("detections"))
-        return D.explode_detections(found, ["key"]).drop("pos")
+        found = find(C.corpus(spark, directory))
+        return D.explode_detections(found, ["key"]).select("key", "start", "end", "text")
 
     return query
 
 
 def _detectors() -> dict[str, Query]:
-    found = {f"detect_{r.entity_type.lower()}": _matches(r.matches) for r in STRUCTURED_RULES}
-    found |= {f"basic_{r.entity_type}": _matches(r.matches) for r in BASIC_RULES}
-    return found | {
-        "address_after_prefix": _matches(A.after_prefix),
-        "address_street": _matches(A.streets),
-        "address_unit": _matches(A.units),
-        "address_city": _matches(A.cities),
-        "detect_address": _matches(A.find_addresses),
+    found = {
+        f"detect_{r.entity_type.lower()}": _long(lambda df, r=r: D.find_rule(df, r))
+        for r in STRUCTURED_RULES
     }
+    found |= {
+        f"basic_{r.entity_type}": _long(lambda df, r=r: D.find_rule(df, r)) for r in BASIC_RULES
+    }
+    kinds = {"after_prefix": "prefix", "street": "street", "unit": "unit", "city": "city"}
+    found |= {
+        f"address_{name}": _long(lambda df, kind=kind: D.find_address_kind(df, kind))
+        for name, kind in kinds.items()
+    }
+    return found | {"detect_address": _long(D.find_addresses)}
 
 
 # --- detection --------------------------------------------------------------

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Stack traces of every column function cost more than building the plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Detection is heavy per byte, so splits are kept small.
     "spark.sql.files.maxPartitionBytes": "64m",
 }
