@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
-from spanveil.functions.arrays import cut, let, pages_of
+from spanveil.functions.arrays import Grower, cut, let, pages_of
 from spanveil.functions.regex import alternation, jvm_regex, strip
 from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, hit
 from spanveil.functions.spans import MATCH, RANKED, empty_of, find_ranked, match, ranked
@@ -99,28 +99,104 @@ def address_candidates(text: Column, parts: Column) -> dict[str, Column]:
     }
 
 
-def settle_addresses(unconditional: Column, conditional: Column) -> Column:
-    """Add candidates in order unless one of their ends lies in an accepted address."""
+def clear_of(candidates: Column, accepted: Column) -> Column:
+    """Candidates none of whose ends lies in an accepted address.
 
-    def clashes(new: Column, old: Column) -> Column:
-        starts_in = (old["start"] <= new["start"]) & (new["start"] < old["end"])
-        ends_in = (old["start"] < new["end"]) & (new["end"] <= old["end"])
-        return starts_in | ends_in
+    One sweep over all ends in order of position: an end is inside if, of the
+    addresses that began before it, the one that reaches furthest reaches it.
+    """
+    grower = Grower("struct<which:int,number:int,inside:boolean>")
+
+    def event(at: Column, order: int, end: Column, number: Column) -> Column:
+        return F.struct(
+            at.alias("at"),
+            F.lit(order).alias("order"),
+            end.alias("end"),
+            number.alias("number"),
+        )
+
+    # At equal positions: last characters, then beginnings, then first characters.
+    begin, last, first = 1, 0, 2
+    nothing = F.lit(-1)
+
+    def sweep(found: Column, taken: Column) -> Column:
+        events = F.concat(
+            F.transform(taken, lambda a: event(a["start"], begin, a["end"], nothing)),
+            F.transform(found, lambda c, i: event(c["start"], first, nothing, i)),
+            F.transform(found, lambda c, i: event(c["end"], last, nothing, i)),
+        )
+
+        def step(acc: Column, e: Column) -> Column:
+            reach = acc["reach"]
+            inside = F.when(e["order"] == first, reach > e["at"]).otherwise(reach >= e["at"])
+            verdict = F.struct(
+                e["order"].alias("which"), e["number"].alias("number"), inside.alias("inside")
+            )
+            return F.when(
+                e["order"] == begin,
+                F.struct(F.greatest(reach, e["end"]).alias("reach"), acc["out"].alias("out")),
+            ).otherwise(
+                F.struct(reach.alias("reach"), grower.push(acc["out"], verdict).alias("out"))
+            )
+
+        zero = F.struct(F.lit(-1).alias("reach"), grower.empty().alias("out"))
+        # Verdicts on last characters come first, each kind in order of candidates.
+        return F.sort_array(
+            F.aggregate(F.sort_array(events), zero, step, lambda acc: grower.items(acc["out"]))
+        )
+
+    def keep(found: Column, taken: Column) -> Column:
+        def outside(verdicts: Column) -> Column:
+            return F.filter(
+                found,
+                lambda c, i: ~F.get(verdicts, i)["inside"]
+                & ~F.get(verdicts, i + F.size(found))["inside"],
+            )
+
+        checked = let(sweep(found, taken), outside)
+        return F.when((F.size(found) == 0) | (F.size(taken) == 0), found).otherwise(checked)
+
+    return let(candidates, lambda found: let(accepted, lambda taken: keep(found, taken)))
+
+
+def one_after_another(candidates: Column) -> Column:
+    """Of candidates in order of start, those that begin after the last one kept ended."""
+    grower = Grower(MATCH)
 
     def step(acc: Column, new: Column) -> Column:
-        return F.when(F.exists(acc, lambda old: clashes(new, old)), acc).otherwise(
-            F.concat(acc, F.array(new))
+        old = grower.last(acc)
+        return F.when(old.isNull() | (new["start"] >= old["end"]), grower.push(acc, new)).otherwise(
+            acc
         )
 
-    return F.aggregate(conditional, unconditional, step)
+    return F.aggregate(candidates, grower.empty(), step, grower.items)
+
+
+def settle_addresses(kinds: dict[str, Column]) -> Column:
+    """Add kind after kind, leaving out what has an end in an address accepted before.
+
+    Units do not overlap each other, nor do cities; of streets, which come in
+    order of start, only the last one kept can be in the way.
+    """
+
+    def with_streets(taken: Column) -> Column:
+        return F.concat(taken, one_after_another(clear_of(kinds["street"], taken)))
+
+    def with_more(taken: Column, kind: str) -> Column:
+        return F.concat(taken, clear_of(kinds[kind], taken))
+
+    return let(
+        kinds["prefix"],
+        lambda taken: let(
+            with_streets(taken),
+            lambda more: let(with_more(more, "unit"), lambda most: with_more(most, "city")),
+        ),
+    )
 
 
 def addresses_of(text: Column, parts: Column) -> Column:
     """``array<RANKED>`` of the addresses in a text, from ``address_parts``."""
-    kinds = address_candidates(text, parts)
-    settled = settle_addresses(
-        kinds["prefix"], F.concat(kinds["street"], kinds["unit"], kinds["city"])
-    )
+    settled = settle_addresses(address_candidates(text, parts))
     dressed = F.transform(
         settled,
         lambda m: ranked(

@@ -44,7 +44,8 @@ def breakdown(analyzed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def split_lines(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One row per line that is not blank, stripped, with its position."""
-    return df.select(*keys, F.posexplode(nonblank_lines(F.col(text))).alias("pos", "line"))
+    lines = F.posexplode_outer(nonblank_lines(F.col(text))).alias("pos", "line")
+    return df.select(*keys, lines).filter(F.col("pos").isNotNull())
 
 
 def for_display(df: DataFrame, columns: Sequence[str]) -> DataFrame:

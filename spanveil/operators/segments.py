@@ -21,6 +21,7 @@ from spanveil.operators.detect import detect
 from spanveil.operators.sanitize import replacer
 
 PARAGRAPH, CELL, HEADER = 0, 1, 2
+_LARGE = 16 * 1024 * 1024
 
 
 def refused_documents(
@@ -46,6 +47,10 @@ def assemble(
     not part of the text.
     """
     refused = refused_documents(segments, doc, text, limit).select(doc)
+    if limit >= _LARGE:
+        # At most one key per ``limit`` bytes of input, so the keys fit into a broadcast
+        # and a refused document is dropped before its rows would meet in a shuffle.
+        refused = F.broadcast(refused)
     segment = F.struct(
         (F.col(kind) if kind else F.lit(PARAGRAPH)).cast("int").alias("kind"),
         F.col(position).alias("position"),
@@ -114,4 +119,5 @@ def sanitize_segments(
             ),
         ),
     )
-    return whole.select(doc, F.explode(rewritten).alias("segment")).select(doc, "segment.*")
+    # Outer, as in ``explode_detections``; every document has a segment.
+    return whole.select(doc, F.explode_outer(rewritten).alias("segment")).select(doc, "segment.*")

@@ -44,7 +44,8 @@ def file_stats(files: DataFrame) -> DataFrame:
 def entity_totals(files: DataFrame) -> DataFrame:
     """Entities per type over the counts of all files."""
     return (
-        files.select(F.explode(parsed_counts(files)).alias("entity_type", "n"))
+        files.select(F.explode_outer(parsed_counts(files)).alias("entity_type", "n"))
+        .filter(F.col("entity_type").isNotNull())
         .groupBy("entity_type")
         .agg(F.sum("n").alias("total"))
     )

@@ -24,7 +24,7 @@ def spread(df: DataFrame) -> DataFrame:
     least as many splits as cores, as any large input has, nothing is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
