@@ -11,7 +11,7 @@ from spanveil.functions import fixed_values as V
 from spanveil.functions.arrays import Grower, cut, let, pages_of
 from spanveil.functions.addresses import address_parts, addresses_of
 from spanveil.functions.masks import check_mode, redact, replacement
-from spanveil.functions.rules import STRUCTURED_RULES, Rule, rule_spans
+from spanveil.functions.rules import GATES, STRUCTURED_RULES, Rule, rule_spans
 from spanveil.functions.spans import resolve_overlaps, splice
 
 Replace = Callable[[Column, Column], Column]
@@ -166,9 +166,14 @@ def sanitize_sql_literals(
     )
 
     def clean(inner: Column) -> Column:
-        addresses = let(address_parts(inner), lambda parts: addresses_of(inner, parts))
-        spans = F.concat(rule_spans(inner, rules), addresses)
-        return let(resolve_overlaps(spans), lambda found: splice(inner, found, replace))
+        def spans(gates: Column) -> Column:
+            by_name = {name: gates[name] for name in GATES}
+            addresses = let(address_parts(inner, by_name), lambda parts: addresses_of(inner, parts))
+            return F.concat(rule_spans(inner, rules, by_name), addresses)
+
+        gates = F.struct(*[look(inner).alias(name) for name, look in GATES.items()])
+        found = resolve_overlaps(let(gates, spans))
+        return let(found, lambda kept: splice(inner, kept, replace))
 
     rebuilt = F.transform(
         pieces,
