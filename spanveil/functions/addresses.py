@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
-from spanveil.functions.arrays import Grower, cut, let, pages_of
+from spanveil.functions.arrays import cut, indexes, let, pages_of, running_max
 from spanveil.functions.regex import alternation, jvm_regex, strip
 from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, hit
-from spanveil.functions.spans import MATCH, RANKED, empty_of, find_ranked, match, ranked
+from spanveil.functions.spans import MATCH, RANKED, empty_of, find_ranked, islands, match, ranked
 
 _PREFIX_HEAD = alternation(V.ADDRESS_PREFIX_WORDS)
 PREFIX = _PREFIX_HEAD + jvm_regex(V.ADDRESS_PREFIX_TAIL, ignore_case=True)
@@ -105,7 +105,6 @@ def clear_of(candidates: Column, accepted: Column) -> Column:
     One sweep over all ends in order of position: an end is inside if, of the
     addresses that began before it, the one that reaches furthest reaches it.
     """
-    grower = Grower("struct<which:int,number:int,inside:boolean>")
 
     def event(at: Column, order: int, end: Column, number: Column) -> Column:
         return F.struct(
@@ -119,85 +118,59 @@ def clear_of(candidates: Column, accepted: Column) -> Column:
     begin, last, first = 1, 0, 2
     nothing = F.lit(-1)
 
-    def sweep(found: Column, taken: Column) -> Column:
-        events = F.concat(
-            F.transform(taken, lambda a: event(a["start"], begin, a["end"], nothing)),
-            F.transform(found, lambda c, i: event(c["start"], first, nothing, i)),
-            F.transform(found, lambda c, i: event(c["end"], last, nothing, i)),
-        )
+    def inside(events: Column) -> Column:
+        """Numbers of candidates with an end inside, sorted."""
 
-        def step(acc: Column, e: Column) -> Column:
-            reach = acc["reach"]
-            inside = F.when(e["order"] == first, reach > e["at"]).otherwise(reach >= e["at"])
-            verdict = F.struct(
-                e["order"].alias("which"), e["number"].alias("number"), inside.alias("inside")
-            )
-            return F.when(
-                e["order"] == begin,
-                F.struct(F.greatest(reach, e["end"]).alias("reach"), acc["out"].alias("out")),
-            ).otherwise(
-                F.struct(reach.alias("reach"), grower.push(acc["out"], verdict).alias("out"))
-            )
+        def judge(reach: Column) -> Column:
+            def is_inside(e: Column, i: Column) -> Column:
+                furthest = F.get(reach, i)
+                return ((e["order"] == first) & (furthest > e["at"])) | (
+                    (e["order"] == last) & (furthest >= e["at"])
+                )
+
+            return F.filter(events, is_inside)
 
-        zero = F.struct(F.lit(-1).alias("reach"), grower.empty().alias("out"))
-        # Verdicts on last characters come first, each kind in order of candidates.
+        reach = running_max(F.transform(events, lambda e: e["end"]))
         return F.sort_array(
-            F.aggregate(F.sort_array(events), zero, step, lambda acc: grower.items(acc["out"]))
+            F.array_distinct(F.transform(let(reach, judge), lambda e: e["number"]))
         )
 
-    def keep(found: Column, taken: Column) -> Column:
-        def outside(verdicts: Column) -> Column:
-            return F.filter(
-                found,
-                lambda c, i: ~F.get(verdicts, i)["inside"]
-                & ~F.get(verdicts, i + F.size(found))["inside"],
+    def sweep(found: Column, taken: Column) -> Column:
+        return F.sort_array(
+            F.concat(
+                F.transform(taken, lambda a: event(a["start"], begin, a["end"], nothing)),
+                F.transform(found, lambda c, i: event(c["start"], first, nothing, i)),
+                F.transform(found, lambda c, i: event(c["end"], last, nothing, i)),
             )
+        )
 
-        checked = let(sweep(found, taken), outside)
-        return F.when((F.size(found) == 0) | (F.size(taken) == 0), found).otherwise(checked)
+    def keep(found: Column, taken: Column) -> Column:
+        clear = F.array_except(indexes(found), let(sweep(found, taken), inside))
+        kept = F.transform(clear, lambda i: F.get(found, i))
+        return F.when((F.size(found) == 0) | (F.size(taken) == 0), found).otherwise(kept)
 
     return let(candidates, lambda found: let(accepted, lambda taken: keep(found, taken)))
 
 
 def one_after_another(candidates: Column) -> Column:
     """Of candidates in order of start, those that begin after the last one kept ended."""
-    grower = Grower(MATCH)
 
-    def step(acc: Column, new: Column) -> Column:
-        old = grower.last(acc)
-        return F.when(old.isNull() | (new["start"] >= old["end"]), grower.push(acc, new)).otherwise(
-            acc
-        )
-
-    return F.aggregate(candidates, grower.empty(), step, grower.items)
-
-
-def settle_addresses(kinds: dict[str, Column]) -> Column:
-    """Add kind after kind, leaving out what has an end in an address accepted before.
-
-    Units do not overlap each other, nor do cities; of streets, which come in
-    order of start, only the last one kept can be in the way.
-    """
-
-    def with_streets(taken: Column) -> Column:
-        return F.concat(taken, one_after_another(clear_of(kinds["street"], taken)))
-
-    def with_more(taken: Column, kind: str) -> Column:
-        return F.concat(taken, clear_of(kinds[kind], taken))
+    def step(kept: Column, new: Column) -> Column:
+        old = F.try_element_at(kept, F.lit(-1))
+        return F.when(
+            old.isNull() | (new["start"] >= old["end"]), F.concat(kept, F.array(new))
+        ).otherwise(kept)
 
-    return let(
-        kinds["prefix"],
-        lambda taken: let(
-            with_streets(taken),
-            lambda more: let(with_more(more, "unit"), lambda most: with_more(most, "city")),
-        ),
+    return F.flatten(
+        F.transform(
+            islands(candidates), lambda island: F.aggregate(island, empty_of(MATCH), step)
+        )
     )
 
 
-def addresses_of(text: Column, parts: Column) -> Column:
-    """``array<RANKED>`` of the addresses in a text, from ``address_parts``."""
-    settled = settle_addresses(address_candidates(text, parts))
-    dressed = F.transform(
+def as_spans(settled: Column) -> Column:
+    """``array<MATCH>`` of addresses as ``array<RANKED>``."""
+    return F.transform(
         settled,
         lambda m: ranked(
             m["start"],
@@ -209,4 +182,3 @@ def addresses_of(text: Column, parts: Column) -> Column:
             method=F.lit("regex"),
         ),
     )
-    return F.when(F.size(parts) > 0, dressed).otherwise(empty_of(RANKED))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 512
+BLOCK = 128
 PAGE = 4096
 
 
@@ -21,48 +21,62 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-class Grower:
-    """A list accumulator for ``F.aggregate`` whose appends stay cheap.
+def indexes(array: Column) -> Column:
+    """0, 1, ... for each element; empty for an empty array."""
+    return F.transform(array, lambda _, i: i)
 
-    ``concat`` copies the list, so plain appending is quadratic.  Full blocks
-    are set aside here and only the open block is copied.
-    """
 
-    def __init__(self, element_type: str):
-        self.element_type = element_type
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """What all earlier elements combine to, for each element of ``array<int>``.
+
+    ``F.aggregate`` copies its accumulator at every step, so gathering a list
+    in it is quadratic.  Lists are gathered here for one block at a time only;
+    between blocks just one number per block is combined.
+    """
+    start = F.lit(zero)
 
-    def empty(self) -> Column:
-        return F.struct(
-            F.array().cast(f"array<array<{self.element_type}>>").alias("full"),
-            self.none().alias("open"),
+    def before_each(block: Column, before: Column) -> Column:
+        return F.aggregate(
+            F.slice(block, 1, F.size(block) - 1),
+            F.array(before),
+            lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))),
         )
 
-    def none(self) -> Column:
-        return F.array().cast(f"array<{self.element_type}>")
-
-    def push(self, acc: Column, item: Column) -> Column:
-        full, opened = acc["full"], acc["open"]
-        return F.when(
-            F.size(opened) < BLOCK,
-            F.struct(full.alias("full"), F.concat(opened, F.array(item)).alias("open")),
-        ).otherwise(
-            F.struct(
-                F.concat(full, F.array(opened)).alias("full"), F.array(item).alias("open")
+    def over_blocks(blocks: Column, totals: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                blocks,
+                lambda block, j: let(
+                    F.aggregate(F.slice(totals, F.lit(1), j), start, combine),
+                    lambda before: before_each(block, before),
+                ),
             )
         )
 
-    def last(self, acc: Column) -> Column:
-        return F.try_element_at(acc["open"], F.lit(-1))
-
-    def replace_last(self, acc: Column, item: Column) -> Column:
-        opened = acc["open"]
-        return F.struct(
-            acc["full"].alias("full"),
-            F.concat(F.slice(opened, 1, F.size(opened) - 1), F.array(item)).alias("open"),
+    def in_blocks(array: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")),
+            lambda j: F.slice(array, j * BLOCK + 1, F.lit(BLOCK)),
+        )
+        return let(
+            blocks,
+            lambda bs: let(
+                F.transform(bs, lambda block: F.aggregate(block, start, combine)),
+                lambda totals: over_blocks(bs, totals),
+            ),
         )
 
-    def items(self, acc: Column) -> Column:
-        return F.concat(F.flatten(acc["full"]), acc["open"])
+    none = F.array().cast("array<int>")
+    return let(values, lambda array: F.when(F.size(array) > 0, in_blocks(array)).otherwise(none))
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, 0)
+
+
+def running_max(values: Column) -> Column:
+    """-1 before the first element."""
+    return running(values, lambda a, b: F.greatest(a, b), -1)
 
 
 def pages_of(text: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import Grower, cut, let, pages_of
+from spanveil.functions.arrays import cut, indexes, let, pages_of, running_max, running_sum
 
 MATCH = "struct<start:int,end:int,text:string>"
 DETECTION = (
@@ -29,34 +29,31 @@ def empty_of(element_type: str) -> Column:
 
 
 def _with_offsets(
-    text: Column, regex: Column, element_type: str, dress: Callable[[Column, Column, Column], Column]
+    text: Column, regex: Column, dress: Callable[[Column, Column, Column], Column]
 ) -> Column:
     """All leftmost, non-overlapping matches; ``dress(start, end, value)`` makes an element.
 
     The text between matches and the matches themselves come from one pass
     each; running lengths give the offsets.
     """
-    grower = Grower(element_type)
-    pieces = F.zip_with(
-        F.split(text, regex, -1),
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda gap, hit: F.struct(
-            F.length(gap).alias("gap"), F.length(hit).alias("len"), hit.alias("hit")
-        ),
+    found = F.struct(
+        F.transform(F.split(text, regex, -1), F.length).alias("gaps"),
+        F.regexp_extract_all(text, regex, F.lit(0)).alias("hits"),
     )
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["pos"] + piece["gap"]
-        end = start + piece["len"]
-        return F.when(piece["hit"].isNull(), acc).otherwise(
-            F.struct(
-                end.alias("pos"),
-                grower.push(acc["out"], dress(start, end, piece["hit"])).alias("out"),
-            )
-        )
+    def placed(gaps: Column, hits: Column) -> Column:
+        lengths = F.transform(hits, lambda hit, i: F.get(gaps, i) + F.length(hit))
+
+        def at(befores: Column) -> Column:
+            def element(hit: Column, i: Column) -> Column:
+                start = F.get(befores, i) + F.get(gaps, i)
+                return dress(start, start + F.length(hit), hit)
+
+            return F.transform(hits, element)
 
-    zero = F.struct(F.lit(0).alias("pos"), grower.empty().alias("out"))
-    return F.aggregate(pieces, zero, step, lambda acc: grower.items(acc["out"]))
+        return let(running_sum(lengths), at)
+
+    return let(found, lambda pair: placed(pair["gaps"], pair["hits"]))
 
 
 def match(start: Column, end: Column, text: Column) -> Column:
@@ -65,7 +62,7 @@ def match(start: Column, end: Column, text: Column) -> Column:
 
 def find_matches(text: Column, regex: str) -> Column:
     """``array<MATCH>`` of one regex."""
-    return _with_offsets(text, F.lit(regex), MATCH, match)
+    return _with_offsets(text, F.lit(regex), match)
 
 
 def ranked(
@@ -123,14 +120,13 @@ def find_ranked(text: Column, searches: Sequence[tuple[Column, str, int, str, fl
                 method=F.lit("regex"),
             )
 
-        return _with_offsets(text, row["regex"], RANKED, dress)
+        return _with_offsets(text, row["regex"], dress)
 
     return F.flatten(F.transform(F.filter(rows, lambda row: row["hit"]), search))
 
 
 def drop_repeats(spans: Column) -> Column:
     """Of spans with the same rank and offsets keep one; by rank, else in the order given."""
-    grower = Grower(f"struct<rank:int,at:int,span:{RANKED}>")
     keyed = F.transform(
         spans,
         lambda s, i: F.struct(
@@ -142,16 +138,23 @@ def drop_repeats(spans: Column) -> Column:
         ),
     )
 
-    def step(acc: Column, new: Column) -> Column:
-        old = grower.last(acc)["span"]
-        same = (old["rank"] == new["rank"]) & (old["start"] == new["start"]) & (
-            old["end"] == new["end"]
-        )
-        item = F.struct(*[new[c].alias(c) for c in ("rank", "at", "span")])
-        return F.when(F.coalesce(same, F.lit(False)), acc).otherwise(grower.push(acc, item))
+    def once(ordered: Column) -> Column:
+        def is_new(key: Column, i: Column) -> Column:
+            old = F.get(ordered, i - 1)
+            same = F.lit(True)
+            for name in ("rank", "start", "end"):
+                same = same & old[name].eqNullSafe(key[name])
+            return ~same
+
+        return F.filter(ordered, is_new)
 
-    once = F.aggregate(F.sort_array(keyed), grower.empty(), step, grower.items)
-    return F.transform(F.sort_array(once), lambda k: k["span"])
+    in_order = F.sort_array(
+        F.transform(
+            let(F.sort_array(keyed), once),
+            lambda k: F.struct(*[k[c].alias(c) for c in ("rank", "at", "span")]),
+        )
+    )
+    return F.transform(in_order, lambda k: k["span"])
 
 
 def plain(spans: Column) -> Column:
@@ -160,18 +163,45 @@ def plain(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in names]))
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Keep disjoint spans, in order of position.
+def islands(spans: Column) -> Column:
+    """Cut spans, sorted by start, where a span begins after all earlier ones ended.
+
+    Spans of different islands do not overlap, so what is to be settled is
+    settled island by island, on a few spans at a time.
+    """
+
+    def cut_at(found: Column, begins: Column) -> Column:
+        return F.transform(
+            begins,
+            lambda at, k: F.slice(
+                found, at + 1, F.coalesce(F.get(begins, k + 1), F.size(found)) - at
+            ),
+        )
+
+    def cut_up(found: Column) -> Column:
+        reach = running_max(F.transform(found, lambda s: s["end"]))
+        begins = let(
+            reach,
+            lambda ends: F.filter(
+                indexes(found), lambda i: F.get(found, i)["start"] >= F.get(ends, i)
+            ),
+        )
+        return let(begins, lambda at: cut_at(found, at))
+
+    return let(spans, cut_up)
+
+
+def settle_islands(groups: Column) -> Column:
+    """Keep disjoint spans, in order of position, from ``islands`` of ``array<RANKED>``.
 
     Of two that overlap the longer one stays; then the more confident one; then
     a pattern match over a model's guess; then the earlier one.  Kept spans are
     disjoint and sorted and each new span starts at or after the last kept one,
     so that one is the only candidate for an overlap.
     """
-    grower = Grower(RANKED)
 
-    def step(acc: Column, new: Column) -> Column:
-        old = grower.last(acc)
+    def step(kept: Column, new: Column) -> Column:
+        old = F.try_element_at(kept, F.lit(-1))
         new_length = new["end"] - new["start"]
         old_length = old["end"] - old["start"]
         wins = (new_length > old_length) | (
@@ -186,12 +216,16 @@ def resolve_overlaps(spans: Column) -> Column:
             )
         )
         return (
-            F.when(old.isNull() | (new["start"] >= old["end"]), grower.push(acc, new))
-            .when(wins, grower.replace_last(acc, new))
-            .otherwise(acc)
+            F.when(old.isNull() | (new["start"] >= old["end"]), F.concat(kept, F.array(new)))
+            .when(wins, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(new)))
+            .otherwise(kept)
         )
 
-    return F.aggregate(F.sort_array(spans), grower.empty(), step, grower.items)
+    def settle(island: Column) -> Column:
+        settled = F.aggregate(island, empty_of(RANKED), step)
+        return F.when(F.size(island) == 1, island).otherwise(settled)
+
+    return F.flatten(F.transform(groups, settle))
 
 
 def splice(

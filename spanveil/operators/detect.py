@@ -6,47 +6,31 @@ without a hit costs one failing regex search per rule.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.addresses import address_candidates, address_parts, addresses_of
-from spanveil.functions.rules import BASIC_RULES, GATES, STRUCTURED_RULES, Rule, rule_spans
-from spanveil.functions.spans import count_by_type, drop_repeats, plain, resolve_overlaps
-
-_RULES = "__rules"
-_PARTS = "__address_parts"
-_RAW = "__raw"
-
-
-def _with_gates(
-    df: DataFrame, text: str, rules: Iterable[Rule]
-) -> tuple[DataFrame, dict[str, Column]]:
-    """Add the gates of the rules as columns, so that each is looked at once per row."""
-    needed = sorted({p.needs for r in rules for p in r.patterns if p.needs} | {"digits"})
-    gated = df.withColumns({f"__gate_{name}": GATES[name](F.col(text)) for name in needed})
-    return gated, {name: F.col(f"__gate_{name}") for name in needed}
+from spanveil.functions.addresses import address_candidates
+from spanveil.functions.rules import BASIC_RULES, STRUCTURED_RULES, Rule
+from spanveil.functions.spans import count_by_type, drop_repeats, plain
+from spanveil.functions.stages import (
+    RESOLVE,
+    address_stages,
+    raw_stages,
+    stage_column,
+    stage_columns,
+)
 
 
 def _with_raw(
-    df: DataFrame,
-    text: str,
-    rules: Sequence[Rule],
-    addresses: bool,
-    model_spans: str | None,
+    df: DataFrame, text: str, rules: Sequence[Rule], addresses: bool, model_spans: str | None
 ) -> DataFrame:
-    """Add all ranked matches as ``_RAW``, rule by rule."""
-    gated, gates = _with_gates(df, text, rules)
-    parts = [F.col(_RULES)]
-    found = {_RULES: rule_spans(F.col(text), rules, gates)}
-    if addresses:
-        found[_PARTS] = address_parts(F.col(text), gates)
-        parts.append(addresses_of(F.col(text), F.col(_PARTS)))
+    more = None
     if model_spans:
         none = F.array().cast(df.schema[model_spans].dataType)
-        parts.append(F.coalesce(F.col(model_spans), none))
-    return gated.withColumns(found).withColumn(_RAW, F.concat(*parts))
+        more = F.coalesce(F.col(model_spans), none)
+    return stage_columns(df, text, raw_stages(rules, addresses, more))
 
 
 def find_rule(df: DataFrame, rule: Rule, text: str = "text", *, out: str = "detections") -> DataFrame:
@@ -58,14 +42,15 @@ def find_address_kind(
     df: DataFrame, kind: str, text: str = "text", *, out: str = "detections"
 ) -> DataFrame:
     """Address candidates of one kind: prefix, street, unit or city."""
-    parted = df.withColumn(_PARTS, address_parts(F.col(text)))
-    return parted.select(*df.columns, address_candidates(F.col(text), F.col(_PARTS))[kind].alias(out))
+    parts = stage_columns(df, text, address_stages()[:1])
+    found = address_candidates(F.col(text), F.col(stage_column("parts")))
+    return parts.select(*df.columns, found[kind].alias(out))
 
 
 def find_addresses(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
     """All addresses, before other entities come in."""
-    parted = df.withColumn(_PARTS, address_parts(F.col(text)))
-    return parted.select(*df.columns, plain(addresses_of(F.col(text), F.col(_PARTS))).alias(out))
+    staged = stage_columns(df, text, address_stages())
+    return staged.select(*df.columns, plain(F.col(stage_column("addresses"))).alias(out))
 
 
 def detect_raw(
@@ -78,9 +63,9 @@ def detect_raw(
     out: str = "detections",
 ) -> DataFrame:
     """All matches in rule order, overlaps included."""
-    return _with_raw(df, text, rules, addresses, model_spans).select(
-        *df.columns, plain(drop_repeats(F.col(_RAW))).alias(out)
-    )
+    staged = _with_raw(df, text, rules, addresses, model_spans)
+    raw = drop_repeats(F.col(stage_column("raw")))
+    return staged.select(*df.columns, plain(raw).alias(out))
 
 
 def detect(
@@ -97,16 +82,15 @@ def detect(
     ``rules`` may hold own rules besides the built-in ones; ``model_spans``
     names a column with spans of a named-entity model (see ``entities``).
     """
-    return _with_raw(df, text, rules, addresses, model_spans).select(
-        *df.columns, plain(resolve_overlaps(F.col(_RAW))).alias(out)
-    )
+    staged = stage_columns(_with_raw(df, text, rules, addresses, model_spans), text, RESOLVE)
+    return staged.select(*df.columns, plain(F.col(stage_column("resolved"))).alias(out))
 
 
 def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
     """The basic profile: six rules, sorted by start, overlaps left as they are."""
-    gated, gates = _with_gates(df, text, BASIC_RULES)
+    staged = stage_columns(df, text, raw_stages(BASIC_RULES, addresses=False))
     keyed = F.transform(
-        rule_spans(F.col(text), BASIC_RULES, gates),
+        F.col(stage_column("raw")),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["rank"].alias("rank"),
@@ -114,7 +98,7 @@ def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections")
             *[s[c].alias(c) for c in ("entity_type", "text", "confidence", "detection_method")],
         ),
     )
-    return gated.select(*df.columns, plain(F.sort_array(keyed)).alias(out))
+    return staged.select(*df.columns, plain(F.sort_array(keyed)).alias(out))
 
 
 def with_counts(

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
-from spanveil.functions.arrays import Grower, cut, let, pages_of
-from spanveil.functions.addresses import address_parts, addresses_of
+from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.masks import check_mode, redact, replacement
-from spanveil.functions.rules import GATES, STRUCTURED_RULES, Rule, rule_spans
-from spanveil.functions.spans import resolve_overlaps, splice
+from spanveil.functions.rules import STRUCTURED_RULES, Rule
+from spanveil.functions.spans import islands, splice
+from spanveil.functions.stages import RESOLVE, raw_stages, stage_fields
 
 Replace = Callable[[Column, Column], Column]
 
@@ -66,19 +66,13 @@ def mask_basic(
     """Star every character of a basic-profile span; overlaps do not matter."""
     if len(mask_char) != 1:
         raise ValueError("mask_char must be a single character")
-    grower = Grower("struct<start:int,end:int>")
-
-    def join(acc: Column, new: Column) -> Column:
-        old = grower.last(acc)
-        both = F.struct(
-            old["start"].alias("start"), F.greatest(old["end"], new["end"]).alias("end")
-        )
-        item = F.struct(new["start"].alias("start"), new["end"].alias("end"))
-        return F.when(old.isNull() | (new["start"] >= old["end"]), grower.push(acc, item)).otherwise(
-            grower.replace_last(acc, both)
-        )
-
-    covered = F.aggregate(F.col(detections), grower.empty(), join, grower.items)
+    covered = F.transform(
+        islands(F.col(detections)),
+        lambda island: F.struct(
+            F.element_at(island, 1)["start"].alias("start"),
+            F.array_max(F.transform(island, lambda s: s["end"])).alias("end"),
+        ),
+    )
     starred = let(
         covered,
         lambda spans: splice(
@@ -88,52 +82,73 @@ def mask_basic(
     return df.withColumn(out, starred)
 
 
+def _rewrite_backwards(pages: Column, spans: Column, upto: Column) -> Column:
+    """Put labels in place of spans, last first, in the text up to a position.
+
+    Offsets count in the original text, so a label is cut where the next span
+    to its left reaches over it.  The state is where the rewritten part begins
+    (``at``), its leading label (``head``), what follows it (``rest``), and
+    whether a cut ever went beyond the leading label.
+    """
+
+    def step(acc: Column, span: Column) -> Column:
+        over = span["end"] - acc["at"]
+        head, rest = acc["head"], acc["rest"]
+        whole = F.concat(head, rest)
+        following = F.when(
+            over <= 0, F.concat(cut(pages, span["end"], acc["at"]), whole)
+        ).otherwise(F.coalesce(whole.substr(over + 1, F.length(whole)), F.lit("")))
+        return F.struct(
+            span["start"].alias("at"),
+            redact(F.upper(span["entity_type"])).alias("head"),
+            following.alias("rest"),
+            (acc["beyond"] | (over > F.length(head))).alias("beyond"),
+        )
+
+    zero = F.struct(
+        upto.alias("at"),
+        F.lit("").alias("head"),
+        F.lit("").alias("rest"),
+        F.lit(False).alias("beyond"),
+    )
+    return F.aggregate(F.reverse(spans), zero, step)
+
+
 def redact_basic(
     df: DataFrame, text: str = "text", *, detections: str = "detections", out: str = "redacted_text"
 ) -> DataFrame:
     """Put labels in place of basic-profile spans, from the last to the first.
 
-    Spans may overlap, and a label is then cut by the offsets of the next span
-    to its left, which count in the original text.  The state is where the
-    rewritten part begins (``at``), its leading label (``head``) and the pieces
-    after it, last one first.
+    Spans that overlap are rewritten island by island.  If a cut goes beyond a
+    label, which takes a label shorter than the value it stands for, the text
+    after the island is cut too; such a text is rewritten in one go.
     """
-    grower = Grower("string")
-
-    def rewrite(pages: Column, spans: Column) -> Column:
-        def step(acc: Column, span: Column) -> Column:
-            label = redact(F.upper(span["entity_type"]))
-            over = span["end"] - acc["at"]
-            head, rest = acc["head"], acc["rest"]
-            gap = cut(pages, span["end"], acc["at"])
-            cut_head = head.substr(over + 1, F.length(head))
-            whole = F.concat(head, F.array_join(F.reverse(grower.items(rest)), ""))
-            cut_whole = F.coalesce(whole.substr(over + 1, F.length(whole)), F.lit(""))
-            following = (
-                F.when(over <= 0, grower.push(grower.push(rest, head), gap))
-                .when(over <= F.length(head), grower.push(rest, cut_head))
-                .otherwise(grower.push(grower.empty(), cut_whole))
+
+    def in_islands(pages: Column, found: Column) -> Column:
+        def rewrite(island: Column) -> Column:
+            end = F.array_max(F.transform(island, lambda s: s["end"]))
+            return let(
+                _rewrite_backwards(pages, island, end),
+                lambda r: F.struct(
+                    F.element_at(island, 1)["start"].alias("start"),
+                    end.alias("end"),
+                    F.concat(r["head"], r["rest"]).alias("new"),
+                    r["beyond"].alias("beyond"),
+                ),
             )
-            return F.struct(
-                span["start"].alias("at"), label.alias("head"), following.alias("rest")
+
+        def assemble(parts: Column) -> Column:
+            in_one_go = let(
+                _rewrite_backwards(pages, found, F.length(F.col(text))),
+                lambda r: F.concat(cut(pages, F.lit(0), r["at"]), r["head"], r["rest"]),
             )
+            spliced = splice(F.col(text), parts, lambda _, part: part["new"])
+            return F.when(F.exists(parts, lambda p: p["beyond"]), in_one_go).otherwise(spliced)
 
-        zero = F.struct(
-            F.length(F.col(text)).alias("at"), F.lit("").alias("head"), grower.empty().alias("rest")
-        )
-        return F.aggregate(
-            F.reverse(spans),
-            zero,
-            step,
-            lambda acc: F.concat(
-                cut(pages, F.lit(0), acc["at"]),
-                acc["head"],
-                F.array_join(F.reverse(grower.items(acc["rest"])), ""),
-            ),
-        )
+        return let(F.transform(islands(found), rewrite), assemble)
 
     rewritten = let(
-        pages_of(F.col(text)), lambda pages: let(F.col(detections), lambda d: rewrite(pages, d))
+        pages_of(F.col(text)), lambda pages: let(F.col(detections), lambda d: in_islands(pages, d))
     )
     return df.withColumn(out, F.when(F.size(detections) == 0, F.col(text)).otherwise(rewritten))
 
@@ -161,24 +176,19 @@ def sanitize_sql_literals(
         F.split(F.col(text), _SQL_LITERAL, -1),
         F.regexp_extract_all(F.col(text), F.lit(_SQL_LITERAL), F.lit(0)),
         lambda gap, literal: F.struct(
-            gap.alias("gap"), literal.substr(F.lit(2), F.length(literal) - 2).alias("inner")
+            gap.alias("gap"), literal.substr(F.lit(2), F.length(literal) - 2).alias("text")
         ),
     )
-
-    def clean(inner: Column) -> Column:
-        def spans(gates: Column) -> Column:
-            by_name = {name: gates[name] for name in GATES}
-            addresses = let(address_parts(inner, by_name), lambda parts: addresses_of(inner, parts))
-            return F.concat(rule_spans(inner, rules, by_name), addresses)
-
-        gates = F.struct(*[look(inner).alias(name) for name, look in GATES.items()])
-        found = resolve_overlaps(let(gates, spans))
-        return let(found, lambda kept: splice(inner, kept, replace))
-
+    stages = [*raw_stages(rules, addresses=True), *RESOLVE]
+    staged = stage_fields(df.withColumn("__pieces", pieces), "__pieces", stages)
+    # The last piece is the text after the last literal.
     rebuilt = F.transform(
-        pieces,
-        lambda p: F.when(p["inner"].isNull(), p["gap"]).otherwise(
-            F.concat(p["gap"], F.lit("'"), clean(p["inner"]), F.lit("'"))
+        F.col("__pieces"),
+        lambda p: F.when(p["text"].isNull(), p["gap"]).otherwise(
+            F.concat(
+                p["gap"], F.lit("'"), splice(p["text"], p["resolved"], replace), F.lit("'")
+            )
         ),
     )
-    return df.withColumn(out, F.array_join(rebuilt, ""))
+    kept = [c for c in df.columns if c != out]
+    return staged.select(*kept, F.array_join(rebuilt, "").alias(out))
