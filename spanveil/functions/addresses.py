@@ -84,19 +84,22 @@ def address_parts(text: Column, gates: Mapping[str, Column] | None = None) -> Co
     return find_ranked(text, searches)
 
 
-def address_candidates(text: Column, parts: Column) -> dict[str, Column]:
-    """``array<MATCH>`` per kind of address, from ``address_parts``."""
+def address_candidates(kind: str, text: Column, parts: Column) -> Column:
+    """``array<MATCH>`` of one kind (prefix, street, unit, city), from ``address_parts``."""
 
     def only(number: int) -> Column:
         return F.filter(parts, lambda p: p["rank"] == number)
 
-    has_street = F.exists(parts, lambda p: p["rank"] == 2)
-    return {
-        "prefix": _after_prefix(only(1)),
-        "street": F.when(has_street, _streets(text, only(2))).otherwise(empty_of(MATCH)),
-        "unit": F.filter(_stripped(only(3)), _has_good_length),
-        "city": _stripped(only(4)),
-    }
+    if kind == "prefix":
+        return _after_prefix(only(1))
+    if kind == "street":
+        has_street = F.exists(parts, lambda p: p["rank"] == 2)
+        return F.when(has_street, _streets(text, only(2))).otherwise(empty_of(MATCH))
+    if kind == "unit":
+        return F.filter(_stripped(only(3)), _has_good_length)
+    if kind == "city":
+        return _stripped(only(4))
+    raise ValueError(f"unknown kind of address {kind!r}")
 
 
 def clear_of(candidates: Column, accepted: Column) -> Column:

@@ -9,6 +9,7 @@ one row).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def address_stages(gate_stages: Sequence[Stage] = ()) -> list[Stage]:
     """
 
     def kind(name: str) -> Callable[[Get], Column]:
-        return lambda get: A.address_candidates(get("text"), get("parts"))[name]
+        return lambda get: A.address_candidates(name, get("text"), get("parts"))
 
     return [
         ("parts", lambda get: A.address_parts(get("text"), _gates(get, gate_stages))),
@@ -69,15 +70,18 @@ def address_stages(gate_stages: Sequence[Stage] = ()) -> list[Stage]:
     ]
 
 
-def raw_stages(rules: Sequence[Rule], addresses: bool, more: Column | None = None) -> list[Stage]:
-    """Up to ``raw``: all ranked spans, rule by rule."""
+def span_stages(rules: Sequence[Rule], addresses: bool) -> list[Stage]:
+    """Up to ``rules`` and ``addresses``."""
     gate_stages = _gate_stages(rules, addresses)
     stages = [
         *gate_stages,
         ("rules", lambda get: rule_spans(get("text"), rules, _gates(get, gate_stages))),
     ]
-    if addresses:
-        stages += address_stages(gate_stages)
+    return stages + (address_stages(gate_stages) if addresses else [])
+
+
+def raw_stage(addresses: bool, more: Column | None = None) -> Stage:
+    """All ranked spans, rule by rule."""
 
     def raw(get: Get) -> Column:
         parts = [get("rules")]
@@ -87,7 +91,7 @@ def raw_stages(rules: Sequence[Rule], addresses: bool, more: Column | None = Non
             parts.append(more)
         return F.concat(*parts)
 
-    return [*stages, ("raw", raw)]
+    return "raw", raw
 
 
 RESOLVE: list[Stage] = [
@@ -96,14 +100,41 @@ RESOLVE: list[Stage] = [
 ]
 
 
+def _get_column(text: str) -> Get:
+    return lambda name: F.col(text if name == "text" else stage_column(name))
+
+
 def stage_columns(df: DataFrame, text: str, stages: Sequence[Stage]) -> DataFrame:
     """Add the stages as columns, named by ``stage_column``."""
+    for name, expression in stages:
+        df = df.withColumn(stage_column(name), expression(_get_column(text)))
+    return df
 
-    def get(name: str) -> Column:
-        return F.col(text if name == "text" else stage_column(name))
 
-    for name, expression in stages:
-        df = df.withColumn(stage_column(name), expression(get))
+@lru_cache(maxsize=64)
+def _span_columns(text: str, rules: tuple[Rule, ...], addresses: bool) -> list[tuple[str, Column]]:
+    """The span stages as columns; they are unresolved, so they serve any table."""
+    return [(name, e(_get_column(text))) for name, e in span_stages(rules, addresses)]
+
+
+@lru_cache(maxsize=64)
+def _resolve_columns() -> list[tuple[str, Column]]:
+    return [(name, e(_get_column(""))) for name, e in RESOLVE]
+
+
+def raw_columns(
+    df: DataFrame, text: str, rules: Sequence[Rule], addresses: bool, more: Column | None = None
+) -> DataFrame:
+    """Add all stages up to ``raw``."""
+    for name, column in _span_columns(text, tuple(rules), addresses):
+        df = df.withColumn(stage_column(name), column)
+    return stage_columns(df, text, [raw_stage(addresses, more)])
+
+
+def resolved_columns(df: DataFrame) -> DataFrame:
+    """Add the stages from ``raw`` to ``resolved``."""
+    for name, column in _resolve_columns():
+        df = df.withColumn(stage_column(name), column)
     return df
 
 

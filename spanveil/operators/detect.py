@@ -15,9 +15,9 @@ from spanveil.functions.addresses import address_candidates
 from spanveil.functions.rules import BASIC_RULES, STRUCTURED_RULES, Rule
 from spanveil.functions.spans import count_by_type, drop_repeats, plain
 from spanveil.functions.stages import (
-    RESOLVE,
     address_stages,
-    raw_stages,
+    raw_columns,
+    resolved_columns,
     stage_column,
     stage_columns,
 )
@@ -30,7 +30,7 @@ def _with_raw(
     if model_spans:
         none = F.array().cast(df.schema[model_spans].dataType)
         more = F.coalesce(F.col(model_spans), none)
-    return stage_columns(df, text, raw_stages(rules, addresses, more))
+    return raw_columns(df, text, rules, addresses, more)
 
 
 def find_rule(df: DataFrame, rule: Rule, text: str = "text", *, out: str = "detections") -> DataFrame:
@@ -43,8 +43,8 @@ def find_address_kind(
 ) -> DataFrame:
     """Address candidates of one kind: prefix, street, unit or city."""
     parts = stage_columns(df, text, address_stages()[:1])
-    found = address_candidates(F.col(text), F.col(stage_column("parts")))
-    return parts.select(*df.columns, found[kind].alias(out))
+    found = address_candidates(kind, F.col(text), F.col(stage_column("parts")))
+    return parts.select(*df.columns, found.alias(out))
 
 
 def find_addresses(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
@@ -82,13 +82,13 @@ def detect(
     ``rules`` may hold own rules besides the built-in ones; ``model_spans``
     names a column with spans of a named-entity model (see ``entities``).
     """
-    staged = stage_columns(_with_raw(df, text, rules, addresses, model_spans), text, RESOLVE)
+    staged = resolved_columns(_with_raw(df, text, rules, addresses, model_spans))
     return staged.select(*df.columns, plain(F.col(stage_column("resolved"))).alias(out))
 
 
 def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
     """The basic profile: six rules, sorted by start, overlaps left as they are."""
-    staged = stage_columns(df, text, raw_stages(BASIC_RULES, addresses=False))
+    staged = raw_columns(df, text, BASIC_RULES, addresses=False)
     keyed = F.transform(
         F.col(stage_column("raw")),
         lambda s: F.struct(

@@ -12,7 +12,7 @@ from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.masks import check_mode, redact, replacement
 from spanveil.functions.rules import STRUCTURED_RULES, Rule
 from spanveil.functions.spans import islands, splice
-from spanveil.functions.stages import RESOLVE, raw_stages, stage_fields
+from spanveil.functions.stages import RESOLVE, raw_stage, span_stages, stage_fields
 
 Replace = Callable[[Column, Column], Column]
 
@@ -179,7 +179,7 @@ def sanitize_sql_literals(
             gap.alias("gap"), literal.substr(F.lit(2), F.length(literal) - 2).alias("text")
         ),
     )
-    stages = [*raw_stages(rules, addresses=True), *RESOLVE]
+    stages = [*span_stages(rules, addresses=True), raw_stage(addresses=True), *RESOLVE]
     staged = stage_fields(df.withColumn("__pieces", pieces), "__pieces", stages)
     # The last piece is the text after the last literal.
     rebuilt = F.transform(
