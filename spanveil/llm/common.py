@@ -55,12 +55,4 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
-    blank = r"[\x20\x09-\x0D]+"
-    words = F.size(F.split(F.regexp_replace(text, f"^{blank}|{blank}$", ""), blank))
-    return F.when(text.isNull() | (~text.rlike(WORD_PATTERN)), 0).otherwise(words).cast("long")
-
-
-def without(frame: DataFrame, *names: str) -> DataFrame:
-    """The frame without the named columns, whatever the case of their names."""
-    drop = {name.lower() for name in names}
-    return frame.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() not in drop])
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanveil.llm import oracles
 from spanveil.llm.common import table
+from spanveil.llm.fair_mix import mix
 from spanveil.llm.ngram_join import ngram_classes
+from spanveil.llm.one_bit_search import nearest
+from spanveil.llm.url_templates import DEPTH, VARIETY, filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +20,42 @@ def op1_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
     return ngram_classes(table(spark, directory, "documents"), width=4, num=85, den=100)
 
 
+#: Host, path and verdict of the rules for pages.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
+    return filter_urls(table(spark, directory, "pages"), URL_RULES)
+
+
+def op9_fair_mix(spark: SparkSession, directory: str) -> DataFrame:
+    return mix(table(spark, directory, "documents"), weights=(3, 1, 2), percent=150, most=2)
+
+
+def op10_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return nearest(table(spark, directory, "embeddings"), every=50, k=5)
+
+
+QUERIES = [
+    op1_ngram_join,
+    op3_url_filters,
+    op9_fair_mix,
+    op10_nearest_neighbours,
+]
+
+
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_ngram_join,)}
+    return {q.__name__: q for q in QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_filters": oracles.url_templates(URL_RULES, DEPTH, VARIETY),
+        "op9_fair_mix": oracles.FAIR_MIX,
+    }
