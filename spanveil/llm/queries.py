@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanveil.llm import oracles
+from spanveil.llm.bit_planes import token_table
 from spanveil.llm.common import table
+from spanveil.llm.decontaminate import contamination
 from spanveil.llm.fair_mix import mix
 from spanveil.llm.ngram_join import ngram_classes
 from spanveil.llm.one_bit_search import nearest
@@ -34,6 +37,15 @@ def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     return filter_urls(table(spark, directory, "pages"), URL_RULES)
 
 
+def op5_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_table(table(spark, directory, "documents"), path, end_id=2)
+
+
+def op7_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def op9_fair_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mix(table(spark, directory, "documents"), weights=(3, 1, 2), percent=150, most=2)
 
@@ -45,6 +57,8 @@ def op10_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = [
     op1_ngram_join,
     op3_url_filters,
+    op5_token_files,
+    op7_decontamination,
     op9_fair_mix,
     op10_nearest_neighbours,
 ]
