@@ -47,6 +47,19 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT A
 FROM queued q LEFT JOIN taken t USING (doc_id)
 """
 
+ARCHIVES = r"""
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM rows
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id != first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id != first THEN first END AS refers_to
+FROM firsts
+"""
+
 
 def url_templates(rules: list[tuple[str, str, str]], depth: int, variety: int) -> str:
     """The URL filter with these rules."""

@@ -14,7 +14,11 @@ from spanveil.llm.decontaminate import contamination
 from spanveil.llm.fair_mix import mix
 from spanveil.llm.ngram_join import ngram_classes
 from spanveil.llm.one_bit_search import nearest
+from spanveil.llm.pu_quality import learn_quality, quality
+from spanveil.llm.toxicity import learn_lexicon, toxicity
 from spanveil.llm.url_templates import DEPTH, VARIETY, filter_urls
+from spanveil.llm.warc import archive_table
+from spanveil.llm.wrappers import extract_main_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,19 +37,37 @@ URL_RULES = [
 ]
 
 
+def op2_warc(spark: SparkSession, directory: str) -> DataFrame:
+    return archive_table(table(spark, directory, "pages"))
+
+
 def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     return filter_urls(table(spark, directory, "pages"), URL_RULES)
 
 
+def op4_main_texts(spark: SparkSession, directory: str) -> DataFrame:
+    return extract_main_texts(table(spark, directory, "pages"))
+
+
 def op5_token_files(spark: SparkSession, directory: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_table(table(spark, directory, "documents"), path, end_id=2)
 
 
+def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return toxicity(documents, learn_lexicon(documents, table(spark, directory, "labels")))
+
+
 def op7_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return quality(documents, learn_quality(documents, table(spark, directory, "labels")))
+
+
 def op9_fair_mix(spark: SparkSession, directory: str) -> DataFrame:
     return mix(table(spark, directory, "documents"), weights=(3, 1, 2), percent=150, most=2)
 
@@ -56,20 +78,28 @@ def op10_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = [
     op1_ngram_join,
+    op2_warc,
     op3_url_filters,
+    op4_main_texts,
     op5_token_files,
+    op6_toxicity,
     op7_decontamination,
+    op8_quality,
     op9_fair_mix,
     op10_nearest_neighbours,
 ]
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    # Stands at the top of the repository and uses the operators of this package.
+    import corpus_pipeline
+
+    return {q.__name__: q for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
     return {
+        "op2_warc": oracles.ARCHIVES,
         "op3_url_filters": oracles.url_templates(URL_RULES, DEPTH, VARIETY),
         "op9_fair_mix": oracles.FAIR_MIX,
     }
