@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as V
 from spanveil.functions.arrays import cut, indexes, let, pages_of, running_max
 from spanveil.functions.regex import alternation, jvm_regex, strip
-from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, hit
+from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, hit, order_number
 from spanveil.functions.spans import MATCH, RANKED, empty_of, find_ranked, islands, match, ranked
 
 _PREFIX_HEAD = alternation(V.ADDRESS_PREFIX_WORDS)
@@ -33,7 +33,7 @@ UNIT = alternation(V.UNIT_WORDS) + jvm_regex(V.UNIT_TAIL, ignore_case=True)
 CITY = alternation(V.CITIES) + jvm_regex(V.CITY_TAIL, ignore_case=True)
 
 
-PARTS = (Pattern(PREFIX), Pattern(STREET), Pattern(UNIT), Pattern(CITY, "digits"))
+PARTS = (Pattern(PREFIX, "addr"), Pattern(STREET, "digit"), Pattern(UNIT), Pattern(CITY, "digits"))
 
 
 def _has_good_length(span: Column) -> Column:
@@ -179,7 +179,7 @@ def as_spans(settled: Column) -> Column:
             m["start"],
             m["end"],
             m["text"],
-            rank=F.lit(ADDRESS_RANK),
+            rank=F.lit(order_number(ADDRESS_RANK)),
             entity_type=F.lit("ADDRESS"),
             confidence=F.lit(ADDRESS_CONFIDENCE),
             method=F.lit("regex"),

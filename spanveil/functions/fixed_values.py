@@ -122,6 +122,7 @@ FILE_TYPES = {
     "jpeg": "image",
 }
 TEXT_FILE_TYPES = ["sql", "txt", "csv", "json"]
+BINARY_FILE_TYPES = ["pdf", "docx", "image"]
 MAX_FILE_SIZE = 50 * 1024 * 1024
 PREVIEW_LENGTH = 10_000
 PREVIEW_BINARY_MESSAGE = "[Binary file - preview not available]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.functions import fixed_values as V
@@ -20,6 +20,11 @@ GATES: dict[str, Callable[[Column], Column]] = {
     "dash": lambda text: text.contains("-"),
     "underscore": lambda text: text.contains("_"),
     "digits": lambda text: text.rlike(r"\p{Nd}{4}"),
+    "digit": lambda text: text.rlike(r"\p{Nd}"),
+    "dot": lambda text: text.contains("."),
+    "dotted": lambda text: text.rlike(r"[0-9]\.[0-9]"),
+    "zero": lambda text: text.contains("0"),
+    "addr": lambda text: text.rlike("(?i)addr"),
 }
 
 
@@ -38,9 +43,10 @@ class Pattern:
 class Rule:
     """One entity type found by patterns.
 
-    ``rank`` orders rules for ties, ``keep`` is a further test of a match and
-    ``mask`` hides a value (else the default mask of the entity type is used).
-    Patterns of a rule that match at the same offsets count once.
+    ``rank`` orders rules for ties, and rules of equal rank go in the order of
+    the list.  ``keep`` is a further test of a match and ``mask`` hides a value
+    (else the default mask of the entity type is used).  Patterns of a rule that
+    match at the same offsets count once.
     """
 
     entity_type: str
@@ -67,29 +73,85 @@ def hit(text: Column, pattern: Pattern, gates: Mapping[str, Column] | None = Non
     return F.coalesce(found if cheap is None else cheap & found, F.lit(False))
 
 
+# Rules of one rank that a list may hold.
+_PER_RANK = 1000
+
+
+def order_number(rank: int, place: int = 0) -> int:
+    """What spans are ordered by: the rank, then the place in the list, from 1.
+
+    It tells rules apart, also those of equal rank; place 0 is of what is found
+    without a rule, addresses and the spans of a model.
+    """
+    return rank * _PER_RANK + place
+
+
+def check_rules(rules: Sequence[Rule]) -> None:
+    """Refuse lists that would give wrong spans."""
+    if len(set(rules)) < len(rules):
+        raise ValueError("a rule is listed twice")
+    if len(rules) >= _PER_RANK:
+        raise ValueError(f"at most {_PER_RANK - 1} rules")
+    for regex in {p.regex for r in rules for p in r.patterns} - _BUILT_IN:
+        if _matches_nothing(regex):
+            raise ValueError(f"the pattern {regex!r} matches an empty text")
+
+
+def _matches_nothing(regex: str) -> bool:
+    """Whether a JVM regex matches the empty text; asked of the JVM, without a job."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return False
+    pattern = session.sparkContext._jvm.java.util.regex.Pattern.compile(regex)
+    return bool(pattern.matcher("").find())
+
+
 def rule_spans(
     text: Column, rules: Sequence[Rule], gates: Mapping[str, Column] | None = None
 ) -> Column:
     """``array<RANKED>`` of all rules, in order of rank; repeats are still in."""
+    check_rules(rules)
+    numbered = [(order_number(r.rank, i), r) for i, r in enumerate(rules, 1)]
+    numbered.sort(key=lambda pair: pair[0])
     searches = [
-        (hit(text, pattern, gates), pattern.regex, r.rank, r.entity_type, r.confidence)
-        for r in sorted(rules, key=lambda r: r.rank)
+        (hit(text, pattern, gates), pattern.regex, number, r.entity_type, r.confidence)
+        for number, r in numbered
         for pattern in r.patterns
     ]
     found = find_ranked(text, searches)
-    tests = [r for r in rules if r.keep is not None]
+    tests = [(number, r) for number, r in numbered if r.keep is not None]
     if not tests:
         return found
 
     def kept(span: Column) -> Column:
         test = F.when(F.lit(False), False)
-        for r in tests:
-            test = test.when(span["rank"] == r.rank, r.keep(span["text"]))
+        for number, r in tests:
+            test = test.when(span["rank"] == number, r.keep(span["text"]))
         return test.otherwise(True)
 
     return F.filter(found, kept)
 
 
+# Shorter runs are tried from each of their word edges.
+_LONG_RUN = 64
+
+
+def _before_at(pattern: str, ignore_case: bool = False) -> Pattern:
+    r"""A pattern ``\b[...]+@...`` that is tried once in a long run of ``[...]``.
+
+    Whether it matches from an edge in a run depends on what follows the run
+    only, so if it fails from the first edge it fails from all.  A long run is
+    then matched as a whole, to go on behind it, and is no hit: it has no "@".
+    """
+    letters, rest = pattern.removeprefix(r"\b").split("+@", 1)
+    once = rf"\b(?:{letters}++@{rest}|{letters}{{{_LONG_RUN},}}+)"
+    return Pattern(jvm_regex(once, ignore_case=ignore_case), "at")
+
+
+def _has_at(match: Column) -> Column:
+    return match.contains("@")
+
+
 def _is_upi(match: Column) -> Column:
     lowered = F.lower(match)
     test = lowered.contains(V.UPI_HANDLES[0])
@@ -113,7 +175,7 @@ def _any_case(pattern: str, needs: str) -> Pattern:
 
 
 STRUCTURED_RULES = (
-    Rule("EMAIL", 1, 0.95, (Pattern(jvm_regex(V.EMAIL), "at"),)),
+    Rule("EMAIL", 1, 0.95, (_before_at(V.EMAIL),), keep=_has_at),
     Rule(
         "PHONE",
         2,
@@ -137,7 +199,12 @@ STRUCTURED_RULES = (
         0.98,
         (Pattern(_starts("[A-Z]{5}[0-9]", jvm_regex(V.PAN, edges="()")), "digits"),),
     ),
-    Rule("IP_ADDRESS", 5, 0.95, (Pattern(_starts("[0-9]", jvm_regex(V.IP_ADDRESS, edges="()"))),)),
+    Rule(
+        "IP_ADDRESS",
+        5,
+        0.95,
+        (Pattern(_starts("[0-9]", jvm_regex(V.IP_ADDRESS, edges="()")), "dotted"),),
+    ),
     Rule(
         "CREDIT_CARD",
         6,
@@ -162,8 +229,8 @@ STRUCTURED_RULES = (
         (Pattern(_starts(r"[A-Z]\p{Nd}", jvm_regex(V.PASSPORT, edges="()")), "digits"),),
     ),
     Rule("BANK_ACCOUNT", 9, 0.85, (_digits_first(V.BANK_ACCOUNT),)),
-    Rule("IFSC", 10, 0.95, (Pattern(_starts("[A-Z]{4}0", jvm_regex(V.IFSC, edges="()"))),)),
-    Rule("UPI", 11, 0.90, (Pattern(jvm_regex(V.UPI), "at"),), keep=_is_upi),
+    Rule("IFSC", 10, 0.95, (Pattern(_starts("[A-Z]{4}0", jvm_regex(V.IFSC, edges="()")), "zero"),)),
+    Rule("UPI", 11, 0.90, (_before_at(V.UPI),), keep=_is_upi),
     Rule("DEVICE_ID", 12, 0.95, (_any_case(V.DEVICE_ID, "dash"),)),
     Rule("FINGERPRINT", 13, 0.98, (_any_case(V.FINGERPRINT, "underscore"),)),
     Rule("FACE_TEMPLATE", 14, 0.98, (_any_case(V.FACE_TEMPLATE, "underscore"),)),
@@ -175,14 +242,16 @@ MODEL_RANK = 100
 
 # The basic profile: own names, certain about everything, overlaps stay.
 BASIC_RULES = (
-    Rule("email", 1, 1.0, (Pattern(jvm_regex(V.EMAIL, ignore_case=True), "at"),)),
+    Rule("email", 1, 1.0, (_before_at(V.EMAIL, ignore_case=True),), keep=_has_at),
     Rule("phone", 2, 1.0, (Pattern(_starts("[+0-9]", jvm_regex(V.BASIC_PHONE)), "digits"),)),
     Rule("aadhaar", 3, 1.0, (_digits_first(V.BASIC_AADHAAR, edges="()()"),)),
     Rule("pan", 4, 1.0, (_any_case(V.PAN, "digits"),)),
-    Rule("ip", 5, 1.0, (Pattern(_starts("[0-9]", jvm_regex(V.BASIC_IP, edges="()"))),)),
+    Rule("ip", 5, 1.0, (Pattern(_starts("[0-9]", jvm_regex(V.BASIC_IP, edges="()")), "dot"),)),
     Rule("credit_card", 6, 1.0, (_digits_first(V.CREDIT_CARD),)),
 )
 
+_BUILT_IN = frozenset(p.regex for r in STRUCTURED_RULES + BASIC_RULES for p in r.patterns)
+
 
 def rule(entity_type: str) -> Rule:
     """A built-in rule by entity type; lower-case names are the basic profile."""

@@ -138,6 +138,16 @@ def resolved_columns(df: DataFrame) -> DataFrame:
     return df
 
 
+def sealed(df: DataFrame, keep: Sequence[str], result: Column, out: str) -> DataFrame:
+    """The columns to keep and a result that no filter is pushed through.
+
+    The optimizer puts a filter on a column below the projection that makes it, and
+    writes the whole expression into it: the texts would be searched again for each use.  A
+    generator of one row stops that; nothing is shuffled.
+    """
+    return df.select(*keep, F.inline_outer(F.array(F.struct(result.alias(out)))))
+
+
 def stage_column(name: str) -> str:
     return f"__{name}"
 

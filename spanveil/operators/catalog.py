@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as V
 from spanveil.functions.masks import check_mode
 from spanveil.functions.rules import STRUCTURED_RULES, Rule
+from spanveil.functions.spans import DETECTION, empty_of
 from spanveil.functions.texts import content_hash, file_type_of, reject_reason
 from spanveil.operators.detect import detect_with_counts
 from spanveil.operators.sanitize import sanitize
@@ -19,6 +20,9 @@ CATALOG_COLUMNS = [
     "filename",
     "file_type",
     "file_size",
+    "original_path",
+    "sanitized_path",
+    "encryption_key_id",
     "original_hash",
     "sanitized_hash",
     "anonymization_mode",
@@ -30,6 +34,7 @@ CATALOG_COLUMNS = [
     "created_at",
     "processed_at",
 ]
+STORED_COLUMNS = {"original_path", "sanitized_path", "encryption_key_id"}
 
 
 def admit(
@@ -81,16 +86,45 @@ def process_files(
 
 
 def catalog_rows(processed: DataFrame) -> DataFrame:
-    """Catalog records: no text, counts and detections as JSON."""
+    """Catalog records: no text, counts and detections as JSON.
+
+    Where a file was stored and which key encrypts it is null if nothing was stored.
+    """
+
+    def column(name: str) -> Column:
+        if name == "entity_counts":
+            return F.to_json(name).alias(name)
+        if name in STORED_COLUMNS and name not in processed.columns:
+            return F.lit(None).cast("string").alias(name)
+        return F.col(name)
+
     return processed.select(
-        *[
-            F.to_json(c).alias(c) if c == "entity_counts" else F.col(c)
-            for c in CATALOG_COLUMNS
-        ],
-        F.to_json("detections").alias("pii_detected"),
+        *[column(c) for c in CATALOG_COLUMNS], F.to_json("detections").alias("pii_detected")
     )
 
 
+def refused_rows(refused: DataFrame, processed_at: Column | None = None) -> DataFrame:
+    """Files that were not admitted, in the form of processed ones: failed, with the reason."""
+    original = F.col("content" if "content" in refused.columns else "text")
+    outcome = {
+        "file_type": file_type_of(F.col("filename")),
+        "file_size": F.octet_length(original),
+        "original_hash": content_hash(original),
+        "sanitized_hash": F.lit(None).cast("string"),
+        "anonymization_mode": F.lit(None).cast("string"),
+        "status": F.lit("failed"),
+        "error_message": F.col("reject_reason"),
+        "detections": empty_of(DETECTION),
+        "entity_counts": F.create_map().cast("map<string,bigint>"),
+        "total_entities": F.lit(0),
+        "sanitized_text": F.lit(None).cast("string"),
+        "processed_at": F.current_timestamp() if processed_at is None else processed_at,
+    }
+    dropped = {*outcome, "content", "reject_reason"}
+    kept = [c for c in refused.columns if c not in dropped]
+    return refused.select(*kept, *[column.alias(name) for name, column in outcome.items()])
+
+
 def parsed_counts(files: DataFrame, counts: str = "entity_counts") -> Column:
     """Counts as a map, from a map or from JSON text."""
     if files.schema[counts].dataType.typeName() == "map":

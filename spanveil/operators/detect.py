@@ -18,6 +18,7 @@ from spanveil.functions.stages import (
     address_stages,
     raw_columns,
     resolved_columns,
+    sealed,
     stage_column,
     stage_columns,
 )
@@ -44,13 +45,13 @@ def find_address_kind(
     """Address candidates of one kind: prefix, street, unit or city."""
     parts = stage_columns(df, text, address_stages()[:1])
     found = address_candidates(kind, F.col(text), F.col(stage_column("parts")))
-    return parts.select(*df.columns, found.alias(out))
+    return sealed(parts, df.columns, found, out)
 
 
 def find_addresses(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
     """All addresses, before other entities come in."""
     staged = stage_columns(df, text, address_stages())
-    return staged.select(*df.columns, plain(F.col(stage_column("addresses"))).alias(out))
+    return sealed(staged, df.columns, plain(F.col(stage_column("addresses"))), out)
 
 
 def detect_raw(
@@ -65,7 +66,7 @@ def detect_raw(
     """All matches in rule order, overlaps included."""
     staged = _with_raw(df, text, rules, addresses, model_spans)
     raw = drop_repeats(F.col(stage_column("raw")))
-    return staged.select(*df.columns, plain(raw).alias(out))
+    return sealed(staged, df.columns, plain(raw), out)
 
 
 def detect(
@@ -83,7 +84,7 @@ def detect(
     names a column with spans of a named-entity model (see ``entities``).
     """
     staged = resolved_columns(_with_raw(df, text, rules, addresses, model_spans))
-    return staged.select(*df.columns, plain(F.col(stage_column("resolved"))).alias(out))
+    return sealed(staged, df.columns, plain(F.col(stage_column("resolved"))), out)
 
 
 def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
@@ -98,7 +99,7 @@ def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections")
             *[s[c].alias(c) for c in ("entity_type", "text", "confidence", "detection_method")],
         ),
     )
-    return staged.select(*df.columns, plain(F.sort_array(keyed)).alias(out))
+    return sealed(staged, df.columns, plain(F.sort_array(keyed)), out)
 
 
 def with_counts(
@@ -127,16 +128,9 @@ def detections_to_json(df: DataFrame, detections: str = "detections", out: str =
 def explode_detections(
     df: DataFrame, keys: Sequence[str], detections: str = "detections"
 ) -> DataFrame:
-    """One row per detection: keys, position in the list, fields of the span.
-
-    The outer form is on purpose: for the plain one the optimizer infers a
-    filter on the array, pushes it below the detection and detects twice.
-    """
-    return (
-        df.select(*keys, F.posexplode_outer(detections).alias("pos", "span"))
-        .filter(F.col("pos").isNotNull())
-        .select(*keys, "pos", "span.*")
-    )
+    """One row per detection: keys, position in the list, fields of the span."""
+    found = df.select(*keys, F.posexplode(detections).alias("pos", "span"))
+    return found.select(*keys, "pos", "span.*")
 
 
 def count_entities(

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.fixed_values import MODEL_CONFIDENCE, MODEL_LABELS
 from spanveil.functions.regex import WORD
-from spanveil.functions.rules import MODEL_RANK
+from spanveil.functions.rules import MODEL_RANK, order_number
 from spanveil.functions.spans import RANKED, empty_of, find_matches, ranked
 
-Model = Callable[[str], Iterable[tuple[str, int, int]]]
+Model = Callable[[list[str]], Iterable[Iterable[tuple[str, int, int]]]]
 
 
 def with_model_entities(
@@ -22,38 +22,41 @@ def with_model_entities(
 ) -> DataFrame:
     """Add spans that a named-entity model finds.
 
-    ``load_model`` runs once per Python worker and returns a function from text
-    to (label, start, end).  If the model or its library is missing there are
-    no spans, and the patterns still work.
+    ``load_model`` returns a function from a list of texts to (label, start, end)
+    of each.  It is called once on the driver: if the model or its library is
+    missing there are no spans in the whole job, and the patterns still work.  Then it runs
+    once per Python worker, and a worker that lacks the model fails: a job never mixes
+    rows that were searched with rows that were not.
     """
+    try:
+        load_model()
+    except (ImportError, OSError):
+        return df.withColumn(out, empty_of(RANKED))
 
     @F.pandas_udf(f"array<{RANKED}>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            model = load_model()
-        except (ImportError, OSError):
-            model = None
-
-        def spans(value: str | None) -> list[dict]:
-            if model is None or not value:
-                return []
+        model = load_model()
+
+        def spans(value: str, entities: Iterable[tuple[str, int, int]]) -> list[dict]:
             return [
                 {
                     "start": start,
                     "neg_end": -end,
-                    "rank": MODEL_RANK,
+                    "rank": order_number(MODEL_RANK),
                     "end": end,
                     "entity_type": MODEL_LABELS[label],
                     "text": value[start:end],
                     "confidence": MODEL_CONFIDENCE,
                     "detection_method": "ner",
                 }
-                for label, start, end in model(value)
+                for label, start, end in entities
                 if label in MODEL_LABELS
             ]
 
         for batch in batches:
-            yield batch.map(spans, na_action=None)
+            texts = [value for value in batch if value]
+            found = iter(model(texts)) if texts else iter(())
+            yield pd.Series([spans(value, next(found)) if value else [] for value in batch])
 
     return df.withColumn(out, find(F.col(text)))
 
@@ -68,16 +71,20 @@ def with_listed_entities(
     key: str,
     text: str = "text",
     *,
-    max_words: int = 3,
     out: str = "model_spans",
 ) -> DataFrame:
     """Add spans of the names in a table (name, entity_type).
 
-    Runs of up to ``max_words`` words are joined with the names by equality, so
-    the work grows with the texts and not with the list; the optimizer chooses
-    the join by the size of the list.  ``key`` identifies a row of ``df``.
+    Runs of as many words as a name of the list has are joined with the names by
+    equality, so the work grows with the texts and not with the list; the optimizer
+    chooses the join by the size of the list.  ``key`` identifies a row of ``df``.
     """
     every_word = f"{WORD}+"
+    # Names are short: a handful of different lengths, read from the list.
+    size = F.size(find_matches(F.col("name"), every_word)).alias("n")
+    lengths = sorted(row["n"] for row in names.select(size).distinct().collect() if row["n"] > 0)
+    if not lengths:
+        return df.withColumn(out, empty_of(RANKED))
 
     def run(words: Column, n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
@@ -90,7 +97,7 @@ def with_listed_entities(
             ),
         )
 
-    runs = F.concat(*[run(F.col("__words"), n) for n in range(1, max_words + 1)])
+    runs = F.concat(*[run(F.col("__words"), n) for n in lengths])
     listed = names.select(
         _phrase(find_matches(F.col("name"), every_word)).alias("phrase"), "entity_type"
     ).distinct()
@@ -110,7 +117,7 @@ def with_listed_entities(
             hit["start"],
             hit["end"],
             cut(pages, hit["start"], hit["end"]),
-            rank=F.lit(MODEL_RANK),
+            rank=F.lit(order_number(MODEL_RANK)),
             entity_type=hit["entity_type"],
             confidence=F.lit(MODEL_CONFIDENCE),
             method=F.lit("ner"),

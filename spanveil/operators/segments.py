@@ -1,9 +1,9 @@
 """Documents that come in segments: paragraphs, cells, pages, turns.
 
-What is looked for is looked for in the whole document; what is rewritten are
-the segments.  A document is one row while it is worked on, so its size is
-checked first, on partial sums, and a document over the limit is refused as any
-other file of that size.  No key, however frequent, gathers more than the limit.
+What is looked for is looked for in the whole document, so a document is one row
+while it is searched; what is rewritten are the segments, and they stay rows of
+their own: what to replace in a document is joined to them.  Documents of any size
+are worked on; to refuse large ones, as a file of that size is, is a step of its own.
 """
 
 from __future__ import annotations
@@ -21,36 +21,34 @@ from spanveil.operators.detect import detect
 from spanveil.operators.sanitize import replacer
 
 PARAGRAPH, CELL, HEADER = 0, 1, 2
-_LARGE = 16 * 1024 * 1024
 
 
-def refused_documents(
+def admit_documents(
     segments: DataFrame, doc: str, text: str = "text", limit: int = MAX_FILE_SIZE
-) -> DataFrame:
-    """Documents whose segments, joined by line ends, exceed the limit."""
-    size = F.sum(F.octet_length(text)) + F.count(F.lit(1)) - 1
-    return segments.groupBy(doc).agg(size.alias("size")).filter(F.col("size") > limit)
+) -> tuple[DataFrame, DataFrame]:
+    """(segments of admitted documents, refused documents with size and ``reject_reason``).
+
+    The size is that of the segments joined by line ends; it is summed in parts.
+    """
+    size = F.sum(F.octet_length(F.coalesce(text, F.lit("")))) + F.count(F.lit(1)) - 1
+    refused = segments.groupBy(doc).agg(size.alias("size")).filter(F.col("size") > limit)
+    return (
+        segments.join(refused.select(doc), doc, "left_anti"),
+        refused.withColumn("reject_reason", F.lit("File too large")),
+    )
 
 
 def assemble(
-    segments: DataFrame,
-    doc: str,
-    position: str,
-    text: str = "text",
-    *,
-    kind: str | None = None,
-    limit: int = MAX_FILE_SIZE,
+    segments: DataFrame, doc: str, position: str, text: str = "text", *, kind: str | None = None
 ) -> DataFrame:
-    """One row per document: ``segments`` in order and ``text`` joined from them.
+    """One row per document with its ``text``, the segments in order.
 
     Paragraphs come before cells; headers and footers (kind 2) are segments but
-    not part of the text.
+    not part of the text.  Documents are dealt to as many partitions as the session's
+    shuffles have: adaptive packing goes by bytes, and would put small texts, which are heavy to
+    search, into one task.
     """
-    refused = refused_documents(segments, doc, text, limit).select(doc)
-    if limit >= _LARGE:
-        # At most one key per ``limit`` bytes of input, so the keys fit into a broadcast
-        # and a refused document is dropped before its rows would meet in a shuffle.
-        refused = F.broadcast(refused)
+    partitions = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segment = F.struct(
         (F.col(kind) if kind else F.lit(PARAGRAPH)).cast("int").alias("kind"),
         F.col(position).alias("position"),
@@ -58,15 +56,34 @@ def assemble(
     )
     joined = F.array_join(
         F.transform(
-            F.filter(F.col("segments"), lambda s: s["kind"] < HEADER), lambda s: s["text"]
+            F.filter(F.sort_array(F.collect_list(segment)), lambda s: s["kind"] < HEADER),
+            lambda s: s["text"],
         ),
         "\n",
     )
-    return (
-        segments.join(refused, doc, "left_anti")
-        .groupBy(doc)
-        .agg(F.sort_array(F.collect_list(segment)).alias("segments"))
-        .withColumn("text", joined)
+    return segments.repartition(partitions, doc).groupBy(doc).agg(joined.alias("text"))
+
+
+def _pieces(text: Column, swaps: Column, needle: str) -> Column:
+    """Pieces (text, fixed) of a segment: what a swap puts in is fixed, and not looked into again."""
+
+    def cut_out(piece: Column, s: Column) -> Column:
+        quoted = F.concat(
+            F.lit("\\Q"), F.replace(s[needle], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
+        )
+        put = F.struct(s["new"].alias("text"), F.lit(True).alias("fixed"))
+        parts = F.transform(
+            F.split(piece["text"], quoted, -1),
+            lambda t, i: let(
+                F.struct(t.alias("text"), F.lit(False).alias("fixed")),
+                lambda rest: F.when(i == 0, F.array(rest)).otherwise(F.array(put, rest)),
+            ),
+        )
+        holds = ~piece["fixed"] & (s[needle] != "") & F.contains(piece["text"], s[needle])
+        return F.when(holds, F.flatten(parts)).otherwise(F.array(piece))
+
+    return F.aggregate(
+        swaps, text, lambda acc, s: F.flatten(F.transform(acc, lambda p: cut_out(p, s)))
     )
 
 
@@ -81,43 +98,47 @@ def sanitize_segments(
     key: str | None = None,
     partial_fallback: bool = False,
     rules: Sequence[Rule] = STRUCTURED_RULES,
-    limit: int = MAX_FILE_SIZE,
 ) -> DataFrame:
     """Replace the values found in a document wherever its segments hold them.
 
     All occurrences of a value in a segment are replaced, later finds first.
-    With ``partial_fallback`` a value that a segment does not hold is looked
-    for by its first word.
+    With ``partial_fallback`` what a segment holds is decided on the segment as it
+    came: first the whole values, then, of values that it does not hold, the first word,
+    where nothing was replaced before.
     """
     replace = replacer(mode, key, rules)
-    whole = detect(assemble(segments, doc, position, text, kind=kind, limit=limit), rules=rules)
+    whole = detect(assemble(segments, doc, position, text, kind=kind), rules=rules)
     # What to look for and what to put there, worked out once per document.
-    swaps = F.transform(
-        F.reverse("detections"),
-        lambda d: F.struct(
-            d["text"].alias("value"),
-            F.coalesce(F.get(words_of(d["text"]), 0), F.lit("")).alias("word"),
-            replace(d["text"], d).alias("new"),
-        ),
+    swaps = F.array_distinct(
+        F.transform(
+            F.reverse("detections"),
+            lambda d: F.struct(
+                d["text"].alias("value"),
+                F.coalesce(F.get(words_of(d["text"]), 0), F.lit("")).alias("word"),
+                replace(d["text"], d).alias("new"),
+            ),
+        )
+    )
+    found = whole.filter(F.size("detections") > 0).select(
+        F.col(doc).alias("__doc"), swaps.alias("__swaps")
     )
+    given = F.coalesce(F.col(text), F.lit(""))
 
     def swap(acc: Column, s: Column) -> Column:
-        exact = F.when(F.contains(acc, s["value"]), F.replace(acc, s["value"], s["new"]))
-        if partial_fallback:
-            by_word = (s["word"] != "") & F.contains(acc, s["word"])
-            exact = exact.when(by_word, F.replace(acc, s["word"], s["new"]))
-        return exact.otherwise(acc)
-
-    rewritten = let(
-        swaps,
-        lambda all_swaps: F.transform(
-            F.col("segments"),
-            lambda s: F.struct(
-                s["kind"].alias("kind"),
-                s["position"].alias(position),
-                F.aggregate(all_swaps, s["text"], swap).alias("sanitized_text"),
-            ),
-        ),
+        return F.when(F.contains(acc, s["value"]), F.replace(acc, s["value"], s["new"])).otherwise(acc)
+
+    if partial_fallback:
+        start = F.array(F.struct(given.alias("text"), F.lit(False).alias("fixed")))
+        exact = F.filter("__swaps", lambda s: F.contains(given, s["value"]))
+        partial = F.filter("__swaps", lambda s: ~F.contains(given, s["value"]))
+        pieces = let(_pieces(start, exact, "value"), lambda p: _pieces(p, partial, "word"))
+        rewritten = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
+    else:
+        rewritten = F.aggregate("__swaps", given, swap)
+    # Segments stay rows: a document of very many is split by the join.
+    return segments.join(found, F.col(doc) == F.col("__doc"), "left").select(
+        doc,
+        (F.col(kind) if kind else F.lit(PARAGRAPH)).cast("int").alias("kind"),
+        position,
+        F.when(F.col("__swaps").isNull(), given).otherwise(rewritten).alias("sanitized_text"),
     )
-    # Outer, as in ``explode_detections``; every document has a segment.
-    return whole.select(doc, F.explode_outer(rewritten).alias("segment")).select(doc, "segment.*")

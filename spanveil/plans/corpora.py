@@ -7,9 +7,12 @@ engines.  ``chr(10)`` is a line end.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.sources.readers import read_table, spread
+from spanveil.sources.readers import read_table
 
 
 def _digits(value: str, width: int, fill: str = "0") -> str:
@@ -119,19 +122,28 @@ AS_OF_EVENTS = "2024-01-30 00:00:00"
 
 
 def run(spark: SparkSession, directory: str, sql: str, *tables: str) -> DataFrame:
-    """Run one of the statements above on the tables it names."""
+    """Run one of the statements above on the tables it names.
+
+    The tables are views of a name of their own for as long as the statement is
+    analyzed, so no view of the session is touched.
+    """
+    suffix = uuid.uuid4().hex
+    for table in tables:
+        read_table(spark, directory, table).createOrReplaceTempView(f"{table}_{suffix}")
+        sql = re.sub(rf"\bFROM {table}\b", f"FROM {table}_{suffix}", sql)
+    found = spark.sql(sql)
     for table in tables:
-        read_table(spark, directory, table).createOrReplaceTempView(table)
-    return spark.sql(sql)
+        spark.catalog.dropTempView(f"{table}_{suffix}")
+    return found
 
 
 def corpus(spark: SparkSession, directory: str) -> DataFrame:
     """Documents and records: (key, text)."""
     parts = [
-        spread(read_table(spark, directory, "documents").select("doc_id", "text")).selectExpr(
+        read_table(spark, directory, "documents").select("doc_id", "text").selectExpr(
             "'doc-' || doc_id AS key", "text"
         ),
-        spread(read_table(spark, directory, "customer")).selectExpr(
+        read_table(spark, directory, "customer").selectExpr(
             f"'rec-' || {K} AS key", f"{RECORD} AS text"
         ),
     ]

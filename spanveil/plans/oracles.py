@@ -432,21 +432,32 @@ def segments() -> dict[str, str]:
     joined = "SELECT conv_id AS key, string_agg(text, chr(10) ORDER BY turn) AS text FROM segs GROUP BY conv_id"
     word = r"coalesce(regexp_extract(m, '[^\s]+'), '')"
 
-    def swapped(fallback: bool) -> str:
-        partial = (
-            "WHEN d.w <> '' AND contains(acc.t, d.w) THEN replace(acc.t, d.w, d.r)" if fallback else ""
-        )
-        return f"""SELECT conv_id, turn, coalesce(list_reduce(swaps,
-  lambda acc, d: {{'f': '', 'w': '', 'r': '', 't': CASE WHEN contains(acc.t, d.f) THEN replace(acc.t, d.f, d.r) {partial} ELSE acc.t END}},
-  {{'f': '', 'w': '', 'r': '', 't': text}}).t, text) AS sanitized_text
-FROM segs LEFT JOIN (SELECT key, list({{'f': m, 'w': {word}, 'r': {mask_sql('m')}, 't': ''}} ORDER BY s DESC) AS swaps
-  FROM det GROUP BY key) d ON conv_id = d.key"""
+    swaps = f"""(SELECT key, list({{'i': i, 'f': m, 'w': {word}, 'r': {mask_sql('m')}, 't': ''}} ORDER BY i) AS swaps
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC) AS i FROM det) GROUP BY key)"""
+    none = "{'i': 0::BIGINT, 'f': '', 'w': '', 'r': '', 't': %s}"
+
+    def reduced(condition: str, what: str, by: str, start: str) -> str:
+        step = none % f"CASE WHEN {condition} THEN replace(acc.t, {what}, {by}) ELSE acc.t END"
+        return f"list_reduce(swaps, lambda acc, d: {step}, {none % start}).t"
+
+    whole = f"""SELECT conv_id, turn, coalesce({reduced("contains(acc.t, d.f)", "d.f", "d.r", "text")}, text) AS sanitized_text
+FROM segs LEFT JOIN {swaps} d ON conv_id = d.key"""
+    # What is replaced becomes a character of the private use area first, so that no
+    # later search looks into it.
+    mark, mark_word = "chr((57344 + d.i)::INT)", "chr((59344 + d.i)::INT)"
+    by_value = reduced("contains(text, d.f)", "d.f", mark, "text")
+    by_word = reduced("NOT contains(text, d.f) AND d.w <> ''", "d.w", mark_word, "valued")
+    back = reduced("contains(acc.t, " + mark + ")", mark, "d.r", "worded")
+    back_word = reduced("contains(acc.t, " + mark_word + ")", mark_word, "d.r", "backed")
+    first_word = f"""SELECT conv_id, turn, coalesce({back_word}, text) AS sanitized_text FROM (
+  SELECT *, {back} AS backed FROM (SELECT *, {by_word} AS worded FROM (SELECT *, {by_value} AS valued
+  FROM segs LEFT JOIN {swaps} d ON conv_id = d.key)))"""
 
     parts = base + ", " + detection_parts(joined)
     return {
         "assemble_segments": f"WITH {base} SELECT key AS conv_id, text FROM ({joined})",
-        "sanitize_segments": _with(parts, swapped(False)),
-        "sanitize_segments_by_first_word": _with(parts, swapped(True)),
+        "sanitize_segments": _with(parts, whole),
+        "sanitize_segments_by_first_word": _with(parts, first_word),
     }
 
 

@@ -17,7 +17,7 @@ from spanveil.operators import sanitize as S
 from spanveil.plans import corpora as C
 from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
-from spanveil.sources.readers import read_table, spread
+from spanveil.sources.readers import read_table
 from spanveil.sources.storage import shared_folder
 from spanveil.streaming.incremental import start_incremental
 
@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # --- inputs -----------------------------------------------------------------
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
-    return spread(read_table(spark, directory, "documents").select("doc_id", "text"))
+    return read_table(spark, directory, "documents").select("doc_id", "text")
 
 
 def _files_with_text(spark: SparkSession, directory: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _processed(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, directory: str) -> DataFrame:
-    return spread(read_table(spark, directory, "customer")).selectExpr(
+    return read_table(spark, directory, "customer").selectExpr(
         f"'rec-' || {C.K} AS key", f"{C.RECORD} AS text"
     )
 
@@ -183,7 +183,7 @@ def detect_all(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def resolve_overlaps(spark: SparkSession, directory: str) -> DataFrame:
-    docs = spread(read_table(spark, directory, "documents").select("text", "source"))
+    docs = read_table(spark, directory, "documents").select("text", "source")
     return D.count_entities(D.detect(docs, addresses=False), ["source"])
 
 
@@ -206,7 +206,9 @@ def _load_model() -> entities.Model:
     import re
 
     name = re.compile(r"Customer#[0-9]+")
-    return lambda text: [("PERSON", m.start(), m.end()) for m in name.finditer(text)]
+    return lambda texts: [
+        [("PERSON", m.start(), m.end()) for m in name.finditer(text)] for text in texts
+    ]
 
 
 def model_entities(spark: SparkSession, directory: str) -> DataFrame:
@@ -290,7 +292,7 @@ def compare_modes(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _dumps(spark: SparkSession, directory: str) -> DataFrame:
-    return spread(C.run(spark, directory, C.DUMPS, "customer"))
+    return C.run(spark, directory, C.DUMPS, "customer")
 
 
 def sanitize_sql_dump(spark: SparkSession, directory: str) -> DataFrame:
@@ -560,7 +562,7 @@ def role_violations(spark: SparkSession, directory: str) -> DataFrame:
 
 # --- tables and streams -----------------------------------------------------
 def _contacts(spark: SparkSession, directory: str) -> DataFrame:
-    return spread(read_table(spark, directory, "customer")).selectExpr(
+    return read_table(spark, directory, "customer").selectExpr(
         "c_custkey",
         "c_name",
         f"{C.EMAIL} || ' ' || ({C.PHONE}) AS contact",

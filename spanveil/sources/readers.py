@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.functions.fixed_values import BINARY_FILE_TYPES
 from spanveil.functions.texts import extract_text, file_type_of
 
 TABLES = (
@@ -17,18 +18,6 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work when the input comes in few splits.
-
-    A small file, or one with few row groups, is read by few tasks.  With at
-    least as many splits as cores, as any large input has, nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def read_files(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
     """Files as rows: filename, file_type, file_size, content."""
     return (
@@ -47,5 +36,10 @@ def read_files(spark: SparkSession, path: str, *, recursive: bool = True) -> Dat
 
 
 def with_text(files: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
-    """Decode the content of text-like files."""
-    return files.withColumn(out, extract_text(F.col(content), F.col("file_type")))
+    """Decode the content of text-like files; null for kinds that hold no plain text.
+
+    A file with null text comes out of processing as failed, with the reason.
+    """
+    kind = F.col("file_type")
+    text = F.when(~kind.isin(BINARY_FILE_TYPES), extract_text(F.col(content), kind))
+    return files.withColumn(out, text)

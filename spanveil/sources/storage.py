@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +10,9 @@ from spanveil.sources.crypto import encrypt
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
-
-    Only where none is named, as on one machine, a local folder is made.
-    """
+    """The folder all executors share: the one the cluster names, else the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="spanveil-")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def write_vault(files: DataFrame, path: str, key: bytes, *, mode: str = "errorifexists") -> None:
@@ -36,8 +31,8 @@ def write_sanitized(processed: DataFrame, path: str, *, mode: str = "errorifexis
     ).write.mode(mode).parquet(path)
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append to the audit log, by day."""
-    rows.withColumn("event_date", F.to_date("timestamp")).write.mode("append").partitionBy(
-        "event_date"
-    ).parquet(path)
+def write_audit(rows: DataFrame, path: str, batch: str) -> None:
+    """Add a batch to the audit log, by day; a batch that is written again replaces itself."""
+    rows.withColumns({"event_date": F.to_date("timestamp"), "batch": F.lit(batch)}).write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)

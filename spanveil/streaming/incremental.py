@@ -1,17 +1,33 @@
-"""Files as they land: detect, sanitize and log each new batch once."""
+"""Files as they land: admit, encrypt, detect, sanitize and log each new batch once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanveil.functions.fixed_values import MAX_FILE_SIZE
 from spanveil.operators.audit import log_lifecycle
-from spanveil.operators.catalog import catalog_rows, process_files
-from spanveil.sources.storage import write_sanitized
+from spanveil.operators.catalog import admit, catalog_rows, process_files, refused_rows
+from spanveil.sources.crypto import key_id
+from spanveil.sources.storage import write_audit, write_sanitized, write_vault
 
 
-def write_batch(files: DataFrame, users: DataFrame, folder: str, name: str, **options) -> None:
-    """Write one batch of files as sanitized copies, catalog rows and audit rows.
+def write_batch(
+    files: DataFrame,
+    users: DataFrame,
+    folder: str,
+    name: str,
+    *,
+    vault_key: bytes | None = None,
+    limit: int = MAX_FILE_SIZE,
+    **options,
+) -> None:
+    """Write one batch of files: encrypted originals, sanitized copies, catalog and audit rows.
+
+    Files of a kind or size that is not allowed are refused, and files whose text
+    could not be read fail; both have a catalog row and an audit row with the reason.  With
+    ``vault_key`` the originals of admitted files are stored encrypted.
 
     The processed rows are written first and read back for the other outputs,
     so the texts are looked at once.  They hold detected values, so their
@@ -24,12 +40,28 @@ def write_batch(files: DataFrame, users: DataFrame, folder: str, name: str, **op
     def target(output: str) -> str:
         return f"{folder}/{output}/batch={name}"
 
-    processed = process_files(files, **options).drop("text")
-    processed.write.mode("overwrite").parquet(target("processed"))
+    original = F.col("content" if "content" in files.columns else "text")
+    admitted, refused = admit(
+        files.withColumn("__size", F.octet_length(original)), size="__size", limit=limit
+    )
+    processed = process_files(admitted.drop("__size"), **options).drop("text")
+    refused = refused_rows(refused.drop("__size")).drop("text")
+    processed.unionByName(refused).write.mode("overwrite").parquet(target("processed"))
     done = spark.read.parquet(target("processed"))
+    stored = {"sanitized_path": F.when(F.col("status") == "completed", target("sanitized"))}
+    if vault_key is not None:
+        write_vault(
+            admitted.withColumn("content", original.cast("binary")),
+            target("vault"),
+            vault_key,
+            mode="overwrite",
+        )
+        kept = F.col("anonymization_mode").isNotNull()
+        stored["original_path"] = F.when(kept, target("vault"))
+        stored["encryption_key_id"] = F.when(kept, key_id(vault_key))
     write_sanitized(done, target("sanitized"), mode="overwrite")
-    catalog_rows(done).write.mode("overwrite").parquet(target("catalog"))
-    log_lifecycle(done, users).write.mode("overwrite").parquet(target("audit"))
+    catalog_rows(done.withColumns(stored)).write.mode("overwrite").parquet(target("catalog"))
+    write_audit(log_lifecycle(done, users), f"{folder}/audit", name)
 
 
 def start_incremental(

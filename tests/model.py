@@ -122,14 +122,26 @@ def redact_sql_literals(text: str) -> str:
 
 def redact_segments(segments: list[str], fallback: bool = False) -> list[str]:
     found = sorted(detect("\n".join(segments)), key=lambda d: d[1], reverse=True)
+    swaps = [(d[3], (d[3].split() or [""])[0], f"[REDACTED_{d[0]}]") for d in found]
     out = []
     for segment in segments:
-        for d in found:
-            new = f"[REDACTED_{d[0]}]"
-            word = (d[3].split() or [""])[0]
-            if d[3] in segment:
-                segment = segment.replace(d[3], new)
-            elif fallback and word and word in segment:
-                segment = segment.replace(word, new)
-        out.append(segment)
+        if not fallback:
+            for value, _, new in swaps:
+                segment = segment.replace(value, new)
+            out.append(segment)
+            continue
+        # Pieces are texts, or replacements as 1-tuples, which are not searched again.
+        pieces: list = [segment]
+        needles = [(v, new) for v, _, new in swaps if v in segment]
+        needles += [(w, new) for v, w, new in swaps if v not in segment and w]
+        for needle, new in needles:
+            cut: list = []
+            for piece in pieces:
+                if isinstance(piece, tuple):
+                    cut.append(piece)
+                    continue
+                for i, part in enumerate(piece.split(needle)):
+                    cut += [(new,), part] if i else [part]
+            pieces = cut
+        out.append("".join(p[0] if isinstance(p, tuple) else p for p in pieces))
     return out

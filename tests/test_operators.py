@@ -8,7 +8,7 @@ from spanveil.operators import access, audit, catalog, columns, entities, segmen
 from spanveil.operators.detect import detect
 from spanveil.operators.sanitize import sanitize
 from spanveil.sources.readers import read_files, with_text
-from spanveil.sources.storage import append_audit, write_vault
+from spanveil.sources.storage import write_audit, write_vault
 from spanveil.streaming.incremental import start_incremental, write_batch
 from tests import model
 from tests.texts import random_texts
@@ -44,9 +44,11 @@ def test_segments_against_model(spark):
 def test_segments_kinds_and_size(spark):
     rows = [(1, 0, 1, "cell"), (1, 0, 0, "a@b.com"), (1, 0, 2, "head a@b.com c@d.com"), (2, 0, 0, "x" * 50)]
     df = spark.createDataFrame(rows, "doc int, pos int, kind int, text string")
-    got = segments.assemble(df, "doc", "pos", kind="kind", limit=40).collect()
-    assert [(r["doc"], r.text) for r in got] == [(1, "a@b.com\ncell")]
-    assert [r["doc"] for r in segments.refused_documents(df, "doc", limit=40).collect()] == [2]
+    got = segments.assemble(df, "doc", "pos", kind="kind").orderBy("doc").collect()
+    assert [(r["doc"], r.text) for r in got] == [(1, "a@b.com\ncell"), (2, "x" * 50)]
+    admitted, refused = segments.admit_documents(df, "doc", limit=40)
+    assert {r["doc"] for r in admitted.collect()} == {1}
+    assert [(r["doc"], r["size"], r.reject_reason) for r in refused.collect()] == [(2, 50, "File too large")]
     clean = segments.sanitize_segments(df, "doc", "pos", kind="kind", mode="redact").collect()
     assert "head [REDACTED_EMAIL] c@d.com" in {r.sanitized_text for r in clean}
 
@@ -132,9 +134,9 @@ def test_files_vault_and_log(spark, users, tmp_path):
     assert processed.first().sanitized_text == "mail [REDACTED_EMAIL]"
     write_vault(ready, str(tmp_path / "vault"), b"k" * 32)
     assert spark.read.parquet(str(tmp_path / "vault")).first().original_hash == processed.first().original_hash
-    for _ in range(2):
-        append_audit(audit.log_lifecycle(processed, users), str(tmp_path / "audit"))
-    assert spark.read.parquet(str(tmp_path / "audit")).count() == 6
+    for _ in range(2):  # a batch that is written again replaces itself
+        write_audit(audit.log_lifecycle(processed, users), str(tmp_path / "audit"), "0")
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 3
 
 
 def test_stream_equals_batch(spark, users, files, tmp_path):
