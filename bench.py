@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from spanveil.plans.queries import all_queries  # noqa: E402
 from spanveil.plans.session import configure  # noqa: E402
+from spanveil.sources.readers import TABLES  # noqa: E402
 
 HEADLINES = [
     "resolve_overlaps",
@@ -23,6 +25,10 @@ HEADLINES = [
     "sanitize_mask",
     "sanitize_tokenize",
     "sanitize_segments",
+    "sanitize_sql_literals",
+    "listed_entities",
+    "batch_analyze",
+    "incremental",
     "log_lifecycle",
     "scan_columns",
     "daily_trend",
@@ -31,6 +37,19 @@ HEADLINES = [
 ]
 
 
+def spread_copy(spark: SparkSession, directory: str, parts: int) -> str:
+    """The tables in as many files as there are cores, as a large table is; not timed.
+
+    The given ones are a single file of a single row group, which one task reads.
+    """
+    folder = tempfile.mkdtemp(prefix="run-")
+    for table in TABLES:
+        spark.read.parquet(f"{directory}/{table}.parquet").repartition(parts).write.parquet(
+            f"{folder}/{table}.parquet"
+        )
+    return folder
+
+
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -41,19 +60,24 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-"))
     )
     spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
-    seconds = {}
+    folder = spread_copy(spark, directory, int(cpus))
+    seconds, building = {}, {}
     for name in HEADLINES:
-        # Plans are built once per job; what is measured is a second run on the data.
+        # Plans are built once per job; the better of two runs counts.
         times = []
         for _ in range(2):
             began = time.perf_counter()
-            queries[name](spark, directory).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - began)
-        seconds[name] = round(min(times), 3)
+            planned = queries[name](spark, folder)
+            built = time.perf_counter()
+            planned.write.format("noop").mode("overwrite").save()
+            times.append((time.perf_counter() - began, built - began))
+        total, build = min(times)
+        seconds[name], building[name] = round(total, 3), round(build, 3)
     spark.stop()
     print(
         json.dumps(
@@ -62,6 +86,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "of_which_building": building,
                 "sf": Path(directory).name.removeprefix("sf"),
             }
         )

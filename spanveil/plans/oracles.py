@@ -348,6 +348,22 @@ FROM src LEFT JOIN (SELECT key, {pairs} AS counts, sum(n)::BIGINT AS total
             ),
             "SELECT key, out AS sanitized_text FROM rebuilt",
         ),
+        "user_rules_of_equal_rank": _with(
+            detection_parts(
+                C.RECORDS,
+                rules=MAIN
+                + [
+                    ("SEVENTH", 15, 0.99, [r"\bCustomer#[0-9]+\b"], "m LIKE '%7'"),
+                    ("NATION_CODE", 15, 0.99, [r"\bNATION_[0-9]+\b"], None),
+                ],
+            ),
+            f"SELECT key, pos, {DETECTION_COLUMNS} FROM det",
+        ),
+        "replacements_of_names": f"""SELECT entity AS entity_type, v AS value, {mask_sql('v')} AS masked
+FROM (SELECT DISTINCT unnest(['PERSON_NAME', 'LOCATION', 'ORGANIZATION', 'SOMETHING_ELSE']) AS entity,
+  'Ann O''Neil ' || c_mktsegment || ' ' || c_custkey % 100 AS v FROM customer)""",
+        "top_detected_types": _with(det, "SELECT entity AS entity_type, count(*)::BIGINT AS total FROM det GROUP BY 1 ORDER BY total DESC, entity_type LIMIT 10"),
+        "top_detected_types_displayed": _with(det, "SELECT entity AS entity_type, count(*)::BIGINT AS total FROM det GROUP BY 1 ORDER BY total DESC, entity_type LIMIT 8"),
     }
 
 
@@ -577,6 +593,18 @@ pairs AS (SELECT file_id, created_at, status, entity_type, (entity_counts ->> en
 WHERE anonymization_mode IS NOT NULL GROUP BY ALL""",
         "recent_activity": f"""WITH {files}, {actions} SELECT (SELECT count(*) FROM files WHERE {recent.format(7)}) AS recent_uploads,
   (SELECT count(*) FROM actions WHERE event_type = 'USER_LOGIN' AND timestamp >= TIMESTAMP '{C.AS_OF_FILES}' - INTERVAL 7 DAY) AS recent_logins""",
+        "recent_events": f"""WITH {files}, {actions} SELECT
+  (SELECT count(*) FROM files WHERE created_at >= TIMESTAMP '{C.AS_OF_EVENTS}' - INTERVAL 7 DAY) AS recent_uploads,
+  (SELECT count(*) FROM actions WHERE event_type = 'USER_LOGIN' AND timestamp >= TIMESTAMP '{C.AS_OF_EVENTS}' - INTERVAL 7 DAY) AS recent_logins""",
+        "upload_outcomes": f"""WITH {files}, judged AS (
+  SELECT file_type, file_type IN ('pdf', 'docx', 'image') AS no_text,
+    CASE WHEN file_type = 'unknown' THEN 'File type not allowed'
+      WHEN strlen('order ' || file_id || ' of c' || uploaded_by || '@example.com') > 26 THEN 'File too large' END AS reason
+  FROM files)
+SELECT file_type, CASE WHEN reason IS NOT NULL OR no_text THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN reason IS NOT NULL THEN reason WHEN no_text THEN 'no text could be read' END AS error_message,
+  count(*) AS files, sum(CASE WHEN reason IS NOT NULL OR no_text THEN 0 ELSE 1 END)::BIGINT AS entities
+FROM judged GROUP BY ALL""",
         "daily_trend": f"""WITH {files}, {entries}
 SELECT strftime(f.created_at, '%Y-%m-%d') AS date, count(DISTINCT f.file_id) AS files_processed,
   coalesce(sum(n), 0)::BIGINT AS entities_detected, coalesce(sum(n) FILTER (entity_type = 'EMAIL'), 0)::BIGINT AS emails

@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as V
 from spanveil.functions import texts as T
 from spanveil.functions.masks import mask, redact, tokenize
-from spanveil.functions.rules import BASIC_RULES, STRUCTURED_RULES, Pattern, Rule
+from spanveil.functions.rules import ADDRESS_RANK, BASIC_RULES, STRUCTURED_RULES, Pattern, Rule
 from spanveil.operators import access, analyze, audit, catalog, columns, entities, segments, stats
 from spanveil.operators import detect as D
 from spanveil.operators import sanitize as S
 from spanveil.plans import corpora as C
 from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
-from spanveil.sources.readers import read_table
+from spanveil.sources.readers import read_table, with_text
 from spanveil.sources.storage import shared_folder
 from spanveil.streaming.incremental import start_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+NAMED_KINDS = ["PERSON_NAME", "LOCATION", "ORGANIZATION", "SOMETHING_ELSE"]
+# Some of the files of ``upload_outcomes`` are a character too long.
+UPLOAD_LIMIT = 26
+
+
 # --- inputs -----------------------------------------------------------------
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "documents").select("doc_id", "text")
@@ -237,6 +242,58 @@ def user_rules(spark: SparkSession, directory: str) -> DataFrame:
     return S.sanitize(found, rules=rules).select("key", "sanitized_text")
 
 
+def user_rules_of_equal_rank(spark: SparkSession, directory: str) -> DataFrame:
+    """Two rules of one rank, also that of addresses; the test of one leaves the other alone."""
+    seventh = Rule(
+        "SEVENTH",
+        ADDRESS_RANK,
+        0.99,
+        (Pattern(r"\bCustomer#[0-9]+\b"),),
+        keep=lambda value: value.endswith("7"),
+    )
+    nation = Rule("NATION_CODE", ADDRESS_RANK, 0.99, (Pattern(r"\bNATION_[0-9]+\b"),))
+    found = D.detect(_records(spark, directory), rules=(*STRUCTURED_RULES, seventh, nation))
+    return D.explode_detections(found, ["key"])
+
+
+def replacements_of_names(spark: SparkSession, directory: str) -> DataFrame:
+    """Masks of what models find, and of types without a mask of their own."""
+    kinds = F.array(*[F.lit(k) for k in NAMED_KINDS])
+    return (
+        read_table(spark, directory, "customer")
+        .select(
+            F.explode(kinds).alias("entity_type"),
+            F.concat_ws(" ", F.lit("Ann O'Neil"), "c_mktsegment", F.col("c_custkey") % 100).alias("value"),
+        )
+        .distinct()
+        .select("*", mask(F.col("value"), F.col("entity_type")).alias("masked"))
+    )
+
+
+def upload_outcomes(spark: SparkSession, directory: str) -> DataFrame:
+    """Files of all kinds: refused, failed because they hold no plain text, or completed."""
+    files = (
+        _files(spark, directory)
+        .select("file_id", "filename", "file_type", "uploaded_by", "created_at")
+        .withColumn(
+            "content",
+            F.concat(F.lit("order "), "file_id", F.lit(" of c"), "uploaded_by", F.lit("@example.com"))
+            .cast("binary"),
+        )
+        .withColumn("size", F.octet_length("content"))
+    )
+    admitted, refused = catalog.admit(files, size="size", limit=UPLOAD_LIMIT)
+    processed = catalog.process_files(with_text(admitted), mode="redact").drop("text", "size")
+    every = processed.unionByName(catalog.refused_rows(refused).drop("text", "size"))
+    return every.groupBy("file_type", "status", "error_message").agg(
+        F.count("*").alias("files"), F.sum("total_entities").cast("long").alias("entities")
+    )
+
+
+def _detected_totals(spark: SparkSession, directory: str) -> DataFrame:
+    return D.detect_with_counts(C.corpus(spark, directory)).select("entity_counts")
+
+
 # --- basic profile ----------------------------------------------------------
 def _basic(spark: SparkSession, directory: str) -> DataFrame:
     return D.detect_basic(C.corpus(spark, directory))
@@ -624,6 +681,14 @@ def all_queries() -> dict[str, Query]:
         "model_entities": model_entities,
         "listed_entities": listed_entities,
         "user_rules": user_rules,
+        "user_rules_of_equal_rank": user_rules_of_equal_rank,
+        "replacements_of_names": replacements_of_names,
+        "upload_outcomes": upload_outcomes,
+        "top_detected_types": lambda s, d: stats.top_entity_types(_detected_totals(s, d), 10),
+        "top_detected_types_displayed": lambda s, d: stats.top_entity_types(_detected_totals(s, d), 8),
+        "recent_events": lambda s, d: stats.recent_activity(
+            _files(s, d), _actions(s, d), C.AS_OF_EVENTS
+        ),
         "basic_detect_all": basic_detect_all,
         "basic_counts": basic_counts,
         "basic_mask": basic_mask,

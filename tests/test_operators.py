@@ -8,6 +8,7 @@ from spanveil.operators import access, audit, catalog, columns, entities, segmen
 from spanveil.operators.detect import detect
 from spanveil.operators.sanitize import sanitize
 from spanveil.sources.readers import read_files, with_text
+from spanveil.functions.texts import file_type_of
 from spanveil.sources.storage import write_audit, write_vault
 from spanveil.streaming.incremental import start_incremental, write_batch
 from tests import model
@@ -156,3 +157,71 @@ def test_stream_equals_batch(spark, users, files, tmp_path):
 def test_sanitize_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "a@b.com", "z")], "id int, text string, other string")
     assert sanitize(detect(df)).columns == ["id", "text", "other", "detections", "sanitized_text"]
+
+
+def test_first_words_never_look_into_replacements(spark):
+    parts = ["card 4532-1234-5678-9012 of a@b.com born 12 March", "1992 ok"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(parts)], "doc int, pos int, text string")
+    got = segments.sanitize_segments(df, "doc", "pos", partial_fallback=True).orderBy("pos").collect()
+    assert got[0].sanitized_text == "card ****-****-****-9012 of ***@b.com born ** March **** March"
+    assert got[1].sanitized_text == "1992 ok"
+
+
+def test_large_documents_stay(spark):
+    rows = [(1, i, f"line {i} of u{i}@x.com " + "z" * 2000) for i in range(300)]
+    rows += [(d, 0, "a@b.com") for d in range(2, 40)] + [(99, 0, None)]
+    df = spark.createDataFrame(rows, "doc int, pos int, text string")
+    got = segments.sanitize_segments(df, "doc", "pos", mode="redact")
+    assert got.count() == len(rows)
+    assert got.filter(F.col("sanitized_text").contains("@")).count() == 0
+    assert segments.assemble(df, "doc", "pos").rdd.getNumPartitions() > 1
+
+
+def test_listed_names_of_any_length(spark):
+    names = ["Oslo", "Ann Lee", "New York City", "Indian Institute of Technology", "Bank of the West Coast", "One Two Three Four Five Six"]
+    df = spark.createDataFrame([(1, " met ".join(names))], "id int, text string")
+    listed = spark.createDataFrame([(n, "ORGANIZATION") for n in names], "name string, entity_type string")
+    row = entities.with_listed_entities(df, listed, "id").first()
+    assert [s.text for s in row.model_spans] == names
+    empty = entities.with_listed_entities(df, listed.limit(0), "id")
+    assert empty.first().model_spans == []
+
+
+def test_models_get_lists_and_are_all_or_nothing(spark):
+    df = spark.createDataFrame([(1, "Ann met Bo"), (2, None), (3, ""), (4, "Bo")], "id int, text string")
+
+    def load():
+        return lambda texts: [[("PERSON", t.index("Bo"), t.index("Bo") + 2)] for t in texts]
+
+    got = {r["id"]: [s.text for s in r.model_spans] for r in entities.with_model_entities(df, load).collect()}
+    assert got == {1: ["Bo"], 2: [], 3: [], 4: ["Bo"]}
+
+
+def test_rules_of_equal_rank(spark):
+    one = Rule("ONE", 40, 0.9, (Pattern("T-[0-9]+"),))
+    two = Rule("TWO", 40, 0.9, (Pattern("U-[0-9]+"),), keep=lambda v: v.endswith("7"))
+    df = spark.createDataFrame([("T-1 U-2 U-7",)], "text string")
+    found = detect(df, rules=(one, two)).first().detections
+    assert [(d.entity_type, d.text) for d in found] == [("ONE", "T-1"), ("TWO", "U-7")]
+
+
+def test_uploads_are_refused_or_fail_visibly(spark, users, tmp_path):
+    rows = [(1, "a.txt", b"mail a@b.com"), (2, "b.pdf", b"%PDF\xff"), (3, "c.exe", b"x"), (4, "d.sql", b"y" * 99)]
+    files = spark.createDataFrame(rows, "file_id long, filename string, content binary").selectExpr(
+        "*", "1L AS uploaded_by", "timestamp'2024-01-01' AS created_at"
+    )
+    ready = with_text(files.withColumn("file_type", file_type_of(F.col("filename")))).drop("file_type")
+    folder = str(tmp_path / "up")
+    for _ in range(2):
+        write_batch(ready, users, folder, "0", mode="redact", vault_key=b"k" * 32, limit=50)
+    rows = {r.file_id: r for r in spark.read.parquet(f"{folder}/catalog").collect()}
+    assert {i: (r.status, r.error_message) for i, r in rows.items()} == {
+        1: ("completed", None), 2: ("failed", "no text could be read"),
+        3: ("failed", "File type not allowed"), 4: ("failed", "File too large"),
+    }
+    assert rows[1].encryption_key_id == rows[2].encryption_key_id and rows[3].encryption_key_id is None
+    assert rows[1].sanitized_path and not rows[2].sanitized_path and rows[2].original_path
+    vault = spark.read.parquet(f"{folder}/vault").orderBy("file_id").collect()
+    assert [r.file_id for r in vault] == [1, 2] and vault[1].original_hash == rows[2].original_hash
+    log = spark.read.parquet(f"{folder}/audit")
+    assert log.count() == 3 + 2 + 2 + 2 and "event_date" in log.columns

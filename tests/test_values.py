@@ -1,12 +1,17 @@
 """Literal cases of detectors, masks, scalars and crypto."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanveil.functions import texts as T
 from spanveil.functions.masks import mask, replacement, tokenize
-from spanveil.operators.detect import detect, detect_with_counts
+from spanveil.functions.rules import STRUCTURED_RULES, Pattern, Rule, rule
+from spanveil.operators.detect import detect, detect_with_counts, find_rule
+from spanveil.operators.sanitize import sanitize
 from spanveil.sources import crypto
+from tests import model
 
 DETECTED = [
     ("Contact me at john.doe@example.com or jane@company.co.uk", "EMAIL", ["john.doe@example.com", "jane@company.co.uk"]),
@@ -123,3 +128,37 @@ def test_plan_detects_once_and_prunes(spark):
     plan = explode_detections(detect(df), ["doc_id"])._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "Exchange" not in plan
+    found = detect_with_counts(df)
+    several = F.exists("detections", lambda d: d["entity_type"] == "EMAIL")
+
+    def searches(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all")
+
+    once = searches(found)
+    assert once > 0
+    for used in (
+        found.filter("total_entities > 0"), found.filter(several), explode_detections(found, ["doc_id"]),
+    ):
+        assert searches(used) == once
+    clean = sanitize(found)
+    assert searches(clean.filter("total_entities > 0")) == searches(clean) <= once + 2
+
+
+def test_long_runs_are_tried_once(spark):
+    long = "%41" * 200_000
+    texts = [f"{long} @", f"{long}@x.com a@b.com", "é" + "a" * 100 + "@x.com ..." + "b" * 70 + "@c.org", "." * 99 + "a@b.co@d.com"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    began = time.perf_counter()
+    for name, rules in (("EMAIL", model.MAIN[:1]), ("UPI", [r for r in model.MAIN if r[0] == "UPI"]), ("email", model.BASIC[:1])):
+        got = {r["id"]: [(d.start, d.end) for d in r.detections] for r in find_rule(df, rule(name)).collect()}
+        for i, text in enumerate(texts):
+            if i != 0:
+                assert got[i] == [s[1:3] for s in model.raw(text, rules, False)], (name, i)
+        assert got[0] == []
+    assert time.perf_counter() - began < 60
+
+
+def test_unsafe_rules_are_refused(spark):
+    for rules in ((Rule("A", 1, 1.0, (Pattern("x*"),)),), (STRUCTURED_RULES[0], STRUCTURED_RULES[0])):
+        with pytest.raises(ValueError):
+            detect(spark.createDataFrame([("a",)], "text string"), rules=rules)
