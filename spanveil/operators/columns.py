@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions.rules import STRUCTURED_RULES, Rule
-from spanveil.operators.detect import detect_with_counts, detect
-from spanveil.operators.sanitize import sanitize
+from spanveil.functions.spans import splice
+from spanveil.functions.stages import RESOLVE, raw_stage, sealed, span_stages, stage_fields
+from spanveil.operators.detect import detect_with_counts
+from spanveil.operators.sanitize import replacer
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -65,11 +67,18 @@ def sanitize_columns(
     key: str | None = None,
     rules: Sequence[Rule] = STRUCTURED_RULES,
 ) -> DataFrame:
-    """The table with the given columns sanitized in place."""
-    order = df.columns
-    for name in columns:
-        found = detect(df, name, rules=rules, out="__found")
-        df = sanitize(
-            found, name, mode=mode, key=key, rules=rules, detections="__found", out=name
-        ).drop("__found")
-    return df.select(order)
+    """The table with the given columns sanitized in place.
+
+    The cells of a row are searched as one array, so the plan doesn't grow with the columns.
+    """
+    replace = replacer(mode, key, rules)
+    cells = F.array(*[F.struct(F.col(name).alias("text")) for name in columns])
+    stages = [*span_stages(rules, addresses=True), raw_stage(addresses=True), *RESOLVE]
+    staged = stage_fields(df.withColumn("__cells", cells), "__cells", stages)
+    rebuilt = F.transform(
+        F.col("__cells"),
+        lambda p: F.when(p["text"].isNotNull(), splice(p["text"], p["resolved"], replace)),
+    )
+    done = sealed(staged, df.columns, rebuilt, "__done")
+    at = {name: F.get("__done", i) for i, name in enumerate(columns)}
+    return done.select(*[at[c].alias(c) if c in at else F.col(c) for c in df.columns])
