@@ -15,6 +15,7 @@ range, and every document is compared with it where it lies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -231,8 +232,9 @@ def mixed_documents(
     )
     # Rows of one id share what their id is taken; ids are keys in all but faulty tables.
     plan = plan.groupBy("_doc_id").agg(F.max("_times").alias("_times")).where("_times > 0")
+    turn = f"_turn_{uuid.uuid4().hex}"
     return (
         docs.join(plan, docs["doc_id"].eqNullSafe(plan["_doc_id"]))
-        .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[docs[c] for c in docs.columns])
+        .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), plan["_times"])).alias(turn))
+        .drop(turn)
     )

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from spanveil.llm import oracles
 from spanveil.llm.classes import connected_classes
@@ -128,7 +129,7 @@ def test_mix_of_nothing(spark):
 
 def test_mixed_documents_are_taken_whole(spark):
     rows = [(k, "w " * (k % 7 + 1), "ab"[k % 3 == 0], k) for k in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _times long").withColumn("_doc_id", F.lit("x"))
     taken = {r.doc_id: -(-r.taken // r["size"]) for r in mix(df).collect()}
     out = mixed_documents(df)
     assert out.columns == df.columns
