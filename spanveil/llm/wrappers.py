@@ -359,11 +359,9 @@ def _references(pages: DataFrame) -> DataFrame:
         F.min_by("shape", F.struct(F.xxhash64("shape", F.lit(k)), F.col("shape"))).alias(f"r{k}")
         for k in range(REFERENCES)
     ]
-    return (
-        shapes.groupBy("host")
-        .agg(*first)
-        .select("host", F.array_distinct(F.array(*[f"r{k}" for k in range(REFERENCES)])).alias("references"))
-    )
+    found = F.array_distinct(F.array(*[f"r{k}" for k in range(REFERENCES)])).alias("references")
+    # Written, so that the join with it has a plain shuffle on both sides and can split a host.
+    return settle(shapes.groupBy("host").agg(*first).select("host", found), "page-references")
 
 
 def extract_main_texts(pages: DataFrame) -> DataFrame:
@@ -374,7 +372,9 @@ def extract_main_texts(pages: DataFrame) -> DataFrame:
     host are of one empty host. Repeated rows and null ids give a row each; an empty table
     gives an empty result.
 
-    Returns page_id, url, text, n_chars (code points).
+    Returns page_id, url, text, n_chars (code points). The texts are made as the result is read;
+    where pages are very large, the session's spark.sql.execution.arrow.maxRecordsPerBatch says how many
+    a worker is handed at a time.
     """
     host, _ = host_and_path(F.col("url").cast("string"))
     rows = pages.select(
@@ -387,29 +387,30 @@ def extract_main_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, Shape] = {}
-        for batch in batches:
-            texts = []
-            for page, packs in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
-                for pack in packs or ():
-                    if pack not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[pack] = unpacked(json.loads(zlib.decompress(pack)))
-                texts.append(main_text(page, [known[pack] for pack in packs or ()]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                ],
-                names=["page_id", "url", "text", "n_chars"],
-            )
 
-    with rows_per_batch(pages.sparkSession, PAGES_PER_BATCH):
-        return settle(
-            both.select("page_id", "url", "html", "references").mapInArrow(
-                run, "page_id long, url string, text string, n_chars long"
-            ),
-            "page-texts",
-        )
+        def text_of(page: str | None, packs: list[bytes] | None) -> str:
+            for pack in packs or ():
+                if pack not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[pack] = unpacked(json.loads(zlib.decompress(pack)))
+            return main_text(page, [known[pack] for pack in packs or ()])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAGES_PER_BATCH):
+                batch = whole.slice(start, PAGES_PER_BATCH)
+                both = zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)
+                texts = [text_of(page, packs) for page, packs in both]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array(texts, pa.string()),
+                        pa.array([len(t) for t in texts], pa.int64()),
+                    ],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
+
+    return both.select("page_id", "url", "html", "references").mapInArrow(
+        run, "page_id long, url string, text string, n_chars long"
+    )
