@@ -234,7 +234,7 @@ def mixed_documents(
     plan = plan.groupBy("_doc_id").agg(F.max("_times").alias("_times")).where("_times > 0")
     turn = f"_turn_{uuid.uuid4().hex}"
     return (
-        docs.join(plan, docs["doc_id"].eqNullSafe(plan["_doc_id"]))
+        docs.join(plan.hint("merge"), docs["doc_id"].eqNullSafe(plan["_doc_id"]))
         .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), plan["_times"])).alias(turn))
         .drop(turn)
     )
