@@ -19,9 +19,11 @@ import html as entities
 import json
 import re
 import zlib
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,6 @@ REFERENCES = 3
 COPY = 0.7
 #: Share of a block's characters in links, outside an article, from which it is navigation.
 LINKS = 0.7
-#: Elements inside one another that are told apart; what is deeper belongs to the last.
-DEEPEST = 150
-#: Cells of the table by which two rows of children are aligned.
-MOST_CELLS = 250_000
 #: Pages that a Python worker holds at a time.
 PAGES_PER_BATCH = 500
 
@@ -68,6 +66,8 @@ _ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
 }
+#: An element outside of these is not ended by one inside.
+_HOLDS_BACK = {"table", "ul", "ol", "dl", "article", "section", "div", "body"}
 _ARTICLE = {"article", "main"}
 #: Elements, and words of their class, id and role, that hold no content.
 _APART = {"head", "nav", "aside", "footer", "form", "menu", "dialog", "search", "fieldset"}
@@ -93,11 +93,11 @@ class Node:
         self.kids: list = []
 
 
-def _set_apart(tag: str, attributes: str, stack: list[Node]) -> bool:
+def _set_apart(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _APART:
         return True
     # A header of the page; that of an article holds its title.
-    if tag == "header" and not any(n.tag in _ARTICLE for n in stack):
+    if tag == "header" and not in_article:
         return True
     if attributes and tag not in ("html", "body") and tag not in _ARTICLE:
         for _, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -110,6 +110,14 @@ def parse(page: str) -> Node:
     """The tree of a page; ends that are missing are put where the next element needs them."""
     root = Node("", False)
     stack, run, linked, link = [root], [], 0, 0
+    # How often a tag is open, and for each place of the stack the last place that may end or hold
+    # back an element, so that neither takes a walk through a deep stack.
+    opened: Counter[str] = Counter()
+    edges = [0]
+
+    def cut(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:], edges[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -154,22 +162,28 @@ def parse(page: str) -> Node:
             flush()
             link = 0
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    k = len(stack) - 1
+                    while stack[k].tag != tag:
+                        k -= 1
+                    cut(k)
                 continue
-            for k in range(len(stack) - 1, 0, -1):
+            k = edges[-1]
+            while k:
                 open_tag = stack[k].tag
                 if open_tag == "p" or tag in _ENDED_BY.get(open_tag, ()):
-                    del stack[k:]
+                    cut(k)
                     break
-                if open_tag in ("table", "ul", "ol", "dl", "article", "section", "div", "body"):
+                if open_tag in _HOLDS_BACK:
                     break
-            node = Node(tag, _set_apart(tag, m.group(3), stack))
-            if len(stack) < DEEPEST:
-                stack[-1].kids.append(node)
-                stack.append(node)
+                k = edges[k - 1]
+            in_article = any(opened[t] for t in _ARTICLE)
+            node = Node(tag, _set_apart(tag, m.group(3), in_article))
+            stack[-1].kids.append(node)
+            stack.append(node)
+            opened[tag] += 1
+            told = tag == "p" or tag in _ENDED_BY or tag in _HOLDS_BACK
+            edges.append(len(stack) - 1 if told else edges[-1])
     flush()
     return root
 
@@ -191,87 +205,139 @@ class Shape:
 
 
 def shape_of(node: Node, texts: list[str]) -> Shape:
-    """The shape of a tree; its blocks of text are numbered in page order."""
-    kids: list[Shape] = []
-    for kid in node.kids:
-        if isinstance(kid, Node) and any(isinstance(k, Node) for k in kid.kids):
-            kids.append(shape_of(kid, texts))
-            continue
-        tag = kid.tag if isinstance(kid, Node) else "#"
-        if not (kids and kids[-1].kids is None and kids[-1].tag == tag):
-            kids.append(Shape(tag, None))
-        for text, _ in kid.kids if isinstance(kid, Node) else [kid]:
-            kids[-1].blocks.append(len(texts))
-            kids[-1].digests.append(_digest(text))
-            texts.append(text)
-    return Shape(node.tag, kids)
+    """The shape of a tree of any depth; its blocks of text are numbered in page order."""
+    open_nodes: list[tuple[Node, Iterator, list[Shape]]] = [(node, iter(node.kids), [])]
+    while True:
+        node, rest, kids = open_nodes[-1]
+        for kid in rest:
+            if isinstance(kid, Node) and any(isinstance(k, Node) for k in kid.kids):
+                open_nodes.append((kid, iter(kid.kids), []))
+                break
+            tag = kid.tag if isinstance(kid, Node) else "#"
+            if not (kids and kids[-1].kids is None and kids[-1].tag == tag):
+                kids.append(Shape(tag, None))
+            for text, _ in kid.kids if isinstance(kid, Node) else [kid]:
+                kids[-1].blocks.append(len(texts))
+                kids[-1].digests.append(_digest(text))
+                texts.append(text)
+        else:
+            open_nodes.pop()
+            shape = Shape(node.tag, kids)
+            if not open_nodes:
+                return shape
+            open_nodes[-1][2].append(shape)
 
 
 def packed(shape: Shape) -> list:
-    return [shape.tag, shape.digests, None if shape.kids is None else [packed(k) for k in shape.kids]]
+    """Tag, digests and number of children (null for a slot) of each node, the outer ones first."""
+    out, rest = [], [shape]
+    while rest:
+        one = rest.pop()
+        out.append([one.tag, one.digests, None if one.kids is None else len(one.kids)])
+        rest.extend(reversed(one.kids or ()))
+    return out
 
 
 def unpacked(data: list) -> Shape:
-    out = Shape(data[0], None if data[2] is None else [unpacked(k) for k in data[2]])
-    out.digests = data[1]
-    return out
+    done: list[Shape] = []
+    for tag, digests, count in reversed(data):
+        kids = None if count is None else [done.pop() for _ in range(count)]
+        done.append(Shape(tag, kids))
+        done[-1].digests = digests
+    return done[0]
 
 
-def match_trees(
-    one: Shape,
-    two: Shape,
-    pairs: list[tuple[Shape, Shape]] | None = None,
-    memo: dict[tuple[int, int], tuple] | None = None,
-) -> int:
+def _comparable(one: Shape, two: Shape) -> bool:
+    return one.tag == two.tag and (one.kids is None) == (two.kids is None)
+
+
+def match_trees(one: Shape, two: Shape, pairs: list[tuple[Shape, Shape]] | None = None) -> int:
     """Simple tree matching: most nodes that match in order; fills in the pairs of leaves."""
-    if one.tag != two.tag or (one.kids is None) != (two.kids is None):
+    if not _comparable(one, two):
         return 0
-    if one.kids is None:
-        if pairs is not None:
-            pairs.append((one, two))
-        return 1
-    memo = {} if memo is None else memo
-    a, b = one.kids, two.kids
-    if (id(one), id(two)) not in memo:
-        memo[id(one), id(two)] = _align(a, b, memo)
-    total, matched = memo[id(one), id(two)]
+    memo: dict[tuple[int, int], tuple] = {}
+    rest = [(one, two)]
+    while rest:
+        x, y = rest[-1]
+        if x.kids is None or (id(x), id(y)) in memo:
+            rest.pop()
+            continue
+        inner = [q for q in y.kids if q.kids is not None]
+        missing = [
+            (p, q)
+            for p in x.kids
+            if p.kids is not None
+            for q in inner
+            if p.tag == q.tag and (id(p), id(q)) not in memo
+        ]
+        if missing:
+            rest.extend(missing)
+        else:
+            memo[id(x), id(y)] = _align(x.kids, y.kids, memo)
+            rest.pop()
     if pairs is not None:
-        for i, j in matched:
-            match_trees(a[i], b[j], pairs, memo)
-    return 1 + total
+        rest = [(one, two)]
+        while rest:
+            x, y = rest.pop()
+            if x.kids is None:
+                pairs.append((x, y))
+            else:
+                rest.extend((x.kids[i], y.kids[j]) for i, j in memo[id(x), id(y)][1])
+    return 1 if one.kids is None else 1 + memo[id(one), id(two)][0]
 
 
 def _align(a: list[Shape], b: list[Shape], memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Most matching nodes of two rows of children, and which children match."""
-    if len(a) * len(b) > MOST_CELLS:
-        # Rows too long for a table are matched from the left, each child with the next like it.
-        matched, total, start = [], 0, 0
-        places: dict[str, list[int]] = {}
-        for j, y in enumerate(b):
-            places.setdefault(y.tag, []).append(j)
-        for i, x in enumerate(a):
-            there = places.get(x.tag, [])
-            k = bisect_left(there, start)
-            if k < len(there) and (weight := match_trees(x, b[there[k]], None, memo)):
-                matched.append((i, there[k]))
-                total, start = total + weight, there[k] + 1
-        return total, matched
-    weight = [[match_trees(x, y, None, memo) for y in b] for x in a]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a)):
-        for j in range(len(b)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    matched = []
-    i, j = len(a), len(b)
-    while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            matched.append((i, j))
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
+    """Most matching nodes of two rows of children, and which children match.
+
+    Exact for rows of any length: of the table only some rows are kept, and those
+    between are made again on the way back.
+    """
+    slots: dict[str, np.ndarray] = {}
+    inner: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        if y.kids is None:
+            slots.setdefault(y.tag, np.zeros(len(b), dtype=np.int64))[j] = 1
         else:
-            j -= 1
-    return best[len(a)][len(b)], matched[::-1]
+            inner.setdefault(y.tag, []).append(j)
+    none = np.zeros(len(b), dtype=np.int64)
+
+    def weights(x: Shape) -> np.ndarray:
+        if x.kids is None:
+            return slots.get(x.tag, none)
+        row = none.copy()
+        for j in inner.get(x.tag, ()):
+            row[j] = 1 + memo[id(x), id(b[j])][0]
+        return row
+
+    def after(best: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros(len(b) + 1, dtype=np.int64)
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weights(a[i])), out=row[1:])
+        return row
+
+    step = max(1, isqrt(len(a)))
+    best, kept = np.zeros(len(b) + 1, dtype=np.int64), {}
+    for i in range(len(a)):
+        if i % step == 0:
+            kept[i] = best
+        best = after(best, i)
+    matched, j, total = [], len(b), int(best[-1])
+    for start in reversed(kept):
+        end = min(start + step, len(a))
+        rows = [kept[start]]
+        for i in range(start, end):
+            rows.append(after(rows[-1], i))
+        i = end
+        while i > start and j:
+            row, above = rows[i - start], rows[i - start - 1]
+            weight = weights(a[i - 1])[j - 1]
+            if weight and row[j] == above[j - 1] + weight:
+                i, j = i - 1, j - 1
+                matched.append((i, j))
+            elif row[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+    return total, matched[::-1]
 
 
 def constant_blocks(shape: Shape, texts: list[str], references: list[Shape]) -> set[int]:
@@ -299,17 +365,19 @@ def main_text(page: str | None, references: list[Shape]) -> str:
     blocks: list[tuple[str, int, bool, bool]] = []
     spans: list[tuple[Node, int, int, int]] = []
 
-    def walk(node: Node, apart: bool, depth: int) -> None:
-        apart = apart or node.apart
-        first = len(blocks)
-        for kid in node.kids:
+    # The open elements: node, children to come, first block, set apart.
+    path = [(root, iter(root.kids), 0, root.apart)]
+    while path:
+        node, rest, first, apart = path[-1]
+        for kid in rest:
             if isinstance(kid, Node):
-                walk(kid, apart, depth + 1)
-            else:
-                blocks.append((*kid, apart, len(blocks) in constant))
-        spans.append((node, first, len(blocks), depth))
+                path.append((kid, iter(kid.kids), len(blocks), apart or kid.apart))
+                break
+            blocks.append((*kid, apart, len(blocks) in constant))
+        else:
+            path.pop()
+            spans.append((node, first, len(blocks), len(path)))
 
-    walk(root, False, 0)
     # An article inside another, such as a reader's comment, is no article of its own.
     articles = [
         s for s in spans if s[0].tag in _ARTICLE and any(not b[2] for b in blocks[s[1] : s[2]])
