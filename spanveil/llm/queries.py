@@ -42,7 +42,7 @@ def op2_warc(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
-    return filter_urls(table(spark, directory, "pages"), URL_RULES)
+    return filter_urls(table(spark, directory, "pages"), URL_RULES, depth=None)
 
 
 def op4_main_texts(spark: SparkSession, directory: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Filtering of URLs by rules and, where none fits, by path templates.
 
-Paths of each host form a tree of segments. From the top down, a node that has
-many different children turns them into one wildcard; templates are what is left. The
+Paths of each host form a tree of segments, as deep as the paths are unless a depth is given. From
+the top down, a node that has many different children turns them into one wildcard; templates are
+what is left. Below a node of few paths no node has many children, so that these are done at once
+and the levels end with the last node of many paths. The
 branches of a host whose share of blocked pages doesn't differ from the host's by more than
 chance are merged. A template is rejected if its labelled purity, the
 share of blocked pages among those that a rule decides, reaches a bound. Shares are
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.common import settle
 
-#: Segments of a path that are looked at one by one; what follows is one last wildcard.
+#: Segments of a path that are looked at one by one, if no other depth is asked for; what follows
+#: is one last wildcard. With depth None there is no such bound.
 DEPTH = 3
 #: Different children that make a node's children variable.
 VARIETY = 8
@@ -59,30 +62,53 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out
 
 
-def path_templates(paths: DataFrame, depth: int = DEPTH, variety: int = VARIETY) -> DataFrame:
+def path_templates(paths: DataFrame, depth: int | None = DEPTH, variety: int = VARIETY) -> DataFrame:
     """The distinct paths (host, path, ...) with the template of each."""
     parts = F.split("path", "/")
-    frame = paths.withColumn("template", F.lit(""))
-    for level in range(1, depth + 1):
+    longer = F.lit("")
+    if depth is not None:
+        longer = F.when(F.size(parts) > depth + 1, F.lit("/**")).otherwise(longer)
+    columns = [*paths.columns, "template"]
+    active, finished, level = paths.withColumn("template", F.lit("")), [], 1
+    while depth is None or level <= depth:
         part = F.get(parts, F.lit(level))
-        frame = frame.withColumn(
+        frame = active.withColumn(
             "segment", F.when(part.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), part))
         )
         children = (
-            frame.select("host", "template", "segment")
-            .distinct()
+            frame.groupBy("host", "template", "segment")
+            .agg(F.count("*").alias("own_paths"))
             .groupBy("host", "template")
-            .agg((F.count("*") >= variety).alias("variable"))
+            .agg(
+                (F.count("*") >= variety).alias("variable"),
+                (F.sum("own_paths") < variety).alias("few"),
+            )
         )
         own = F.when(F.col("variable") & (F.col("segment") != ""), F.lit("/*")).otherwise(
             F.col("segment")
         )
-        frame = frame.join(children, ["host", "template"]).withColumn(
-            "template", F.concat("template", own)
+        count = F.size(parts) if depth is None else F.lit(depth - level + 1)
+        rest = F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(level + 1), count), "/"))
+        rest = F.when(F.size(parts) > level, F.concat(rest, longer)).otherwise(F.lit(""))
+        ended = F.col("segment") == ""
+        done = F.col("few") | ended
+        if level == depth:
+            own, done = F.concat(own, longer), F.lit(True)
+        placed = frame.join(children, ["host", "template"]).select(
+            *paths.columns,
+            F.concat("template", F.when(F.col("few"), rest).otherwise(own)).alias("template"),
+            done.alias("_done"),
         )
-        frame = frame.drop("segment", "variable")
-    longer = F.when(F.size(parts) > depth + 1, F.lit("/**")).otherwise(F.lit(""))
-    return frame.withColumn("template", F.concat("template", longer))
+        placed = settle(placed, "url-level")
+        finished.append(placed.where("_done").select(*columns))
+        active = placed.where("not _done").select(*columns)
+        level += 1
+        if active.isEmpty():
+            break
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.union(more)
+    return out
 
 
 def template_verdicts(templates: DataFrame) -> DataFrame:
@@ -131,7 +157,7 @@ def template_verdicts(templates: DataFrame) -> DataFrame:
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
-    depth: int = DEPTH,
+    depth: int | None = DEPTH,
     variety: int = VARIETY,
 ) -> DataFrame:
     """A verdict, allow or block, for each page's URL.
