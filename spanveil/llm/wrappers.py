@@ -5,7 +5,8 @@ pages of its host by simple tree matching: equal tags match, and the
 children of matched nodes are aligned in order so that most nodes match; runs of
 sibling leaves with one tag are one repeated slot. Text that stays the same at matched nodes is
 template, text that varies is content. The region of the content is the lowest
-node that holds all varying text, or the article that a page marks as such;
+node that holds all varying text. Articles that a page marks are a hint: they are the region
+if at least half of the varying text is in them, and else don't widen it;
 navigation, forms, notices, adverts and reader comments, by tag, role or class, are never content.
 
 Each host gives a few reference trees, the pages of smallest hash, as digests of texts; they
@@ -21,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import isqrt
 
 import numpy as np
@@ -378,26 +380,31 @@ def main_text(page: str | None, references: list[Shape]) -> str:
             path.pop()
             spans.append((node, first, len(blocks), len(path)))
 
-    # An article inside another, such as a reader's comment, is no article of its own.
-    articles = [
-        s for s in spans if s[0].tag in _ARTICLE and any(not b[2] for b in blocks[s[1] : s[2]])
-    ]
-    if articles:
-        inner = {id(s[0]) for s in articles if s[0].tag == "article"}
-        wanted = [s for s in articles if id(s[0]) in inner] or articles
-        inside = {b for s in wanted for b in range(s[1], s[2])}
-        return "\n\n".join(blocks[b][0] for b in sorted(inside) if not blocks[b][2])
-
     def loose(k: int) -> bool:
         text, linked, apart, same = blocks[k]
         return not apart and not same and linked <= LINKS * len(text)
 
+    def lowest(some: list[int]) -> tuple[Node, int, int, int]:
+        """The lowest node that holds all these blocks."""
+        return max((s for s in spans if s[1] <= some[0] and some[-1] < s[2]), key=lambda s: s[3])
+
+    # An article inside another, such as a reader's comment, is no article of its own.
+    seen = [0, *accumulate(not b[2] for b in blocks)]
+    articles = [s for s in spans if s[0].tag in _ARTICLE and seen[s[1]] < seen[s[2]]]
+    inner = {id(s[0]) for s in articles if s[0].tag == "article"}
+    wanted = [s for s in articles if id(s[0]) in inner] or articles
+    marked = {b for s in wanted for b in range(s[1], s[2])}
     varying = [k for k in range(len(blocks)) if loose(k)]
+    inside = [k for k in varying if k in marked]
+    # The varying text chooses; what a page marks only decides between what varies. Where
+    # nothing varies, nothing is known of the page but its marks.
+    chars = [sum(len(blocks[k][0]) for k in some) for some in (inside, varying)]
+    if marked and 2 * chars[0] >= chars[1]:
+        return "\n\n".join(blocks[b][0] for b in sorted(marked) if not blocks[b][2])
     if not varying:
         return ""
-    region = max(
-        (s for s in spans if s[1] <= varying[0] and varying[-1] < s[2]), key=lambda s: s[3]
-    )
+    # Marked boxes with the lesser part of it, such as teasers, don't widen the region.
+    region = lowest([k for k in varying if k not in marked])
     whole = region[0].tag not in ("", "html", "body")
     kept = [k for k in range(region[1], region[2]) if loose(k) or whole and not blocks[k][2]]
     return "\n\n".join(blocks[k][0] for k in kept)

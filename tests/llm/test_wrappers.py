@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
-from spanveil.llm.wrappers import main_text
+from pyspark.sql import functions as F
+
+from spanveil.llm.wrappers import extract_main_texts, main_text, parse, shape_of
 
 
 def test_depth_has_no_limit():
     deep = "<div>" * 200 + "<aside><p>advert</p></aside>" + "</div>" * 200
     assert main_text(f"<div><article><p>a</p>{deep}<p>tail</p></article></div>", []) == "a\n\ntail"
     assert main_text("<div>" * 20000 + "deep" + "</div>" * 20000, []) == "deep"
+
+
+def test_varying_text_decides_over_marked_articles():
+    site = (
+        "<body><div><p>Welcome to our site, read by everyone</p></div>"
+        "<div><h2>{0}</h2><p>The story of {0}, told at length and in full</p></div>"
+        "<div><article><p>Teaser {0}</p></article><article><p>Box {0}</p></article></div></body>"
+    )
+    reference = shape_of(parse(site.format("old things")), [])
+    want = "new days\n\nThe story of new days, told at length and in full"
+    assert main_text(site.format("new days"), [reference]) == want
+    # An article of template text only.
+    page = "<body><article><p>All rights reserved</p></article><div><p>{}</p></div></body>"
+    reference = shape_of(parse(page.format("an older text of some length")), [])
+    assert main_text(page.format("something new that is longer"), [reference]) == "something new that is longer"
+
+
+def test_pages_without_marks_give_the_same_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    one, two = (sorted((r.page_id, r.text) for r in extract_main_texts(p).collect()) for p in (pages, plain))
+    assert one == two
