@@ -9,13 +9,17 @@ node that holds all varying text. Articles that a page marks are a hint: they ar
 if at least half of the varying text is in them, and else don't widen it;
 navigation, forms, notices, adverts and reader comments, by tag, role or class, are never content.
 
-Each host gives a few reference trees, the pages of smallest hash, as digests of texts; they
-are found with partial results per task. Pages are joined with them by host, one small row
-for each host, so that a host with very many pages is split by the join.
+Templates come from all pages. Distinct pages of a host, told by all their texts, are counted with partial
+sums: by skeleton (the tree without texts), slot and text, and by the tags that lead to a slot and text.
+What half of the pages with a slot have there is template. A page is aligned with the
+template of its skeleton, or where that has none with the most common one of its host; what
+the counts by path tell holds for every page. Pages are joined with templates by
+host and skeleton, small rows, so that a host with very many pages is split by the join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -33,9 +37,10 @@ from pyspark.sql import functions as F
 from spanveil.llm.common import rows_per_batch, settle
 from spanveil.llm.url_templates import host_and_path
 
-#: Reference pages of a host.
-REFERENCES = 3
-#: Share of a page's text, constant against a reference, from which that is a copy and tells nothing.
+#: Share of the distinct pages with a slot that have a text there, from which it is template.
+SHARE = 0.5
+#: Share of a page's text, constant against one other page alone, from which that is a near copy and
+#: tells nothing.
 COPY = 0.7
 #: Share of a block's characters in links, outside an article, from which it is navigation.
 LINKS = 0.7
@@ -197,13 +202,15 @@ def _digest(text: str) -> int:
 class Shape:
     """A node for matching: a slot of texts, or a node with children."""
 
-    __slots__ = ("blocks", "digests", "kids", "size", "tag")
+    __slots__ = ("blocks", "digests", "kids", "pages", "size", "tag")
 
     def __init__(self, tag: str, kids: list[Shape] | None) -> None:
         self.tag, self.kids = tag, kids
         self.digests: list[int] = []
         self.blocks: list[int] = []
         self.size = 1 + sum(k.size for k in kids or ())
+        #: Of a root: the distinct pages that the tree stands for.
+        self.pages = 1
 
 
 def shape_of(node: Node, texts: list[str]) -> Shape:
@@ -342,10 +349,36 @@ def _align(a: list[Shape], b: list[Shape], memo: dict) -> tuple[int, list[tuple[
     return total, matched[::-1]
 
 
-def constant_blocks(shape: Shape, texts: list[str], references: list[Shape]) -> set[int]:
-    """Blocks of text that stand at the same place in a reference that is no copy of the page."""
+def slots_of(shape: Shape) -> list[tuple[int, Shape]]:
+    """The slots of a tree in page order, each with a hash of the tags that lead to it."""
+    out, rest = [], [(0, shape)]
+    while rest:
+        path, one = rest.pop()
+        path = zlib.crc32(f"/{one.tag}".encode("utf-8", "surrogatepass"), path)
+        if one.kids is None:
+            out.append((path, one))
+        rest.extend((path, kid) for kid in reversed(one.kids or ()))
+    return out
+
+
+def constant_blocks(
+    shape: Shape,
+    texts: list[str],
+    references: list[Shape],
+    known: dict[tuple[int, int], int] | None = None,
+) -> set[int]:
+    """Blocks of template text: those that stand at the same place in a reference, or are `known`.
+
+    `known` has (hash of the path, digest of the text) with the number of distinct pages that have the
+    path. What only one other page tells doesn't count if that is a near copy.
+    """
     total = sum(map(len, texts))
     constant: set[int] = set()
+
+    def add(same: set[int], pages: int) -> None:
+        if pages > 2 or sum(len(texts[b]) for b in same) < COPY * total:
+            constant.update(same)
+
     for reference in references:
         pairs: list[tuple[Shape, Shape]] = []
         match_trees(shape, reference, pairs)
@@ -353,17 +386,28 @@ def constant_blocks(shape: Shape, texts: list[str], references: list[Shape]) ->
         for mine, other in pairs:
             there = set(other.digests)
             same.update(b for b, d in zip(mine.blocks, mine.digests, strict=True) if d in there)
-        if sum(len(texts[b]) for b in same) < COPY * total:
-            constant |= same
+        add(same, reference.pages)
+    if known:
+        told: dict[bool, set[int]] = {True: set(), False: set()}
+        for path, slot in slots_of(shape):
+            for b, d in zip(slot.blocks, slot.digests, strict=True):
+                if (path, d) in known:
+                    told[known[path, d] > 2].add(b)
+        add(told[True], 3)
+        add(told[False], 2)
     return constant
 
 
-def main_text(page: str | None, references: list[Shape]) -> str:
+def main_text(
+    page: str | None,
+    references: list[Shape],
+    known: dict[tuple[int, int], int] | None = None,
+) -> str:
     """The blocks of a page's content, joined by empty lines."""
     root = parse(page or "")
     texts: list[str] = []
     shape = shape_of(root, texts)
-    constant = constant_blocks(shape, texts, references)
+    constant = constant_blocks(shape, texts, references, known)
     blocks: list[tuple[str, int, bool, bool]] = []
     spans: list[tuple[Node, int, int, int]] = []
 
@@ -410,33 +454,102 @@ def main_text(page: str | None, references: list[Shape]) -> str:
     return "\n\n".join(blocks[k][0] for k in kept)
 
 
-def _references(pages: DataFrame) -> DataFrame:
-    """host, references: packed shapes of a few pages of each host."""
+def _hash(data: str) -> int:
+    digest = hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def skeleton_of(shape: Shape) -> tuple[int, str]:
+    """A hash of a tree without its texts, and the tree."""
+    tree = json.dumps([[tag, [], count] for tag, _, count in packed(shape)])
+    return _hash(tree), tree
+
+
+def _templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per host and skeleton, and per host: the texts that are template, counted over all pages."""
+
+    def described(page: str | None) -> tuple:
+        texts: list[str] = []
+        shape = shape_of(parse(page or ""), texts)
+        skeleton, tree = skeleton_of(shape)
+        # (own, slot, digest): slots of the skeleton by number, of the host by path; without a
+        # digest a row counts the page.
+        rows: set[tuple] = set()
+        for k, (path, slot) in enumerate(slots_of(shape)):
+            for own, place in ((True, k), (False, path)):
+                rows.add((own, place, None))
+                rows.update((own, place, d) for d in slot.digests)
+        places = [{"own": own, "slot": place, "digest": d} for own, place, d in rows]
+        return skeleton, _hash(json.dumps(texts)), zlib.compress(tree.encode(), 1), places
+
+    kind = pa.list_(
+        pa.struct([("own", pa.bool_()), ("slot", pa.int64()), ("digest", pa.int64())])
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes = [
-                zlib.compress(json.dumps(packed(shape_of(parse(page or ""), []))).encode(), 1)
-                for page in batch.column(2).to_pylist()
-            ]
+            rows = [described(page) for page in batch.column(1).to_pylist()]
+            columns = [[r[k] for r in rows] for k in range(4)]
+            types = (pa.int64(), pa.int64(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(shapes, pa.binary())],
-                names=["page_id", "host", "shape"],
+                [batch.column(0), *map(pa.array, columns, types)],
+                names=["host", "skeleton", "page", "tree", "places"],
             )
 
-    shapes = pages.select("page_id", "host", "html").mapInArrow(
-        run, "page_id long, host string, shape binary"
+    shapes = pages.select("host", "html").mapInArrow(
+        run,
+        "host string, skeleton long, page long, tree binary,"
+        " places array<struct<own:boolean,slot:long,digest:long>>",
     )
     with rows_per_batch(pages.sparkSession, PAGES_PER_BATCH):
         shapes = settle(shapes, "page-shapes")
-    # Copies have one shape, so that different hashes of it give different references.
-    first = [
-        F.min_by("shape", F.struct(F.xxhash64("shape", F.lit(k)), F.col("shape"))).alias(f"r{k}")
-        for k in range(REFERENCES)
-    ]
-    found = F.array_distinct(F.array(*[f"r{k}" for k in range(REFERENCES)])).alias("references")
-    # Written, so that the join with it has a plain shuffle on both sides and can split a host.
-    return settle(shapes.groupBy("host").agg(*first).select("host", found), "page-references")
+    # Copies of a page, told by all its texts, are one.
+    distinct = shapes.groupBy("host", "page").agg(
+        F.min_by(F.struct("skeleton", "places"), "skeleton").alias("one")
+    )
+    counts = (
+        distinct.select("host", "one.skeleton", F.explode("one.places").alias("p"))
+        .select("host", F.when(F.col("p.own"), F.col("skeleton")).alias("skeleton"), "p.*")
+        .groupBy("host", "skeleton", "own", "slot", "digest")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+    )
+    counts = settle(counts, "page-counts")
+    totals = counts.where("digest is null").select(
+        F.col("host").alias("h"), F.col("skeleton").alias("s"), F.col("slot").alias("t"),
+        F.col("n").alias("pages"),
+    )
+    # A slot has few texts that half of its pages share, so a template has the size of a page or two.
+    at = F.col("host").eqNullSafe(F.col("h")) & (F.col("slot") == F.col("t"))
+    constant = (
+        counts.where("digest is not null")
+        .join(totals, at & F.col("skeleton").eqNullSafe(F.col("s")))
+        .where(F.col("n") >= F.lit(SHARE) * F.col("pages"))
+        .groupBy("host", "skeleton")
+        .agg(F.collect_list(F.struct("slot", "digest", "pages")).alias("constant"))
+    )
+    constant = settle(constant, "page-constants")
+    trees = shapes.groupBy("host", "skeleton").agg(F.min("tree").alias("tree"))
+    own = (
+        constant.where("skeleton is not null")
+        .join(trees, ["host", "skeleton"])
+        .select("host", "skeleton", F.struct("tree", "constant").alias("own"))
+    )
+    # Written, so that the joins with them have a plain shuffle on both sides and can split a host.
+    own = settle(own, "page-templates")
+    most = F.struct(F.col("own.constant")[0]["pages"], F.col("skeleton"))
+    common = own.groupBy("host").agg(F.max_by("own", most).alias("common"))
+    known = constant.where("skeleton is null").select("host", F.col("constant").alias("known"))
+    return own, settle(known.join(common, "host", "full"), "page-hosts")
+
+
+def _tree_of(template: dict) -> Shape:
+    shape = unpacked(json.loads(zlib.decompress(template["tree"])))
+    slots = slots_of(shape)
+    for one in template["constant"]:
+        slots[one["slot"]][1].digests.append(one["digest"])
+        shape.pages = one["pages"]
+    return shape
 
 
 def extract_main_texts(pages: DataFrame) -> DataFrame:
@@ -458,24 +571,34 @@ def extract_main_texts(pages: DataFrame) -> DataFrame:
         F.col("html").cast("string"),
         host.alias("host"),
     )
-    both = rows.join(_references(rows), "host", "left")
+    own, hosts = _templates(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, Shape] = {}
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.column(2).to_pylist()
+            skeletons = [skeleton_of(shape_of(parse(page or ""), []))[0] for page in pages]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(skeletons, pa.int64())],
+                names=["page_id", "url", "html", "host", "skeleton"],
+            )
 
-        def text_of(page: str | None, packs: list[bytes] | None) -> str:
-            for pack in packs or ():
-                if pack not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[pack] = unpacked(json.loads(zlib.decompress(pack)))
-            return main_text(page, [known[pack] for pack in packs or ()])
+    placed = rows.mapInArrow(
+        place, "page_id long, url string, html string, host string, skeleton long"
+    )
+    both = placed.join(own, ["host", "skeleton"], "left").join(hosts, "host", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def text_of(page: str | None, mine: dict | None, common: dict | None, known: list | None) -> str:
+            # The only page of its skeleton is aligned with the most common one of its host.
+            template = mine or common
+            counted = {(k["slot"], k["digest"]): k["pages"] for k in known or ()}
+            return main_text(page, [_tree_of(template)] if template else [], counted)
 
         for whole in batches:
             for start in range(0, whole.num_rows, PAGES_PER_BATCH):
                 batch = whole.slice(start, PAGES_PER_BATCH)
-                both = zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)
-                texts = [text_of(page, packs) for page, packs in both]
+                columns = [batch.column(k).to_pylist() for k in range(2, 6)]
+                texts = [text_of(*row) for row in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -486,6 +609,6 @@ def extract_main_texts(pages: DataFrame) -> DataFrame:
                     names=["page_id", "url", "text", "n_chars"],
                 )
 
-    return both.select("page_id", "url", "html", "references").mapInArrow(
+    return both.select("page_id", "url", "html", "own", "common", "known").mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )

@@ -33,3 +33,17 @@ def test_pages_without_marks_give_the_same_text(spark):
     plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
     one, two = (sorted((r.page_id, r.text) for r in extract_main_texts(p).collect()) for p in (pages, plain))
     assert one == two
+
+
+def test_every_template_of_a_host_is_learned(spark):
+    boxes = "<div><p>{1} rights are reserved here</p></div>"
+    rare = "<body><section><div><p>Rare {0}</p></div><p>Tail of the rare template</p></section>" + boxes + "</body>"
+    usual = "<body><div><h2>{0}</h2><p>Usual {0}</p></div>" + boxes + "</body>"
+    rows = [usual.format(f"text {k}", "Usual") for k in range(60)] + [rare.format(f"text {k}", "Rare") for k in range(4)]
+    # Short, and mostly template.
+    rows += ["<body><div><p>x{}</p></div><div><p>{}</p></div></body>".format(k, "All of this is boilerplate " * 20) for k in range(4)]
+    frame = [(k, f"http://h.net/{k}", page) for k, page in enumerate(rows)]
+    got = {r.page_id: r.text for r in extract_main_texts(spark.createDataFrame(frame, "page_id long, url string, html string")).collect()}
+    assert got[0] == "text 0\n\nUsual text 0"
+    assert got[61] == "Rare text 1"
+    assert got[65] == "x1"
