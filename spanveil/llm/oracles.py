@@ -124,3 +124,43 @@ SELECT j.page_id, j.host, j.path, string_split(j.hit, '|')[1] AS rule,
   t.template, m.purity
 FROM judged j JOIN templates t USING (host, path) JOIN merged m ON m.host = t.host AND m.template = t.template
 """
+
+
+#: Every string of 100 bytes of every document, in hexadecimal digits; rows are told by their id.
+REPEATED_STRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, place, substr(h, 2 * place + 1, 200) AS string
+  FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS place FROM d)
+),
+repeated AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY string ORDER BY doc_id, place) AS nth FROM strings
+  ) WHERE nth > 1
+),
+bounds AS (
+  SELECT doc_id, place, max(place) OVER (
+    PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+  ) AS before FROM repeated
+),
+numbered AS (
+  SELECT doc_id, place, sum(CASE WHEN before IS NULL OR place > before + 100 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY place) AS span FROM bounds
+),
+spans AS (
+  SELECT doc_id, span, min(place) AS low, max(place) + 100 AS high FROM numbered GROUP BY doc_id, span
+),
+kept AS (
+  SELECT doc_id, span, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL
+  SELECT doc_id, 1 + max(span), max(high), NULL FROM spans GROUP BY doc_id
+),
+parts AS (
+  SELECT k.doc_id, string_agg(substr(h, 1 + 2 * low::BIGINT, 2 * (coalesce(high, len(h) // 2) - low)::BIGINT), '' ORDER BY span) AS h
+  FROM kept k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id
+),
+gone AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(parts.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN parts ON d.doc_id = parts.doc_id
+"""

@@ -14,7 +14,10 @@ from spanveil.llm.decontaminate import contamination
 from spanveil.llm.fair_mix import mix
 from spanveil.llm.ngram_join import ngram_classes
 from spanveil.llm.one_bit_search import nearest
+from spanveil.llm.periodic_runs import periodic_runs
 from spanveil.llm.pu_quality import learn_quality, quality
+from spanveil.llm.suffix_dedup import remove_repeats
+from spanveil.llm.token_alignment import align_tokens
 from spanveil.llm.toxicity import learn_lexicon, toxicity
 from spanveil.llm.url_templates import DEPTH, VARIETY, filter_urls
 from spanveil.llm.warc import archive_table
@@ -76,6 +79,19 @@ def op10_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     return nearest(table(spark, directory, "embeddings"), every=50, k=5)
 
 
+def op11_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    bytes_, pieces = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens(table(spark, directory, "documents"), bytes_, pieces)
+
+
+def op12_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return remove_repeats(table(spark, directory, "documents"), length=100).drop("spans")
+
+
+def op13_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    return periodic_runs(table(spark, directory, "documents"), planted=True)
+
+
 QUERIES = [
     op1_ngram_join,
     op2_warc,
@@ -87,6 +103,9 @@ QUERIES = [
     op8_quality,
     op9_fair_mix,
     op10_nearest_neighbours,
+    op11_token_alignment,
+    op12_suffix_dedup,
+    op13_periodic_runs,
 ]
 
 
@@ -102,4 +121,5 @@ def all_oracles() -> dict[str, str]:
         "op2_warc": oracles.ARCHIVES,
         "op3_url_filters": oracles.url_templates(URL_RULES, DEPTH, VARIETY),
         "op9_fair_mix": oracles.FAIR_MIX,
+        "op12_suffix_dedup": oracles.REPEATED_STRINGS,
     }
