@@ -43,7 +43,8 @@ SEGMENTS_PER_BATCH, ARRAY_BYTES = 4000, 1 << 21
 #: mark that the batch has several, with their number; a string of a hot anchor.
 REPEATED, ONLY, ONE_OF, MARK, STRING = range(5)
 _LAST = np.iinfo(np.int64).max
-_COUNT_BITS = 20
+#: Where strings are, as one number: place, strings, and the anchor's place in the first of them.
+_PLACE, _COUNT, _LONGEST = 20, 10, 1000
 
 _GENERATOR = np.random.default_rng(20240307)
 _BYTE = _GENERATOR.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -174,10 +175,27 @@ def _earliest(same: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]):
 _ROW = pa.schema(
     [
         ("kind", pa.int32()), ("k", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("sub", pa.int32()),
-        ("place", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("text", pa.binary()),
+        ("at", pa.int64()), ("text", pa.binary()),
     ]
 )
-_ROW_DDL = "kind int, k long, k2 long, doc long, sub int, place long, n int, off int, text binary"
+_ROW_DDL = "kind int, k long, k2 long, doc long, sub int, at long, text binary"
+
+
+def _at(place: np.ndarray, count: np.ndarray | int, off: np.ndarray | int = 0) -> np.ndarray:
+    return place << _PLACE | count << _COUNT | off
+
+
+def _place_count_off(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mask = (1 << _COUNT) - 1
+    return at >> _PLACE, (at >> _COUNT) & mask, at & mask
+
+
+def _dealt_by(*columns: np.ndarray) -> np.ndarray:
+    """A key for rows that needn't meet any other."""
+    key = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        key = mix(key ^ column.astype(np.int64).view(np.uint64))
+    return key.view(np.int64)
 
 
 def _rows(kind: int, **columns) -> pa.RecordBatch:
@@ -209,47 +227,52 @@ def _find_segments(docs: DataFrame, length: int) -> DataFrame:
                 continue
             doc, sub = ids[document], subs[document]
             ranked, new, later = _earliest((anchor, digest), (doc, sub, place))
-            gone = ranked[later]
-            yield _rows(REPEATED, doc=doc[gone], sub=sub[gone], place=place[gone], n=count[gone])
+            # In the order of documents rows pack best.
+            gone = np.sort(ranked[later])
+            yield _rows(REPEATED, k2=_dealt_by(doc[gone]), doc=doc[gone], sub=sub[gone], at=_at(place[gone], count[gone]))
             kept = ranked[new]
-            _, at, several = np.unique(anchor[kept], return_index=True, return_counts=True)
-            mark = at[several > 1]
-            yield _rows(MARK, k=anchor[kept[mark]], n=several[several > 1])
+            own, several = np.unique(anchor[kept], return_counts=True)
+            yield _rows(MARK, k=own[several > 1], k2=own[several > 1], at=several[several > 1])
             several = np.repeat(several, several)
-            for kind, some in ((ONLY, kept[several == 1]), (ONE_OF, kept[several > 1])):
-                yield _rows(kind, k=anchor[some], doc=doc[some], sub=sub[some], place=place[some],
-                            n=count[some], off=off[some])
+            for kind, some in ((ONLY, np.sort(kept[several == 1])), (ONE_OF, np.sort(kept[several > 1]))):
+                k2 = anchor[some] if kind == ONLY else _dealt_by(anchor[some], doc[some])
+                yield _rows(kind, k=anchor[some], k2=k2, doc=doc[some], sub=sub[some],
+                            at=_at(place[some], count[some], off[some]))
 
-    found = docs.select("doc", "sub", "text").mapInArrow(run, _ROW_DDL)
-    return found.drop("k2", "text")
+    return docs.select("doc", "sub", "text").mapInArrow(run, _ROW_DDL).drop("text")
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted segments with their bytes; the strings of hot ones by themselves."""
+    """The wanted segments with their bytes but the anchor's; the strings of hot ones by themselves."""
     packed = wanted.groupBy("doc", "sub").agg(
-        F.collect_list(F.struct("k", "place", "n", "off", "hot")).alias("found")
+        F.collect_list(F.struct("k", "at", "hot")).alias("found")
     )
 
+    gram = gram_of(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch.column(2))
             lists = batch.column(3)
             sizes = np.diff(lists.offsets.to_numpy())
             inner = lists.flatten()
-            anchor, place, count, off, hot = (f.to_numpy(zero_copy_only=False) for f in inner.flatten())
+            anchor, at, hot = (f.to_numpy(zero_copy_only=False) for f in inner.flatten())
+            place, count, off = _place_count_off(at)
             row = np.repeat(np.arange(len(texts)), sizes)
             doc, sub = (batch.column(k).to_numpy()[row] for k in (0, 1))
             some = np.flatnonzero(~hot)
             if len(some):
-                data = [texts[r][p : p + n + length - 1] for r, p, n in zip(row[some].tolist(), place[some].tolist(), count[some].tolist(), strict=True)]
+                data = [
+                    texts[r][p : p + o] + texts[r][p + o + gram : p + n + length - 1]
+                    for r, p, n, o in zip(*(x.tolist() for x in (row[some], place[some], count[some], off[some])), strict=True)
+                ]
                 number: dict[tuple, int] = {}
                 same = np.array([number.setdefault(x, len(number)) for x in zip(anchor[some].tolist(), off[some].tolist(), data, strict=True)])
                 ranked, new, later = _earliest((same,), (doc[some], sub[some], place[some]))
                 gone = some[ranked[later]]
-                yield _rows(REPEATED, doc=doc[gone], sub=sub[gone], place=place[gone], n=count[gone])
+                yield _rows(REPEATED, k=_dealt_by(doc[gone]), doc=doc[gone], sub=sub[gone], at=at[gone])
                 kept = some[ranked[new]]
-                yield _rows(ONE_OF, k=anchor[kept], k2=np.zeros(len(kept), dtype=np.int64), doc=doc[kept], sub=sub[kept],
-                            place=place[kept], n=count[kept], off=off[kept],
+                yield _rows(ONE_OF, k=anchor[kept], doc=doc[kept], sub=sub[kept], at=at[kept],
                             text=pa.array([data[r] for r in ranked[new].tolist()], pa.binary()))
             some = np.flatnonzero(hot)
             if len(some):
@@ -263,10 +286,11 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 low = start + bounds[row[each]]
                 one, two = (Hashes(bytes_, k).of(low, low + length).view(np.int64) for k in (0, 1))
                 ranked, new, later = _earliest((one, two), (doc[each], sub[each], start))
+                start = _at(start, 1)
                 gone = ranked[later]
-                yield _rows(REPEATED, doc=doc[each[gone]], sub=sub[each[gone]], place=start[gone], n=np.ones(len(gone), dtype=np.int32))
+                yield _rows(REPEATED, k=_dealt_by(doc[each[gone]]), doc=doc[each[gone]], sub=sub[each[gone]], at=start[gone])
                 kept = ranked[new]
-                yield _rows(STRING, k=one[kept], k2=two[kept], doc=doc[each[kept]], sub=sub[each[kept]], place=start[kept])
+                yield _rows(STRING, k=one[kept], k2=two[kept], doc=doc[each[kept]], sub=sub[each[kept]], at=start[kept])
 
     return docs.select("doc", "sub", "text").join(packed, ["doc", "sub"]).mapInArrow(run, _ROW_DDL)
 
@@ -291,13 +315,14 @@ def _repeated_strings(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(segment, string in it) of the strings that another segment of the group has earlier.
 
-    Groups are numbers from 0; the segments of a group are different. `keys` are the places of
+    Groups are numbers; the segments of a group are different, and come without their anchors.
+    `keys` are the places of
     their first strings (document, row of it, byte), by which they are ordered.
     """
     gram = gram_of(length)
     before, behind = np.zeros((2, len(texts), length), dtype=np.uint8)
     for k, (text, at) in enumerate(zip(texts, off.tolist(), strict=True)):
-        left, right = text[:at][::-1], text[at + gram :]
+        left, right = text[:at][::-1], text[at:]
         before[k, : len(left)] = np.frombuffer(left, dtype=np.uint8)
         behind[k, : len(right)] = np.frombuffer(right, dtype=np.uint8)
     reach_left = np.minimum(_common(before, group), off)
@@ -317,7 +342,7 @@ def _repeated_strings(
         middle = at - int(low[k])
         piece[:middle] = data[low[k] : at]
         piece[middle] = anchor_letter[k] - 1
-        piece[middle + 1 : -1] = data[at + gram : high[k] + length - 1]
+        piece[middle + 1 : -1] = data[at : high[k] + length - gram - 1]
         piece[:-1] += 1
         piece[-1] = 0
         parts.append(piece)
@@ -342,24 +367,23 @@ def _repeated_strings(
 
 
 def _decide(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, sub, place, n): strings that are repeated, of segments and strings dealt out by key."""
-    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("place", pa.int64()), ("n", pa.int32())])
+    """(doc, sub, at): strings that are repeated, of segments and strings dealt out by key."""
+    schema = pa.schema([("doc", pa.int64()), ("sub", pa.int32()), ("at", pa.int64())])
 
-    def out(doc, sub, place, n) -> pa.RecordBatch:
+    def out(doc, sub, at) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(x).cast(f.type) for x, f in zip((doc, sub, place, n), schema, strict=True)], schema=schema
+            [pa.array(x).cast(f.type) for x, f in zip((doc, sub, at), schema, strict=True)], schema=schema
         )
 
     def settled(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        anchor, doc, sub, place, count, off = (
-            held.column(c).to_numpy() for c in ("k", "doc", "sub", "place", "n", "off")
-        )
+        anchor, doc, sub, at = (held.column(c).to_numpy() for c in ("k", "doc", "sub", "at"))
+        place, count, off = _place_count_off(at)
         texts = held.column("text").to_pylist()
         number: dict[tuple, int] = {}
         same = np.array([number.setdefault(x, len(number)) for x in zip(anchor.tolist(), off.tolist(), texts, strict=True)])
         ranked, new, later = _earliest((same,), (doc, sub, place))
         gone = ranked[later]
-        yield out(doc[gone], sub[gone], place[gone], count[gone])
+        yield out(doc[gone], sub[gone], at[gone])
         kept = ranked[new]
         _, group, size = np.unique(anchor[kept], return_inverse=True, return_counts=True)
         kept, group = kept[size[group] > 1], group[size[group] > 1]
@@ -370,9 +394,10 @@ def _decide(rows: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((string, segment))
             segment, string = segment[order], string[order]
             first = np.append(True, (segment[1:] != segment[:-1]) | (string[1:] != string[:-1] + 1))[: len(segment)]
-            at = np.flatnonzero(first)
-            row = kept[segment[at]]
-            yield out(doc[row], sub[row], place[row] + string[at], np.diff(np.append(at, len(segment))))
+            begins = np.flatnonzero(first)
+            row = kept[segment[begins]]
+            count = np.diff(np.append(begins, len(segment)))
+            yield out(doc[row], sub[row], _at(place[row] + string[begins], count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -382,17 +407,17 @@ def _decide(rows: DataFrame, length: int) -> DataFrame:
             kind = table.column("kind").to_numpy()
             some = table.filter(kind == REPEATED)
             if some.num_rows:
-                yield out(*(some.column(c).to_numpy() for c in ("doc", "sub", "place", "n")))
+                yield out(*(some.column(c).to_numpy() for c in ("doc", "sub", "at")))
             some = table.filter(kind == STRING)
             if some.num_rows:
-                columns = [some.column(c).to_numpy() for c in ("k", "k2", "doc", "sub", "place")]
+                columns = [some.column(c).to_numpy() for c in ("k", "k2", "doc", "sub", "at")]
                 if last is not None:
                     # The first of the group that was open goes on in front.
                     columns = [np.append(x, column) for x, column in zip(last, columns, strict=True)]
                 new = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
                 first = np.flatnonzero(new)[np.cumsum(new) - 1]
                 later = np.any([c != c[first] for c in columns[2:]], axis=0)
-                yield out(*(c[later] for c in columns[2:]), np.ones(int(later.sum()), dtype=np.int32))
+                yield out(*(c[later] for c in columns[2:]))
                 last = tuple(c[first[-1]] for c in columns)
             some = table.filter(kind == ONE_OF)
             if some.num_rows:
@@ -408,8 +433,8 @@ def _decide(rows: DataFrame, length: int) -> DataFrame:
 
     return (
         rows.repartition("k")
-        .sortWithinPartitions("k", "k2", "doc", "sub", "place")
-        .mapInArrow(run, "doc long, sub int, place long, n int")
+        .sortWithinPartitions("k", "k2", "doc", "sub", "at")
+        .mapInArrow(run, "doc long, sub int, at long")
     )
 
 
@@ -426,9 +451,8 @@ def _kept(docs: DataFrame, length: int) -> DataFrame:
             for doc_id, text, found in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2), strict=True):
                 size, spans, kept = len(text), [], text
                 if found.is_valid and len(found):
-                    packed = found.values.to_numpy()
-                    low = packed >> _COUNT_BITS
-                    high = low + (packed & ((1 << _COUNT_BITS) - 1)) + length - 1
+                    low, count, _ = _place_count_off(found.values.to_numpy())
+                    high = low + count + length - 1
                     order = np.argsort(low)
                     low, high = low[order], np.maximum.accumulate(high[order])
                     # Spans that touch are one.
@@ -470,26 +494,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     own = docs.select(
         doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(int(_LAST))).alias("doc"), F.hash(text).alias("sub"), text.alias("text")
     )
+    if not 0 < length <= _LONGEST:
+        raise ValueError(f"strings have 1 to {_LONGEST} bytes")
+    # By anchor there is at most one row from each batch; the others have a key of their own.
+    total: Column = F.sum(F.when(F.col("kind") == MARK, F.col("at")).otherwise(1)).over(Window.partitionBy("k2"))
     with rows_per_batch(spark, TEXTS_PER_BATCH):
-        found = settle(_find_segments(own, length), "suffix-segments")
-
-    # At most one row of an anchor from each batch.
-    everywhere = Window.partitionBy("k")
-    total: Column = F.sum(F.when(F.col("kind") == MARK, F.col("n")).otherwise(1)).over(everywhere)
-    shared = settle(
-        found.where(F.col("kind").isin(ONLY, MARK))
-        .withColumn("total", total)
-        .where("total > 1")
-        .select("kind", "k", "doc", "sub", "place", "n", "off", (F.col("total") > hot).alias("hot")),
-        "suffix-shared",
-    )
-    columns = ["k", "doc", "sub", "place", "n", "off"]
-    crowded = shared.where((F.col("kind") == MARK) & F.col("hot")).select("k", "hot").distinct()
+        found = settle(
+            _find_segments(own, length)
+            .withColumn("total", total)
+            .where(F.col("kind").isin(REPEATED, ONE_OF) | (F.col("total") > 1))
+            .select("kind", "k", "doc", "sub", "at", (F.col("total") > hot).alias("hot")),
+            "suffix-found",
+        )
+    columns = ["k", "doc", "sub", "at"]
+    crowded = found.where((F.col("kind") == MARK) & F.col("hot")).select("k", "hot").distinct()
     wanted = (
-        shared.where(F.col("kind") == ONLY)
+        found.where(F.col("kind") == ONLY)
         .select(*columns, "hot")
         .union(
             found.where(F.col("kind") == ONE_OF)
+            .select(*columns)
             .join(crowded, "k", "left")
             .select(*columns, F.coalesce("hot", F.lit(False)).alias("hot"))
         )
@@ -498,11 +522,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = own.repartition(partitions, "doc", "sub")
     repeated = _decide(_with_bytes(dealt, wanted, length), length).union(
-        found.where(F.col("kind") == REPEATED).select("doc", "sub", "place", "n")
-    )
-    lists = repeated.groupBy("doc", "sub").agg(
-        F.collect_list(F.shiftleft("place", _COUNT_BITS) + F.col("n")).alias("found")
+        found.where(F.col("kind") == REPEATED).select("doc", "sub", "at")
     )
+    lists = repeated.groupBy("doc", "sub").agg(F.collect_list("at").alias("found"))
     left = dealt.join(lists, ["doc", "sub"], "left").select("doc_id", "text", "found")
     with rows_per_batch(spark, TEXTS_PER_BATCH):
         return settle(_kept(left, length), "suffix-kept")
