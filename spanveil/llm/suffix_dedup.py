@@ -190,14 +190,6 @@ def _place_count_off(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at >> _PLACE, (at >> _COUNT) & mask, at & mask
 
 
-def _dealt_by(*columns: np.ndarray) -> np.ndarray:
-    """A key for rows that needn't meet any other."""
-    key = np.zeros(len(columns[0]), dtype=np.uint64)
-    for column in columns:
-        key = mix(key ^ column.astype(np.int64).view(np.uint64))
-    return key.view(np.int64)
-
-
 def _rows(kind: int, **columns) -> pa.RecordBatch:
     """Rows of a kind; columns that are not named are null."""
     length = len(next(iter(columns.values())))
@@ -229,15 +221,15 @@ def _find_segments(docs: DataFrame, length: int) -> DataFrame:
             ranked, new, later = _earliest((anchor, digest), (doc, sub, place))
             # In the order of documents rows pack best.
             gone = np.sort(ranked[later])
-            yield _rows(REPEATED, k2=_dealt_by(doc[gone]), doc=doc[gone], sub=sub[gone], at=_at(place[gone], count[gone]))
+            yield _rows(REPEATED, k2=doc[gone], doc=doc[gone], sub=sub[gone], at=_at(place[gone], count[gone]))
             kept = ranked[new]
             own, several = np.unique(anchor[kept], return_counts=True)
             yield _rows(MARK, k=own[several > 1], k2=own[several > 1], at=several[several > 1])
             several = np.repeat(several, several)
             for kind, some in ((ONLY, np.sort(kept[several == 1])), (ONE_OF, np.sort(kept[several > 1]))):
-                k2 = anchor[some] if kind == ONLY else _dealt_by(anchor[some], doc[some])
-                yield _rows(kind, k=anchor[some], k2=k2, doc=doc[some], sub=sub[some],
-                            at=_at(place[some], count[some], off[some]))
+                # Those that needn't meet others go by document.
+                yield _rows(kind, k=anchor[some], k2=anchor[some] if kind == ONLY else doc[some], doc=doc[some],
+                            sub=sub[some], at=_at(place[some], count[some], off[some]))
 
     return docs.select("doc", "sub", "text").mapInArrow(run, _ROW_DDL).drop("text")
 
@@ -270,7 +262,7 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 same = np.array([number.setdefault(x, len(number)) for x in zip(anchor[some].tolist(), off[some].tolist(), data, strict=True)])
                 ranked, new, later = _earliest((same,), (doc[some], sub[some], place[some]))
                 gone = some[ranked[later]]
-                yield _rows(REPEATED, k=_dealt_by(doc[gone]), doc=doc[gone], sub=sub[gone], at=at[gone])
+                yield _rows(REPEATED, k=doc[gone], doc=doc[gone], sub=sub[gone], at=at[gone])
                 kept = some[ranked[new]]
                 yield _rows(ONE_OF, k=anchor[kept], doc=doc[kept], sub=sub[kept], at=at[kept],
                             text=pa.array([data[r] for r in ranked[new].tolist()], pa.binary()))
@@ -288,11 +280,12 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 ranked, new, later = _earliest((one, two), (doc[each], sub[each], start))
                 start = _at(start, 1)
                 gone = ranked[later]
-                yield _rows(REPEATED, k=_dealt_by(doc[each[gone]]), doc=doc[each[gone]], sub=sub[each[gone]], at=start[gone])
+                yield _rows(REPEATED, k=doc[each[gone]], doc=doc[each[gone]], sub=sub[each[gone]], at=start[gone])
                 kept = ranked[new]
                 yield _rows(STRING, k=one[kept], k2=two[kept], doc=doc[each[kept]], sub=sub[each[kept]], at=start[kept])
 
-    return docs.select("doc", "sub", "text").join(packed, ["doc", "sub"]).mapInArrow(run, _ROW_DDL)
+    # All columns, so that the same shuffle serves what is left of the documents, too.
+    return docs.join(packed, ["doc", "sub"]).select("doc", "sub", "text", "found", "doc_id").mapInArrow(run, _ROW_DDL)
 
 
 def _common(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
