@@ -19,7 +19,7 @@ from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
 from spanveil.sources.readers import read_table, with_text
 from spanveil.sources.storage import shared_folder
-from spanveil.streaming.incremental import start_incremental
+from spanveil.streaming.incremental import run_incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -642,11 +642,8 @@ def sanitize_columns(spark: SparkSession, directory: str) -> DataFrame:
 def incremental(spark: SparkSession, directory: str) -> DataFrame:
     """Follow the documents table as a stream, to its present end."""
     schema = read_table(spark, directory, "documents").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(directory)
-    )
+    # The table may be a file or a folder of files; as a pattern its path is taken for either.
+    stream = spark.readStream.schema(schema).parquet(f"{directory.rstrip('/')}/documents.parque[t]")
     files = stream.select(
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("filename"),
@@ -656,8 +653,7 @@ def incremental(spark: SparkSession, directory: str) -> DataFrame:
     )
     run_id = spark.range(1).select(F.uuid()).first()[0]
     folder = f"{shared_folder(spark)}/incremental-{run_id}"
-    query = start_incremental(files, _users(spark, directory), folder, once=True, mode="redact")
-    query.awaitTermination()
+    run_incremental(files, _users(spark, directory), folder, mode="redact")
     return spark.read.parquet(f"{folder}/sanitized").select("file_id", "sanitized_hash")
 
 

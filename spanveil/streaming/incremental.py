@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,6 +64,24 @@ def write_batch(
     write_audit(log_lifecycle(done, users), f"{folder}/audit", name)
 
 
+def run_incremental(files: DataFrame, users: DataFrame, folder: str, **options) -> None:
+    """Work off what the stream of files has by now.
+
+    If it has nothing, empty outputs are written, so that readers find tables in any case.
+    """
+    spark = files.sparkSession
+    query = start_incremental(files, users, folder, once=True, **options)
+    query.awaitTermination()
+    if not any(p["numInputRows"] for p in query.recentProgress) and not _has_outputs(spark, folder):
+        empty = spark.createDataFrame([], files.schema)
+        write_batch(empty, users, folder, "none", **options)
+
+
+def _has_outputs(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/catalog")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def start_incremental(
     files: DataFrame, users: DataFrame, folder: str, *, once: bool = False, **options
 ) -> StreamingQuery:
