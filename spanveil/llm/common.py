@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,12 +22,11 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder, by name only, that the driver and all executors share.
 
-    It lies in the folder that the cluster names in spark.checkpoint.dir. Only
-    where that is not set, as on one machine, it is a temporary one.
+    It lies in the folder that the cluster names in spark.checkpoint.dir, else in the warehouse.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/spanveil-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if "://" not in root and not root.startswith("file:"):
+        root = f"file://{root}"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -216,7 +216,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no test item, as they are."""
-    held = find_items(docs, benchmark, **options).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_held"]), "left_anti")
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    share: float = BUDGET,
+    shortest: int = SHORTEST_PIECE,
+    part_chars: int = PART_CHARS,
+) -> DataFrame:
+    """The rows whose text holds no test item, as they are, with all their columns.
+
+    Each row is judged by its own text as it passes, so rows that share an id, or have none, don't
+    take each other along; null and empty texts stay. Options are those of find_items.
+    """
+    at = [c.lower() for c in docs.columns].index("text")
+    asked = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    asked = asked.where("text is not null and item_id is not null").distinct()
+    for part in _parts(asked, part_chars):
+        # Bounded by part_chars, whatever the size of the benchmark.
+        items = sorted({(row["item_id"], plain(row["text"])) for row in part.collect()})
+        items = tuple((i, t) for i, t in items if t)
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(items, share, shortest)
+            for whole in batches:
+                for start in range(0, whole.num_rows, TEXTS_PER_BATCH):
+                    batch = whole.slice(start, TEXTS_PER_BATCH)
+                    texts = batch.column(at).to_pylist()
+                    yield batch.filter(pa.array([not matcher.find(plain(t)) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -43,6 +43,17 @@ def rotation(dimension: int, seed: int = 20240521) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float64)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1.
+
+    Cosines stay the same to the last bit, and no square overflows or vanishes.
+    """
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    # In two steps, as the power itself may be out of range.
+    half = -exponents // 2
+    return np.ldexp(np.ldexp(vectors, half), -exponents - half)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs of the rotated unit vectors, and their products with their own signs."""
     turned = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ turn
@@ -92,7 +103,7 @@ def _code_chunks(vectors: DataFrame) -> DataFrame:
             starts = np.cumsum(lengths) - lengths
             for dimension in np.unique(lengths):
                 rows = np.flatnonzero(lengths == dimension)
-                block = values[starts[rows][:, None] + np.arange(dimension)]
+                block = scaled(values[starts[rows][:, None] + np.arange(dimension)])
                 codes, own = encode(block, rotation(int(dimension)))
                 parts = [ids[rows].astype(np.int64), block, codes, own]
                 yield pa.RecordBatch.from_arrays(
@@ -217,7 +228,7 @@ def nearest(
             ids.append(row["vec_id"])
             vectors.append(row["vector"])
         sent = spark.sparkContext.broadcast(
-            {d: (np.array(i, dtype=np.int64), np.array(v)) for d, (i, v) in block.items()}
+            {d: (np.array(i, dtype=np.int64), scaled(np.array(v))) for d, (i, v) in block.items()}
         )
 
         def run(batches, sent=sent) -> Iterator[pa.RecordBatch]:
@@ -226,6 +237,7 @@ def nearest(
         with rows_per_batch(spark, CHUNKS_PER_BATCH):
             part = chunks.mapInArrow(run, "query_id long, vec_id long, score double")
             found.append(settle(part, "nearest"))
+        sent.destroy()
     every_found = found[0]
     for part in found[1:]:
         every_found = every_found.union(part)

@@ -50,9 +50,11 @@ class WordTokenizer:
     def _split(text: str | None) -> list[str]:
         if not text:
             return []
-        if _UNUSUAL.search(text):
+        # Some letters leave the range, and some enter it, when they are made small.
+        small = text.lower()
+        if _UNUSUAL.search(text) or _UNUSUAL.search(small):
             return _BLANK_SEPARATED.findall(text)
-        return _PIECES.findall(text.lower())
+        return _PIECES.findall(small)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.common import settle
 
-#: Segments of a path that are looked at one by one, if no other depth is asked for; what follows
-#: is one last wildcard. With depth None there is no such bound.
+#: Depth that a caller may ask for: so many segments of a path are looked at one by one, and what
+#: follows is one last wildcard. Without a depth there is no such bound.
 DEPTH = 3
 #: Different children that make a node's children variable.
 VARIETY = 8
@@ -62,7 +62,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out
 
 
-def path_templates(paths: DataFrame, depth: int | None = DEPTH, variety: int = VARIETY) -> DataFrame:
+def path_templates(paths: DataFrame, depth: int | None = None, variety: int = VARIETY) -> DataFrame:
     """The distinct paths (host, path, ...) with the template of each."""
     parts = F.split("path", "/")
     longer = F.lit("")
@@ -157,7 +157,7 @@ def template_verdicts(templates: DataFrame) -> DataFrame:
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
-    depth: int | None = DEPTH,
+    depth: int | None = None,
     variety: int = VARIETY,
 ) -> DataFrame:
     """A verdict, allow or block, for each page's URL.
