@@ -1,5 +1,8 @@
 """Segments, catalog, audit log, access, columns, entities, streams."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +228,23 @@ def test_uploads_are_refused_or_fail_visibly(spark, users, tmp_path):
     assert [r.file_id for r in vault] == [1, 2] and vault[1].original_hash == rows[2].original_hash
     log = spark.read.parquet(f"{folder}/audit")
     assert log.count() == 3 + 2 + 2 + 2 and "event_date" in log.columns
+
+
+def test_long_lists_of_names(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = [f"{a}{b}" for a in "ABCDEFGH" for b in ("an", "or", "eth", "ulia")]
+    names = {" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 2, 3]))): "PERSON_NAME" for _ in range(3000)}
+    texts = [" ".join(rnd.choice([*words, "of", "the", "x1", "-"]) for _ in range(rnd.randrange(0, 60))) for _ in range(80)]
+    rows = [*enumerate(texts), (80, None), (81, "")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    listed = spark.createDataFrame(sorted(names.items()) * 2, "name string, entity_type string").repartition(3)
+    want = {}
+    for i, text in rows:
+        found = [(m.start(), m.end()) for m in re.finditer(r"\w+", text or "")]
+        runs = [(found[k][0], found[k + n - 1][1], n) for n in (1, 2, 3) for k in range(len(found) - n + 1)]
+        spans = {(s, e) for s, e, n in runs if " ".join(re.findall(r"\w+", text[s:e])) in names}
+        want[i] = sorted(spans)
+    for bits in (entities.FILTER_BITS, 0):
+        monkeypatch.setattr(entities, "FILTER_BITS", bits)
+        got = entities.with_listed_entities(df, listed, "id")
+        assert {r["id"]: sorted((s["start"], s["end"]) for s in r["model_spans"]) for r in got.collect()} == want
