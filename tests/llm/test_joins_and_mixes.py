@@ -168,7 +168,7 @@ def test_urls_against_sql(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
     rows = [(k, u) for k, u in enumerate(urls)] + [(0, urls[0]), (None, urls[5])]
     df = spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")
-    got = sorted(map(repr, (tuple(r) for r in filter_urls(df, rules).select("page_id", "host", "path", "rule", "verdict", "template").collect())))
+    got = sorted(map(repr, (tuple(r) for r in filter_urls(df, rules, depth=3).select("page_id", "host", "path", "rule", "verdict", "template").collect())))
     pages = pd.DataFrame(rows, columns=["page_id", "url"]).astype({"page_id": "Int64"})  # noqa: F841
     sql = oracles.url_templates(rules, 3, 8)
     want = duckdb.sql(f"SELECT page_id, host, path, rule, verdict, template FROM ({sql})").fetchall()
