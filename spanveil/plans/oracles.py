@@ -545,6 +545,7 @@ def scans() -> dict[str, str]:
         "integrity_check": """SELECT doc_id, sha256(text || CASE WHEN doc_id % 10 = 3 THEN '!' ELSE '' END) AS actual_hash
 FROM documents WHERE doc_id % 10 = 3""",
         "encrypt_round_trip": "SELECT doc_id, sha256(text) AS hash, true AS changed, true AS refused FROM documents",
+        "key_rotation": "SELECT doc_id, sha256(text) AS hash, true AS refused FROM documents",
         "key_ids": "SELECT doc_id, 36::INTEGER AS id_length FROM documents",
         "preview": f"""SELECT page_id, substr(html, 1, {V.PREVIEW_LENGTH}) AS content, length(html) > {V.PREVIEW_LENGTH} AS truncated
 FROM pages""",
@@ -702,6 +703,10 @@ def tables() -> dict[str, str]:
   UNION ALL SELECT c_custkey, 'note', CASE WHEN c_custkey % 3 = 0 THEN ({C.ADDRESS}) END FROM customer) WHERE text IS NOT NULL"""
     one = f"SELECT c_custkey AS key, {C.EMAIL} || ' ' || ({C.PHONE}) AS text FROM customer"
     docs = "SELECT 'doc-' || doc_id AS key, doc_id, text FROM documents"
+    redacted = _with(
+        detection_parts(docs) + "," + rebuilt_parts("'[REDACTED_' || entity || ']'"),
+        "SELECT doc_id AS file_id, sha256(out) AS sanitized_hash FROM src JOIN rebuilt ON src.key = rebuilt.key",
+    )
     return {
         "scan_columns": _with(
             detection_parts(cells),
@@ -713,10 +718,10 @@ FROM det JOIN src ON det.key = src.key JOIN (SELECT col, count(*) AS rows_scanne
             detection_parts(one) + "," + rebuilt_parts(mask_sql("v")),
             "SELECT key AS c_custkey, out AS contact FROM rebuilt",
         ),
-        "incremental": _with(
-            detection_parts(docs) + "," + rebuilt_parts("'[REDACTED_' || entity || ']'"),
-            "SELECT doc_id AS file_id, sha256(out) AS sanitized_hash FROM src JOIN rebuilt ON src.key = rebuilt.key",
-        ),
+        "incremental": redacted,
+        "repeated_uploads": redacted,
+        "stored_outputs": """SELECT doc_id AS file_id, sha256(text) AS restored_hash, sha256(text) AS original_hash,
+  'FILE_UPLOAD,PII_DETECTED,SANITIZATION_COMPLETED' AS events, 'completed' AS status FROM documents""",
     }
 
 

@@ -19,7 +19,7 @@ from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
 from spanveil.sources.readers import read_table, with_text
 from spanveil.sources.storage import shared_folder
-from spanveil.streaming.incremental import run_incremental
+from spanveil.streaming.incremental import run_incremental, write_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +140,22 @@ def encrypt_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def key_rotation(spark: SparkSession, directory: str) -> DataFrame:
+    """Contents under keys of their own, read after the master key was changed."""
+    secret, old, new = (crypto.derive_key("registered", s) for s in ("files", "queries", "others"))
+    docs = _documents(spark, directory)
+    keys = crypto.wrapped_keys(docs, secret, old, "doc_id")
+    locked = docs.select(
+        "doc_id", crypto.encrypt_with(F.col("text"), crypto.data_key(secret, F.col("doc_id"))).alias("locked")
+    )
+    own = crypto.unwrap(F.col("wrapped_key"), new)
+    return locked.join(crypto.rotate_keys(keys, old, new), "doc_id").select(
+        "doc_id",
+        T.content_hash(crypto.decrypt_with(F.col("locked"), own)).alias("hash"),
+        crypto.unwrap(F.col("wrapped_key"), old).isNull().alias("refused"),
+    )
+
+
 def key_ids(spark: SparkSession, directory: str) -> DataFrame:
     return _documents(spark, directory).select(
         "doc_id", F.length(crypto.new_key_id()).alias("id_length")
@@ -657,6 +673,42 @@ def incremental(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/sanitized").select("file_id", "sanitized_hash")
 
 
+def _new_folder(spark: SparkSession, purpose: str) -> str:
+    run_id = spark.range(1).select(F.uuid()).first()[0]
+    return f"{shared_folder(spark)}/{purpose}-{run_id}"
+
+
+def repeated_uploads(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents uploaded twice, with a restart of the stream in between: one copy each."""
+    files, folder = _files_with_text(spark, directory), _new_folder(spark, "repeated")
+    for _ in range(2):
+        files.write.mode("append").parquet(f"{folder}/uploads")
+        stream = spark.readStream.schema(files.schema).parquet(f"{folder}/uploads")
+        run_incremental(
+            stream, _users(spark, directory), folder, repeats_within="7 days", mode="redact"
+        )
+    return spark.read.parquet(f"{folder}/sanitized").select("file_id", "sanitized_hash")
+
+
+def stored_outputs(spark: SparkSession, directory: str) -> DataFrame:
+    """What a batch leaves in the vault, the catalog and the audit log, read back."""
+    files, folder = _files_with_text(spark, directory), _new_folder(spark, "stored")
+    key = crypto.derive_key("registered", "queries")
+    write_batch(files, _users(spark, directory), folder, "0", vault_key=key, mode="redact")
+    vault = spark.read.parquet(f"{folder}/vault").select(
+        "file_id",
+        T.content_hash(crypto.decrypt(F.col("encrypted"), key)).alias("restored_hash"),
+        "original_hash",
+    )
+    events = (
+        spark.read.parquet(f"{folder}/audit")
+        .groupBy("file_id")
+        .agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("events"))
+    )
+    kept = spark.read.parquet(f"{folder}/catalog").select("file_id", "status")
+    return vault.join(events, "file_id").join(kept, "file_id")
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "text_extraction": text_extraction,
@@ -666,6 +718,9 @@ def all_queries() -> dict[str, Query]:
         "integrity_check": integrity_check,
         "encrypt_round_trip": encrypt_round_trip,
         "key_ids": key_ids,
+        "key_rotation": key_rotation,
+        "stored_outputs": stored_outputs,
+        "repeated_uploads": repeated_uploads,
         "preview": preview,
         **_detectors(),
         "detect_raw": detect_raw,

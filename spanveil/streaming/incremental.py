@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanveil.functions.fixed_values import MAX_FILE_SIZE
+from spanveil.functions.texts import content_hash
 from spanveil.operators.audit import log_lifecycle
 from spanveil.operators.catalog import admit, catalog_rows, process_files, refused_rows
 from spanveil.sources.crypto import key_id
@@ -64,13 +65,15 @@ def write_batch(
     write_audit(log_lifecycle(done, users), f"{folder}/audit", name)
 
 
-def run_incremental(files: DataFrame, users: DataFrame, folder: str, **options) -> None:
+def run_incremental(
+    files: DataFrame, users: DataFrame, folder: str, *, repeats_within: str | None = None, **options
+) -> None:
     """Work off what the stream of files has by now.
 
     If it has nothing, empty outputs are written, so that readers find tables in any case.
     """
     spark = files.sparkSession
-    query = start_incremental(files, users, folder, once=True, **options)
+    query = start_incremental(files, users, folder, once=True, repeats_within=repeats_within, **options)
     query.awaitTermination()
     if not any(p["numInputRows"] for p in query.recentProgress) and not _has_outputs(spark, folder):
         empty = spark.createDataFrame([], files.schema)
@@ -82,14 +85,38 @@ def _has_outputs(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def distinct_uploads(files: DataFrame, within: str) -> DataFrame:
+    """The first upload of each file and content of a stream; later ones within the time are dropped.
+
+    ``within`` bounds how long an upload is remembered, and how late one may come by its
+    ``created_at``: the state holds a file's id and hash for that time and no longer.  A file that
+    comes with another content is an upload of its own.
+    """
+    original = F.col("content" if "content" in files.columns else "text")
+    return (
+        files.withColumn("__hash", content_hash(F.coalesce(original.cast("binary"), F.lit(b""))))
+        .withWatermark("created_at", within)
+        .dropDuplicatesWithinWatermark(["file_id", "__hash"])
+        .drop("__hash")
+    )
+
+
 def start_incremental(
-    files: DataFrame, users: DataFrame, folder: str, *, once: bool = False, **options
+    files: DataFrame,
+    users: DataFrame,
+    folder: str,
+    *,
+    once: bool = False,
+    repeats_within: str | None = None,
+    **options,
 ) -> StreamingQuery:
     """Follow a stream of files (file_id, filename, text, uploaded_by, created_at).
 
-    ``folder`` is shared storage.  Nothing is kept between rows, so there is no
-    state to grow and no watermark to set.
+    ``folder`` is shared storage.  Nothing is kept between rows, so there is no state to grow,
+    unless ``repeats_within`` (as "7 days") asks to drop repeated uploads.
     """
+    if repeats_within is not None:
+        files = distinct_uploads(files, repeats_within)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, users, folder, str(batch_id), **options)

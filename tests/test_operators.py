@@ -13,7 +13,8 @@ from spanveil.operators.sanitize import sanitize
 from spanveil.sources.readers import read_files, with_text
 from spanveil.functions.texts import file_type_of
 from spanveil.sources.storage import write_audit, write_vault
-from spanveil.streaming.incremental import start_incremental, write_batch
+from spanveil.sources import crypto
+from spanveil.streaming.incremental import run_incremental, start_incremental, write_batch
 from tests import model
 from tests.texts import random_texts
 
@@ -248,3 +249,28 @@ def test_long_lists_of_names(spark, monkeypatch):
         monkeypatch.setattr(entities, "FILTER_BITS", bits)
         got = entities.with_listed_entities(df, listed, "id")
         assert {r["id"]: sorted((s["start"], s["end"]) for s in r["model_spans"]) for r in got.collect()} == want
+
+
+def test_repeated_uploads_are_dropped(spark, tmp_path):
+    users = spark.createDataFrame([(1, "u", "standard", 1)], "id long, username string, role string, is_active int")
+    rows = [(1, "a.txt", "mail a@b.com"), (2, "b.txt", "none"), (1, "a.txt", "mail a@b.com"), (3, "c.txt", None)]
+    more = [(1, "a.txt", "another text"), (2, "b.txt", "none"), (4, "d.txt", "new")]
+    folder = str(tmp_path)
+    for some in (rows, more, more[:1]):
+        files = spark.createDataFrame(some, "file_id long, filename string, text string").withColumns(
+            {"uploaded_by": F.lit(1), "created_at": F.lit("2024-01-01").cast("timestamp")}
+        )
+        files.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(files.schema).parquet(f"{folder}/in")
+        run_incremental(stream, users, folder, repeats_within="1 day", mode="mask")
+    got = [r["file_id"] for r in spark.read.parquet(f"{folder}/processed").collect()]
+    assert sorted(got) == [1, 1, 2, 3, 4]
+
+
+def test_rotated_keys(spark):
+    secret, old, new = (crypto.derive_key(p, "0123456789abcdef") for p in "abc")
+    df = spark.createDataFrame([(1, "one"), (2, ""), (3, None)], "file_id long, content string")
+    keys = crypto.wrapped_keys(df, secret, old)
+    assert crypto.rotate_keys(keys, old, new).select(crypto.unwrap(F.col("wrapped_key"), new)).distinct().count() == 3
+    with pytest.raises(Exception, match="not under this master key"):
+        crypto.rotate_keys(keys, new, old).collect()
