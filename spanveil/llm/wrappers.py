@@ -42,6 +42,9 @@ SHARE = 0.5
 #: Share of a page's text, constant against one other page alone, from which that is a near copy and
 #: tells nothing.
 COPY = 0.7
+#: Distinct pages that must have a slot before a text that half of them share is taken out of a marked
+#: article, too; unless less than this share of the article is left, as the pages are then near copies.
+FIRM, LEAST_LEFT = 5, 0.3
 #: Share of a block's characters in links, outside an article, from which it is navigation.
 LINKS = 0.7
 #: Pages that a Python worker holds at a time.
@@ -366,35 +369,38 @@ def constant_blocks(
     texts: list[str],
     references: list[Shape],
     known: dict[tuple[int, int], int] | None = None,
-) -> set[int]:
-    """Blocks of template text: those that stand at the same place in a reference, or are `known`.
+) -> dict[int, int]:
+    """Blocks of template text: those that stand at the same place in a reference, or are `known`, each
+    with the number of distinct pages that tell it.
 
     `known` has (hash of the path, digest of the text) with the number of distinct pages that have the
     path. What only one other page tells doesn't count if that is a near copy.
     """
     total = sum(map(len, texts))
-    constant: set[int] = set()
+    constant: dict[int, int] = {}
 
-    def add(same: set[int], pages: int) -> None:
-        if pages > 2 or sum(len(texts[b]) for b in same) < COPY * total:
-            constant.update(same)
+    def add(same: dict[int, int], copies: bool) -> None:
+        if not copies or sum(len(texts[b]) for b in same) < COPY * total:
+            for b, pages in same.items():
+                constant[b] = max(pages, constant.get(b, 0))
 
     for reference in references:
         pairs: list[tuple[Shape, Shape]] = []
         match_trees(shape, reference, pairs)
-        same = set()
+        same: dict[int, int] = {}
         for mine, other in pairs:
             there = set(other.digests)
-            same.update(b for b, d in zip(mine.blocks, mine.digests, strict=True) if d in there)
-        add(same, reference.pages)
+            found = (b for b, d in zip(mine.blocks, mine.digests, strict=True) if d in there)
+            same.update(dict.fromkeys(found, reference.pages))
+        add(same, reference.pages <= 2)
     if known:
-        told: dict[bool, set[int]] = {True: set(), False: set()}
+        told: dict[bool, dict[int, int]] = {True: {}, False: {}}
         for path, slot in slots_of(shape):
             for b, d in zip(slot.blocks, slot.digests, strict=True):
                 if (path, d) in known:
-                    told[known[path, d] > 2].add(b)
-        add(told[True], 3)
-        add(told[False], 2)
+                    told[known[path, d] > 2][b] = known[path, d]
+        add(told[True], False)
+        add(told[False], True)
     return constant
 
 
@@ -444,7 +450,12 @@ def main_text(
     # nothing varies, nothing is known of the page but its marks.
     chars = [sum(len(blocks[k][0]) for k in some) for some in (inside, varying)]
     if marked and 2 * chars[0] >= chars[1]:
-        return "\n\n".join(blocks[b][0] for b in sorted(marked) if not blocks[b][2])
+        own = [b for b in sorted(marked) if not blocks[b][2]]
+        # Notices within the article are template as well.
+        left = [b for b in own if constant.get(b, 0) < FIRM]
+        if sum(len(blocks[b][0]) for b in left) < LEAST_LEFT * sum(len(blocks[b][0]) for b in own):
+            left = own
+        return "\n\n".join(blocks[b][0] for b in left)
     if not varying:
         return ""
     # Marked boxes with the lesser part of it, such as teasers, don't widen the region.

@@ -47,3 +47,26 @@ def test_every_template_of_a_host_is_learned(spark):
     assert got[0] == "text 0\n\nUsual text 0"
     assert got[61] == "Rare text 1"
     assert got[65] == "x1"
+
+
+def test_notices_inside_articles_are_template(spark):
+    page = (
+        "<body><nav><a href='/'>Home</a></nav><article><h1>{0}</h1><p>Subscribe now and get ten percent off</p><p>The story of {0},"
+        " told at length and in full</p><p>Read more on our front page</p></article></body>"
+    )
+    rows = [(k, f"http://h.net/{k}", page.format(f"subject {k}")) for k in range(40)]
+    # Near copies of one article, which are not notices to one another.
+    copies = "<body><article><p>{0}</p><p>One long text that all of these pages hold, whatever their number may be</p></article></body>"
+    rows += [(100 + k, f"http://copies.net/{k}", copies.format(k)) for k in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_texts(frame).collect()}
+    assert all(got[k] == f"subject {k}\n\nThe story of subject {k}, told at length and in full" for k in range(40))
+    assert all(got[100 + k].endswith("whatever their number may be") for k in range(20))
+
+
+def test_marked_boxes_beside_the_text(spark):
+    page = "<body><div><h2>{0}</h2><p>The story of {0}, told at length and in full</p></div><div><article><p>Teaser {0}</p></article></div></body>"
+    rows = [(k, f"http://h.net/{k}", page.format(f"subject {k}")) for k in range(12)] * 2
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.text) for r in extract_main_texts(frame).collect()]
+    assert sorted(got) == sorted([(k, f"subject {k}\n\nThe story of subject {k}, told at length and in full") for k in range(12)] * 2)
