@@ -15,7 +15,7 @@ from spanveil.llm.fair_mix import mix
 from spanveil.llm.ngram_join import ngram_classes
 from spanveil.llm.one_bit_search import nearest
 from spanveil.llm.periodic_runs import periodic_runs
-from spanveil.llm.pu_quality import learn_quality, quality
+from spanveil.llm.pu_quality import describe, learn_quality, quality
 from spanveil.llm.suffix_dedup import remove_repeats
 from spanveil.llm.token_alignment import align_tokens
 from spanveil.llm.toxicity import learn_lexicon, toxicity
@@ -68,7 +68,9 @@ def op7_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
-    return quality(documents, learn_quality(documents, table(spark, directory, "labels")))
+    known = describe(documents)
+    model = learn_quality(documents, table(spark, directory, "labels"), known=known)
+    return quality(documents, model, known)
 
 
 def op9_fair_mix(spark: SparkSession, directory: str) -> DataFrame:

@@ -14,15 +14,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int = LABELLED_ROWS
-) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled documents outside the held-out third.
+def labelled_ids(labels: DataFrame, label: str, rows: int = LABELLED_ROWS) -> DataFrame:
+    """(doc_id, label) of at most `rows` labelled documents outside the held-out third.
 
-    The ids are chosen first, so that texts of other documents are read but never moved.
     Labels other than 0 and 1 are left out; of an id with several labels the largest counts.
     """
-    chosen = (
+    return (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -30,6 +27,15 @@ def labelled_sample(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int = LABELLED_ROWS
+) -> DataFrame:
+    """(doc_id, text, label) of `labelled_ids`.
+
+    The ids are chosen first, so that texts of other documents are read but never moved.
+    """
     # At most `rows` of 12 bytes, so safe to send to every executor.
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(labelled_ids(labels, label, rows)), "doc_id")

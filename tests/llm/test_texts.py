@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from spanveil.llm.bit_planes import PlaneWriter, document_parts, token_table
 from spanveil.llm.decontaminate import PieceMatcher, clean_documents, contamination, plain, within
-from spanveil.llm.pu_quality import estimate_prior, fit, learn_quality, non_negative_risk, quality, statistics
+from spanveil.llm.pu_quality import Moments, describe, estimate_prior, fit, learn_quality, non_negative_risk, quality, statistics
 from spanveil.llm.tokens import WordTokenizer
 from spanveil.llm.toxicity import Lexicon, Scorer, TermAutomaton, edits_allowed, learn_lexicon, toxicity, without_toxic
 from spanveil.llm.warc import ArchiveWriter, archive_table, parse_record, read_records, record_of
@@ -240,6 +240,23 @@ def test_quality_is_learned_from_positives(spark):
     assert {r.score for r in quality(odd, empty).collect()} == {0.5}
 
 
+def test_quality_reads_all_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").toPandas()
+    values = np.array([statistics(text) for text in rows.text])
+    marked = labels.toPandas().set_index("doc_id").quality
+    good = [zlib.crc32(str(i).encode()) % 3 != 1 and marked.get(i) == 1 for i in rows.doc_id]
+    plain = fit(values[np.array(good)], values)
+    # However the rows are dealt out, sums are exact, so two runs are one model.
+    one, two = (learn_quality(docs.repartition(n), labels) for n in (3, 7))
+    for name in ("mean", "spread", "weights", "prior"):
+        assert np.array_equal(getattr(one, name), getattr(two, name))
+        assert np.allclose(getattr(one, name), getattr(plain, name))
+    known = describe(docs)
+    assert known.count() == docs.count()
+    assert quality(docs, one, known).exceptAll(quality(docs, two)).count() == 0
+
+
 def test_risk_and_prior():
     rnd = np.random.default_rng(0)
     good, bad = rnd.normal(1.5, 1, (3000, 3)), rnd.normal(-1.5, 1, (3000, 3))
@@ -251,4 +268,12 @@ def test_risk_and_prior():
     # Where the corrected risk is negative, the step is the way back up.
     x = np.ones((4, 1))
     assert non_negative_risk(np.zeros(1), x, x, 1.5)[1] < 0
+    # Moments give the mean of the losses, and the step is the slope of the risk.
+    p, u, w = rnd.normal(0.5, 1, (50, 3)), rnd.normal(0, 1, (80, 3)), rnd.normal(0, 0.3, 3)
+    miss, false, slope = non_negative_risk(w, p, Moments.of(u), 0.4)
+    assert np.isclose(miss, 0.4 * np.mean((1 - p @ w) ** 2) / 4)
+    assert np.isclose(false, np.mean((1 + u @ w) ** 2) / 4 - 0.4 * np.mean((1 + p @ w) ** 2) / 4)
+    for k in range(3):
+        ahead, behind = (sum(non_negative_risk(w + h * np.eye(3)[k], p, u, 0.4)[:2]) for h in (1e-5, -1e-5))
+        assert np.isclose((ahead - behind) / 2e-5, slope[k], atol=1e-6)
     assert statistics(None) == statistics("  ") == [0.0] * len(statistics("a b"))
