@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanveil.functions.rules import STRUCTURED_RULES, Pattern, Rule
-from spanveil.operators import access, audit, catalog, columns, entities, segments, stats
+from spanveil.operators import access, audit, catalog, columns, entities, runs, segments, stats
 from spanveil.operators.detect import detect
 from spanveil.operators.sanitize import sanitize
 from spanveil.sources.readers import read_files, with_text
@@ -181,6 +181,41 @@ def test_large_documents_stay(spark):
     assert segments.assemble(df, "doc", "pos").rdd.getNumPartitions() > 1
 
 
+def test_documents_in_runs_are_as_whole_ones(spark):
+    docs = {d: random_texts(40, 300 + d, 6) for d in range(6)}
+    docs[6] = ["", *random_texts(30, 400, 5), "x" * 900 + " a@b.com " + "y" * 700, "", "flat 12 abc"]
+    docs[7] = ["short a@b.com"]
+    rows = [(d, i, 0, t) for d, parts in docs.items() for i, t in enumerate(parts)]
+    rows += [(0, 900, 2, "head " + t) for t in docs[0][:5]] + [(1, 5, 0, "again 9876543210"), (1, 5, 0, None)]
+    df = spark.createDataFrame(rows, "doc int, pos int, kind int, text string")
+    names = {"kind": "kind", "mode": "redact"}
+    for fallback in (False, True):
+        whole = segments.sanitize_segments(df, "doc", "pos", partial_fallback=fallback, **names)
+        cut = segments.sanitize_segments(df, "doc", "pos", partial_fallback=fallback, run=300, reach=1500, **names)
+        assert cut.columns == whole.columns
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_runs_of_a_document_are_many_rows(spark):
+    rows = [(None, i, 0, f"line {i} of u{i}@x.com " + "z" * 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc int, position int, kind int, text string")
+    pieces = runs.placed(runs.in_order(df))
+    cut = runs.runs_of(pieces, run=1000, reach=100).withColumn("task", F.spark_partition_id()).toPandas()
+    assert cut.text.str.len().max() <= 1200 and cut.task.nunique() > 3
+    text = "\n".join(r[3] for r in rows)
+    assert sorted(cut.run) == list(range((len(text) + 999) // 1000))
+    assert all(text[b : b + len(t)] == t and b == max(0, r * 1000 - 100) for r, b, t in zip(cut.run, cut.base, cut.text))
+    # A segment meets the values it holds, not those of its document.
+    swaps = spark.createDataFrame(
+        [(None, f"u{i}@x.com", f"u{i}@x.com", "-", i) for i in range(2000)] + [(None, "no such value", "no", "-", 0)],
+        "doc int, value string, word string, new string, at long",
+    )
+    met = runs.swaps_in_segments(runs.in_order(df), swaps, F.col("value")).select(F.size("swaps").alias("n")).toPandas()
+    assert len(met) == 2000 and met.n.max() <= 4
+    clean = segments.sanitize_segments(df, "doc", "position", mode="redact", run=1000, reach=100)
+    assert clean.where(F.col("sanitized_text").contains("@")).count() == 0 and clean.count() == 2000
+
+
 def test_listed_names_of_any_length(spark):
     names = ["Oslo", "Ann Lee", "New York City", "Indian Institute of Technology", "Bank of the West Coast", "One Two Three Four Five Six"]
     df = spark.createDataFrame([(1, " met ".join(names))], "id int, text string")
