@@ -87,6 +87,10 @@ SEGMENTS = """SELECT conv_id, turn, CASE turn % 3
   ELSE 'again c' || conv_id || '@example.com c' || conv_id || '@example.com 10.1.2.' || (conv_id % 250) END AS text
 FROM conversations"""
 
+# Few documents of very many segments.
+LONG_SEGMENTS = f"""SELECT conv_id % 3 AS conv_id, conv_id * 1000 + turn AS turn, text
+FROM ({SEGMENTS})"""
+
 USERS = """SELECT c_custkey AS id, c_name AS username,
   CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'standard' END AS role,
   CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END AS is_active

@@ -470,9 +470,11 @@ FROM segs LEFT JOIN {swaps} d ON conv_id = d.key"""
   FROM segs LEFT JOIN {swaps} d ON conv_id = d.key)))"""
 
     parts = base + ", " + detection_parts(joined)
+    long = f"segs AS ({C.LONG_SEGMENTS}), " + detection_parts(joined)
     return {
         "assemble_segments": f"WITH {base} SELECT key AS conv_id, text FROM ({joined})",
         "sanitize_segments": _with(parts, whole),
+        "sanitize_long_documents": _with(long, whole),
         "sanitize_segments_by_first_word": _with(parts, first_word),
     }
 

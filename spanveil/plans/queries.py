@@ -394,6 +394,12 @@ def _sanitize_segments(fallback: bool) -> Query:
     return query
 
 
+def sanitize_long_documents(spark: SparkSession, directory: str) -> DataFrame:
+    """Three documents of all turns, each cut into runs."""
+    long = C.run(spark, directory, C.LONG_SEGMENTS, "conversations")
+    return segments.sanitize_segments(long, "conv_id", "turn", run=20_000, reach=2_000).drop("kind")
+
+
 # --- analysis ---------------------------------------------------------------
 def analyze_texts(spark: SparkSession, directory: str) -> DataFrame:
     return analyze.analyze(C.corpus(spark, directory)).select(
@@ -751,6 +757,7 @@ def all_queries() -> dict[str, Query]:
         "sanitize_sql_literals": sanitize_sql_literals,
         "assemble_segments": assemble_segments,
         "sanitize_segments": _sanitize_segments(False),
+        "sanitize_long_documents": sanitize_long_documents,
         "sanitize_segments_by_first_word": _sanitize_segments(True),
         "analyze": analyze_texts,
         "highlight": highlight,
