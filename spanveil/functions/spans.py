@@ -228,6 +228,52 @@ def settle_islands(groups: Column) -> Column:
     return F.flatten(F.transform(groups, settle))
 
 
+def uncovered(groups: Column) -> Column:
+    """``array<struct<start,end>>``: what dropped spans cover and kept ones don't.
+
+    From ``islands`` of ``array<RANKED>``. The spans of an island have no gap between them, so
+    what lies between its kept spans, before the first and after the last belongs to
+    dropped ones. Parts that touch, also of two islands, are one.
+    """
+
+    def gaps(island: Column) -> Column:
+        low = F.get(island, F.lit(0))["start"]
+        high = F.array_max(F.transform(island, lambda s: s["end"]))
+
+        def between(kept: Column, last: Column) -> Column:
+            parts = F.transform(
+                F.sequence(F.lit(0), F.size(kept)),
+                lambda i: F.struct(
+                    F.coalesce(F.get(kept, i - 1)["end"], low).alias("start"),
+                    F.coalesce(F.get(kept, i)["start"], last).alias("end"),
+                ),
+            )
+            return F.filter(parts, lambda p: p["start"] < p["end"])
+
+        found = let(
+            settle_islands(F.array(island)), lambda kept: let(high, lambda last: between(kept, last))
+        )
+        return F.when(F.size(island) > 1, found).otherwise(empty_of("struct<start:int,end:int>"))
+
+    def join(parts: Column) -> Column:
+        begins = F.filter(
+            indexes(parts),
+            lambda i: (i == 0) | (F.get(parts, i)["start"] > F.get(parts, i - 1)["end"]),
+        )
+        return let(
+            begins,
+            lambda at: F.transform(
+                at,
+                lambda first, k: F.struct(
+                    F.get(parts, first)["start"].alias("start"),
+                    F.get(parts, F.coalesce(F.get(at, k + 1), F.size(parts)) - 1)["end"].alias("end"),
+                ),
+            ),
+        )
+
+    return let(F.flatten(F.transform(groups, gaps)), join)
+
+
 def splice(
     text: Column, spans: Column, replacement: Callable[[Column, Column], Column]
 ) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.operators.detect import detect, explode_detections
+from spanveil.operators.entities import with_listed_entities
 
 # column -> type and default of what an action may leave out
 _OPTIONAL = {
@@ -184,9 +185,18 @@ def log_lifecycle(processed: DataFrame, users: DataFrame) -> DataFrame:
     return log_events(actions, users)
 
 
+_FREE_TEXT = ("filename", "entity_counts", "error_message", "user_agent")
+
+
+def _cells(audit: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(id, column, text) of the free text of the log."""
+    texts = [F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]
+    return audit.select("id", F.explode(F.array(*texts)).alias("cell")).select("id", "cell.*")
+
+
 def find_leaks(
     audit: DataFrame,
-    columns: Sequence[str] = ("filename", "entity_counts", "error_message", "user_agent"),
+    columns: Sequence[str] = _FREE_TEXT,
     values: DataFrame | None = None,
 ) -> DataFrame:
     """Entities in the free text of the log; it should be empty.
@@ -194,13 +204,27 @@ def find_leaks(
     ``values`` (entity_type, text) narrows the result to values that were
     really detected in the files.
     """
-    cells = audit.select(
-        "id",
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns])
-        ).alias("cell"),
-    ).select("id", "cell.*")
+    cells = _cells(audit, columns)
     leaks = explode_detections(detect(cells), ["id", "column"])
     if values is None:
         return leaks
     return leaks.join(values.select("entity_type", "text").distinct(), ["entity_type", "text"], "left_semi")
+
+
+def find_value_leaks(
+    audit: DataFrame, values: DataFrame, columns: Sequence[str] = _FREE_TEXT
+) -> DataFrame:
+    """Where the free text of the log holds detected values, also those no pattern finds.
+
+    ``values`` (entity_type, text) are what was detected, listed names among them. Word runs of
+    the log are first looked up in a set of hashed prefixes of the values, then joined with
+    those that are left; a value counts if its words stand in the log in their order. The
+    result (id, column, entity_type, start, end) says where and never what.
+    """
+    cell = F.struct("id", "column")
+    cells = _cells(audit, columns).filter(F.col("text").isNotNull()).select(cell.alias("cell"), "text")
+    names = values.select(F.col("text").alias("name"), "entity_type").distinct()
+    found = with_listed_entities(cells, names, "cell", out="__spans")
+    return found.select("cell.*", F.explode("__spans").alias("s")).select(
+        "id", "column", "s.entity_type", "s.start", "s.end"
+    )

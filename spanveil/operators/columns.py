@@ -18,22 +18,8 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
 
 
-def scan_columns(
-    df: DataFrame, columns: Sequence[str] | None = None, *, rules: Sequence[Rule] = STRUCTURED_RULES
-) -> DataFrame:
-    """Per column and entity type: rows with hits, hits and the share of rows.
-
-    Only column name and counts are shuffled; a cell counts as scanned on the
-    first of its exploded counts, so there is one pass.
-    """
-    names = list(columns or string_columns(df))
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in names]
-            )
-        ).alias("cell")
-    ).select("cell.*")
+def hit_rates(cells: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Per column and entity type of cells (column, text): cells with hits, hits and their share."""
     counted = (
         detect_with_counts(cells.filter(F.col("text").isNotNull()), rules=rules)
         .select("column", F.posexplode_outer("entity_counts").alias("pos", "entity_type", "n"))
@@ -59,6 +45,25 @@ def scan_columns(
     )
 
 
+def scan_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, *, rules: Sequence[Rule] = STRUCTURED_RULES
+) -> DataFrame:
+    """Per column and entity type: rows with hits, hits and the share of rows.
+
+    Only column name and counts are shuffled; a cell counts as scanned on the
+    first of its exploded counts, so there is one pass.
+    """
+    names = list(columns or string_columns(df))
+    cells = df.select(
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in names]
+            )
+        ).alias("cell")
+    ).select("cell.*")
+    return hit_rates(cells, rules)
+
+
 def sanitize_columns(
     df: DataFrame,
     columns: Sequence[str],

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.addresses import address_candidates
+from spanveil.functions.arrays import cut, let, pages_of
 from spanveil.functions.rules import BASIC_RULES, STRUCTURED_RULES, Rule
-from spanveil.functions.spans import count_by_type, drop_repeats, plain
+from spanveil.functions.spans import count_by_type, drop_repeats, match, plain, uncovered
 from spanveil.functions.stages import (
+    RESOLVE,
     address_stages,
     raw_columns,
     resolved_columns,
@@ -87,6 +89,36 @@ def detect(
     return sealed(staged, df.columns, plain(F.col(stage_column("resolved"))), out)
 
 
+def find_uncovered(
+    df: DataFrame,
+    text: str = "text",
+    *,
+    rules: Sequence[Rule] = STRUCTURED_RULES,
+    addresses: bool = True,
+    model_spans: str | None = None,
+    out: str = "uncovered",
+) -> DataFrame:
+    """Add the parts of dropped spans that no kept span covers, as ``array<MATCH>``.
+
+    Of spans that overlap one stays, so a text that is sanitized by ``detect`` may still hold a
+    part of another. The parts are as long as they can be, disjoint and in order of position; null
+    texts have none.
+    """
+    staged = _with_raw(df, text, rules, addresses, model_spans)
+    loose = stage_columns(
+        staged, text, [RESOLVE[0], ("loose", lambda get: uncovered(get("islands")))]
+    )
+    parts = let(
+        pages_of(F.col(text)),
+        lambda pages: F.transform(
+            F.col(stage_column("loose")),
+            lambda p: match(p["start"], p["end"], cut(pages, p["start"], p["end"])),
+        ),
+    )
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return sealed(loose, df.columns, F.coalesce(parts, none), out)
+
+
 def detect_basic(df: DataFrame, text: str = "text", *, out: str = "detections") -> DataFrame:
     """The basic profile: six rules, sorted by start, overlaps left as they are."""
     staged = raw_columns(df, text, BASIC_RULES, addresses=False)

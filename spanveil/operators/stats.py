@@ -96,28 +96,31 @@ def recent_activity(
     )
 
 
-def daily_trend(
-    files: DataFrame, as_of: str | datetime | Column | None = None, days: int = 30
-) -> DataFrame:
-    """Completed files per day: files, entities, entities per type.
+def day_type_counts(files: DataFrame, **more: Column) -> DataFrame:
+    """Files and entities per day and type; ``more`` are further aggregates over the same groups.
 
-    A file is counted on the first of its exploded counts, so one scan and one
-    aggregation by day and type serve all three figures; what is grouped again
-    by day is at most days times types rows.
+    A file is counted on the first of its exploded counts (``first``), so one scan and one
+    aggregation serve files, entities and entities per type. Sums of such tables over
+    disjoint parts of the files are the table of all.
     """
-    since = _moment(as_of) - F.make_dt_interval(F.lit(days))
-    by_type = (
-        files.filter((F.col("created_at") >= since) & (F.col("status") == "completed"))
-        .select(
+    return (
+        files.select(
+            "created_at",
             F.to_date("created_at").alias("date"),
             F.posexplode_outer(parsed_counts(files)).alias("pos", "entity_type", "n"),
         )
+        .withColumn("first", F.coalesce(F.col("pos"), F.lit(0)) == 0)
         .groupBy("date", "entity_type")
         .agg(
-            F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("files"),
+            F.count_if(F.col("first")).alias("files"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+            *[column.alias(name) for name, column in more.items()],
         )
     )
+
+
+def trend_of(by_type: DataFrame) -> DataFrame:
+    """Counts per day and type as a row a day: at most days times types rows are grouped."""
     entry = F.when(F.col("entity_type").isNotNull(), F.struct("entity_type", "n"))
     return (
         by_type.groupBy("date")
@@ -130,6 +133,15 @@ def daily_trend(
     )
 
 
+def daily_trend(
+    files: DataFrame, as_of: str | datetime | Column | None = None, days: int = 30
+) -> DataFrame:
+    """Completed files per day: files, entities, entities per type."""
+    since = _moment(as_of) - F.make_dt_interval(F.lit(days))
+    recent = files.filter((F.col("created_at") >= since) & (F.col("status") == "completed"))
+    return trend_of(day_type_counts(recent))
+
+
 def user_activity(audit: DataFrame, limit: int = 20) -> DataFrame:
     """The latest events in short."""
     return (

@@ -91,6 +91,15 @@ FROM conversations"""
 LONG_SEGMENTS = f"""SELECT conv_id % 3 AS conv_id, conv_id * 1000 + turn AS turn, text
 FROM ({SEGMENTS})"""
 
+# Nested rows, for Spark only; the JSON text of some has no end.
+JSON_TEXT = f"""'{{"mail":"' || {EMAIL} || '","n":' || {K} || CASE WHEN {K} % 5 = 0 THEN '' ELSE '}}' END"""
+PAYLOAD = "mail string, n bigint"
+PROFILES = f"""SELECT {K}, named_struct('mail', {EMAIL}, 'name', c_name, 'nation', c_nationkey) AS contact,
+  array(named_struct('kind', 'phone', 'value', {PHONE}),
+    named_struct('kind', 'note', 'value', CASE WHEN {K} % 3 = 0 THEN {ADDRESS} END)) AS entries,
+  map('ip', {IP}) AS labels, {JSON_TEXT} AS payload
+FROM customer"""
+
 USERS = """SELECT c_custkey AS id, c_name AS username,
   CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'standard' END AS role,
   CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 END AS is_active

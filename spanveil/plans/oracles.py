@@ -314,6 +314,19 @@ def detection() -> dict[str, str]:
             structured,
             "SELECT source, entity AS entity_type, count(*) AS n FROM det JOIN src USING (key) GROUP BY ALL",
         ),
+        "uncovered_parts": _with(
+            det,
+            """SELECT run.key, min(p)::INTEGER AS "start", max(q)::INTEGER AS "end",
+  substr(any_value(src.text), min(p) + 1, max(q) - min(p)) AS "text" FROM (
+  SELECT key, p, q, sum(begins) OVER (PARTITION BY key ORDER BY p) AS part FROM (
+    SELECT key, p, q, CASE WHEN lag(q) OVER (PARTITION BY key ORDER BY p) = p THEN 0 ELSE 1 END AS begins FROM (
+      SELECT key, p, lead(p) OVER w AS q, sum(in_raw) OVER w AS open_raw, sum(in_det) OVER w AS open_det FROM (
+        SELECT key, p, sum(r) AS in_raw, sum(d) AS in_det FROM (
+          SELECT key, s AS p, 1 AS r, 0 AS d FROM raw UNION ALL SELECT key, e, -1, 0 FROM raw
+          UNION ALL SELECT key, s, 0, 1 FROM det UNION ALL SELECT key, e, 0, -1 FROM det) GROUP BY key, p)
+      WINDOW w AS (PARTITION BY key ORDER BY p))
+    WHERE open_raw > 0 AND open_det = 0)) run JOIN src ON run.key = src.key GROUP BY run.key, part""",
+        ),
         "entity_counts": _with(
             det,
             f"""SELECT src.key, '{{' || coalesce(c.counts, '') || '}}' AS entity_counts, coalesce(c.total, 0) AS total_entities
@@ -566,6 +579,11 @@ pairs AS (SELECT file_id, created_at, status, entity_type, (entity_counts ->> en
   'Report_' || a.file_id AS filename, a.success, a.ip_address, a.timestamp FROM actions a LEFT JOIN users u ON a.user_id = u.id)"""
     stamp = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS at"
     recent = f"created_at >= TIMESTAMP '{C.AS_OF_FILES}' - INTERVAL {{}} DAY"
+    trend = f"""WITH {files}, {entries}
+SELECT strftime(f.created_at, '%Y-%m-%d') AS date, count(DISTINCT f.file_id) AS files_processed,
+  coalesce(sum(n), 0)::BIGINT AS entities_detected, coalesce(sum(n) FILTER (entity_type = 'EMAIL'), 0)::BIGINT AS emails
+FROM files f LEFT JOIN pairs p ON f.file_id = p.file_id
+WHERE f.status = 'completed' AND f.{recent.format(30)} GROUP BY 1"""
     return {
         "catalog": _with(
             detection_parts("SELECT 'doc-' || doc_id AS key, doc_id, text FROM documents")
@@ -580,6 +598,7 @@ pairs AS (SELECT file_id, created_at, status, entity_type, (entity_counts ->> en
         "list_files": f"""WITH {files} SELECT file_id, filename, file_type, status, anonymization_mode, uploaded_by,
   strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created, coalesce((entity_counts ->> 'EMAIL')::BIGINT, 0) AS emails FROM files""",
         "search_files": f"WITH {files} SELECT file_id, filename FROM files WHERE contains(lower(filename), '12.v2')",
+        "search_files_by_index": f"WITH {files} SELECT file_id, filename FROM files WHERE contains(lower(filename), '12.v2')",
         "user_stats": f"""WITH {users} SELECT count(*) AS total, count(*) FILTER (role = 'admin') AS admins,
   count(*) FILTER (role = 'standard') AS standard, count(*) FILTER (is_active = 1) AS active,
   count(*) FILTER (is_active = 0) AS inactive FROM users""",
@@ -608,11 +627,8 @@ SELECT file_type, CASE WHEN reason IS NOT NULL OR no_text THEN 'failed' ELSE 'co
   CASE WHEN reason IS NOT NULL THEN reason WHEN no_text THEN 'no text could be read' END AS error_message,
   count(*) AS files, sum(CASE WHEN reason IS NOT NULL OR no_text THEN 0 ELSE 1 END)::BIGINT AS entities
 FROM judged GROUP BY ALL""",
-        "daily_trend": f"""WITH {files}, {entries}
-SELECT strftime(f.created_at, '%Y-%m-%d') AS date, count(DISTINCT f.file_id) AS files_processed,
-  coalesce(sum(n), 0)::BIGINT AS entities_detected, coalesce(sum(n) FILTER (entity_type = 'EMAIL'), 0)::BIGINT AS emails
-FROM files f LEFT JOIN pairs p ON f.file_id = p.file_id
-WHERE f.status = 'completed' AND f.{recent.format(30)} GROUP BY 1""",
+        "daily_trend": trend,
+        "daily_trend_followed": trend,
         "user_activity": f"""WITH {log} SELECT {stamp}, username, event_type, filename, success, ip_address FROM log
 ORDER BY timestamp DESC, id DESC LIMIT 20""",
         "audit_query": f"""WITH {log} SELECT id, {stamp}, username, event_type FROM log WHERE event_type = 'USER_LOGIN'
@@ -678,6 +694,8 @@ FROM actions a LEFT JOIN users u ON a.user_id = u.id""",
             det, f"SELECT {columns} FROM log WHERE event_type = 'SANITIZATION_COMPLETED'"
         ),
         "log_lifecycle": _with(det, f"SELECT {columns} FROM log"),
+        "detected_values_in_log": f"""WITH {users}, {actions} SELECT a.id, 'filename' AS "column", 'PERSON_NAME' AS entity_type,
+  13 AS "start", 13 + length(u.username) AS "end" FROM actions a JOIN users u ON a.user_id = u.id WHERE a.id % 3 = 0""",
         "no_values_in_log": _with(det, "SELECT count(*) AS leaks FROM log WHERE false"),
         "client_ip": f"""WITH {actions} SELECT id, CASE id % 3 WHEN 0 THEN '10.0.0.' || (user_id % 250)
   WHEN 1 THEN '172.16.0.' || (user_id % 250) ELSE ip_address END AS client FROM actions""",
@@ -704,6 +722,25 @@ def tables() -> dict[str, str]:
   UNION ALL SELECT c_custkey, 'contact', {C.EMAIL} || ' ' || ({C.PHONE}) FROM customer
   UNION ALL SELECT c_custkey, 'note', CASE WHEN c_custkey % 3 = 0 THEN ({C.ADDRESS}) END FROM customer) WHERE text IS NOT NULL"""
     one = f"SELECT c_custkey AS key, {C.EMAIL} || ' ' || ({C.PHONE}) AS text FROM customer"
+    values = [
+        ("mail", "contact.mail", C.EMAIL),
+        ("name", "contact.name", "c_name"),
+        ("kind", "entries[].kind", "'phone'"),
+        ("second_kind", "entries[].kind", "'note'"),
+        ("first_value", "entries[].value", C.PHONE),
+        ("second_value", "entries[].value", f"CASE WHEN {C.K} % 3 = 0 THEN {C.ADDRESS} END"),
+        ("ip", "labels{}", C.IP),
+        ("payload.mail", "payload.mail", f"CASE WHEN {C.K} % 5 <> 0 THEN {C.EMAIL} END"),
+        ("payload", "payload", f"CASE WHEN {C.K} % 5 = 0 THEN {C.JSON_TEXT} END"),
+    ]
+    union = " UNION ALL ".join(
+        f"SELECT c_custkey, '{slot}' AS slot, '{path}' AS col, {value} AS text FROM customer"
+        for slot, path, value in values
+    )
+    profile_cells = f"SELECT c_custkey || '|' || slot AS key, * FROM ({union}) WHERE text IS NOT NULL"
+    nested = "SELECT key, text FROM cells"
+    shown = ("mail", "name", "first_value", "second_value", "ip")
+    slots = ", ".join(f"max(out) FILTER (slot = '{slot}') AS {slot}" for slot in shown)
     docs = "SELECT 'doc-' || doc_id AS key, doc_id, text FROM documents"
     redacted = _with(
         detection_parts(docs) + "," + rebuilt_parts("'[REDACTED_' || entity || ']'"),
@@ -716,6 +753,20 @@ def tables() -> dict[str, str]:
   count(*) AS hits, round(count(DISTINCT det.key) / any_value(rows_scanned), 6) AS hit_rate
 FROM det JOIN src ON det.key = src.key JOIN (SELECT col, count(*) AS rows_scanned FROM src GROUP BY col) t USING (col) GROUP BY ALL""",
         ),
+        "scan_nested": _with(
+            detection_parts(nested),
+            """SELECT col AS "column", entity AS entity_type, any_value(rows_scanned) AS rows_scanned, count(DISTINCT det.key) AS rows_with_hits,
+  count(*) AS hits, round(count(DISTINCT det.key) / any_value(rows_scanned), 6) AS hit_rate
+FROM det JOIN (SELECT key, col FROM cells) c USING (key) JOIN (SELECT col, count(*) AS rows_scanned FROM cells GROUP BY col) t USING (col)
+GROUP BY ALL""",
+        ).replace("WITH ", f"WITH cells AS ({profile_cells}), ", 1),
+        "sanitize_nested": _with(
+            detection_parts(nested) + "," + rebuilt_parts(mask_sql("v")),
+            f"""SELECT c_custkey, {slots},
+  CASE WHEN c_custkey % 5 = 0 THEN max(out) FILTER (slot = 'payload')
+    ELSE '{{"mail":"' || max(out) FILTER (slot = 'payload.mail') || '","n":' || c_custkey || '}}' END AS payload
+FROM cells JOIN rebuilt USING (key) GROUP BY c_custkey""",
+        ).replace("WITH ", f"WITH cells AS ({profile_cells}), ", 1),
         "sanitize_columns": _with(
             detection_parts(one) + "," + rebuilt_parts(mask_sql("v")),
             "SELECT key AS c_custkey, out AS contact FROM rebuilt",

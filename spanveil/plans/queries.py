@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,16 @@ from spanveil.functions import fixed_values as V
 from spanveil.functions import texts as T
 from spanveil.functions.masks import mask, redact, tokenize
 from spanveil.functions.rules import ADDRESS_RANK, BASIC_RULES, STRUCTURED_RULES, Pattern, Rule
-from spanveil.operators import access, analyze, audit, catalog, columns, entities, segments, stats
+from spanveil.operators import access, analyze, audit, catalog, columns, entities, nested, search, segments, stats
 from spanveil.operators import detect as D
 from spanveil.operators import sanitize as S
 from spanveil.plans import corpora as C
 from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
 from spanveil.sources.readers import read_table, with_text
-from spanveil.sources.storage import shared_folder
+from spanveil.sources.storage import settle, shared_folder
 from spanveil.streaming.incremental import run_incremental, write_batch
+from spanveil.streaming.trends import start_trend, trend_so_far
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -487,8 +489,12 @@ def file_stats(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def daily_trend(spark: SparkSession, directory: str) -> DataFrame:
+    return _shown_trend(stats.daily_trend(_files(spark, directory), C.AS_OF_FILES))
+
+
+def _shown_trend(trend: DataFrame) -> DataFrame:
     emails = F.try_element_at("entity_breakdown", F.lit("EMAIL"))
-    return stats.daily_trend(_files(spark, directory), C.AS_OF_FILES).select(
+    return trend.select(
         F.col("date").cast("string").alias("date"),
         "files_processed",
         "entities_detected",
@@ -661,6 +667,68 @@ def sanitize_columns(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _profiles(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers as nested rows; some have JSON text that is cut off."""
+    return C.run(spark, directory, C.PROFILES, "customer")
+
+
+def scan_nested(spark: SparkSession, directory: str) -> DataFrame:
+    found = nested.scan_nested(_profiles(spark, directory), json={"payload": C.PAYLOAD})
+    return found.withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+def sanitize_nested(spark: SparkSession, directory: str) -> DataFrame:
+    done = nested.sanitize_nested(_profiles(spark, directory), json={"payload": C.PAYLOAD})
+    return done.select(
+        "c_custkey",
+        F.col("contact.mail").alias("mail"),
+        F.col("contact.name").alias("name"),
+        F.get("entries", 0)["value"].alias("first_value"),
+        F.get("entries", 1)["value"].alias("second_value"),
+        F.element_at("labels", "ip").alias("ip"),
+        "payload",
+    )
+
+
+def uncovered_parts(spark: SparkSession, directory: str) -> DataFrame:
+    found = D.find_uncovered(C.corpus(spark, directory))
+    return found.select("key", F.inline("uncovered")).select("key", "start", "end", "text")
+
+
+def search_files_by_index(spark: SparkSession, directory: str) -> DataFrame:
+    files = _files(spark, directory)
+    index = settle(search.name_index(files), "name-index")
+    return search.search_by_index(index, files, "12.V2").select("file_id", "filename")
+
+
+def detected_values_in_log(spark: SparkSession, directory: str) -> DataFrame:
+    """Names of users, which no pattern finds, in file names of the log."""
+    log = _log(spark, directory)
+    named = F.concat(F.lit("Statement of "), F.col("username"), F.lit(".txt"))
+    told = log.withColumn("filename", F.when(F.col("id") % 3 == 0, named).otherwise(F.col("filename")))
+    values = _users(spark, directory).select(
+        F.lit("PERSON_NAME").alias("entity_type"), F.col("username").alias("text")
+    )
+    return audit.find_value_leaks(told, values)
+
+
+def daily_trend_followed(spark: SparkSession, directory: str) -> DataFrame:
+    """The trend of a stream of files, to its present end."""
+    schema = read_table(spark, directory, "orders").schema
+    orders = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", 8)
+        .parquet(f"{directory.rstrip('/')}/orders.parque[t]")
+    )
+    view = f"orders_{uuid.uuid4().hex}"
+    orders.createOrReplaceTempView(view)
+    files = spark.sql(C.FILES.replace("FROM orders", f"FROM {view}"))
+    spark.catalog.dropTempView(view)
+    folder = _new_folder(spark, "trend")
+    start_trend(files, folder, once=True).awaitTermination()
+    return _shown_trend(trend_so_far(spark, folder, C.AS_OF_FILES))
+
+
 def incremental(spark: SparkSession, directory: str) -> DataFrame:
     """Follow the documents table as a stream, to its present end."""
     schema = read_table(spark, directory, "documents").schema
@@ -732,6 +800,7 @@ def all_queries() -> dict[str, Query]:
         "detect_raw": detect_raw,
         "detect_all": detect_all,
         "resolve_overlaps": resolve_overlaps,
+        "uncovered_parts": uncovered_parts,
         "entity_counts": entity_counts,
         "counts_by_entity_type": counts_by_entity_type,
         "detections_json": detections_json,
@@ -769,6 +838,7 @@ def all_queries() -> dict[str, Query]:
         "catalog": catalog_rows,
         "list_files": list_files,
         "search_files": search_files,
+        "search_files_by_index": search_files_by_index,
         "user_stats": lambda s, d: stats.user_stats(_users(s, d)),
         "file_stats": file_stats,
         "pii_total": lambda s, d: stats.pii_total(_files(s, d)),
@@ -781,6 +851,7 @@ def all_queries() -> dict[str, Query]:
             _files(s, d), _actions(s, d), C.AS_OF_FILES
         ),
         "daily_trend": daily_trend,
+        "daily_trend_followed": daily_trend_followed,
         "user_activity": user_activity,
         "audit_query": _audit_query(event_type="USER_LOGIN"),
         "audit_query_by_user": _audit_query(username="Customer#000000007"),
@@ -795,6 +866,7 @@ def all_queries() -> dict[str, Query]:
         "log_sanitizations": log_sanitizations,
         "log_lifecycle": log_lifecycle,
         "no_values_in_log": no_values_in_log,
+        "detected_values_in_log": detected_values_in_log,
         "client_ip": client_ip,
         "files_for_standard": _files_for("standard"),
         "files_for_admin": _files_for("admin"),
@@ -803,5 +875,7 @@ def all_queries() -> dict[str, Query]:
         "role_violations": role_violations,
         "scan_columns": scan_columns,
         "sanitize_columns": sanitize_columns,
+        "scan_nested": scan_nested,
+        "sanitize_nested": sanitize_nested,
         "incremental": incremental,
     }
