@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm import oracles
 from spanveil.llm.classes import connected_classes
+from spanveil.llm import fair_mix
 from spanveil.llm.fair_mix import mix, mixed_documents
 from spanveil.llm.ngram_join import first_of_each_class, ngram_classes, signature, stacked, overlap_bound, tile_keys
 from spanveil.llm.one_bit_search import nearest
@@ -119,6 +120,33 @@ def test_mix_against_one_queue(spark, percent):
     assert sum(g[4] for g in got) == sum(g[2] for g in got) * percent // 100
 
 
+def _as_rows(df, **options):
+    return sorted((r.doc_id is None, r.doc_id or 0, r["size"], round(r.target, 6), r.taken) for r in mix(df, **options).collect())
+
+
+@pytest.mark.parametrize(("percent", "most"), [(150, 2), (300, 2), (0, 2), (90, 1), (100, 1), (10, 3)])
+def test_mix_of_many_sources_and_rows_without_id(spark, percent, most):
+    """A source for each of many rows, and one source whose rows mostly lack an id."""
+    rnd = random.Random(percent)
+    rows = [(k, "w " * rnd.choice((0, 1, 2, 7, 30)), f"s{k}") for k in range(400)]
+    rows += [(None if k % 4 else 1000 + k, "w " * rnd.choice((1, 2, 2, 9)), "hot") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    # No more is there than all documents as often as they may be taken.
+    want = sorted((i is None, i or 0, n, round(g, 6), t) for i, n, g, t in brute.fair_mix(rows, percent=percent, most=most))
+    got = _as_rows(df, percent=percent, most=most)
+    # Rows that don't differ, in id and size, may change places.
+    assert got == want
+
+
+def test_mix_sums_no_source_or_table_in_one_task(spark):
+    rows = [(k, "a b", f"s{k % 50}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = df.groupBy(F.concat(F.lit("0"), "source").alias("key")).agg(F.sum(F.lit(2)).alias("source_size"))
+    ranged = fair_mix._in_order(sizes.repartition(4), ["key"], "test-ranges").collect()
+    order = [r["key"] for r in sorted(ranged, key=lambda r: (r.part, r["key"]))]
+    assert order == sorted(order)
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(df).count() == 0 and mixed_documents(df).count() == 0
