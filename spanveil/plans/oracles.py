@@ -773,6 +773,9 @@ FROM cells JOIN rebuilt USING (key) GROUP BY c_custkey""",
         ),
         "incremental": redacted,
         "repeated_uploads": redacted,
+        "committed_outputs": redacted.replace(
+            "SELECT doc_id AS file_id,", "SELECT doc_id AS file_id, 'completed' AS status, 3 AS events,"
+        ),
         "stored_outputs": """SELECT doc_id AS file_id, sha256(text) AS restored_hash, sha256(text) AS original_hash,
   'FILE_UPLOAD,PII_DETECTED,SANITIZATION_COMPLETED' AS events, 'completed' AS status FROM documents""",
     }

@@ -20,7 +20,7 @@ from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
 from spanveil.sources.readers import read_table, with_text
 from spanveil.sources.storage import settle, shared_folder
-from spanveil.streaming.incremental import run_incremental, write_batch
+from spanveil.streaming.incremental import committed, run_incremental, write_batch
 from spanveil.streaming.trends import start_trend, trend_so_far
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -783,6 +783,19 @@ def stored_outputs(spark: SparkSession, directory: str) -> DataFrame:
     return vault.join(events, "file_id").join(kept, "file_id")
 
 
+def committed_outputs(spark: SparkSession, directory: str) -> DataFrame:
+    """Two batches, the second run again as after a failure: what readers of whole batches see."""
+    files, folder = _files_with_text(spark, directory), _new_folder(spark, "committed")
+    users = _users(spark, directory)
+    first = F.pmod(F.xxhash64("file_id"), F.lit(2)) == 0
+    for name, part in (("0", files.filter(first)), ("1", files.filter(~first)), ("1", files.filter(~first))):
+        write_batch(part, users, folder, name, mode="redact")
+    events = committed(spark, folder, "audit").groupBy("file_id").agg(F.count(F.lit(1)).alias("events"))
+    copies = committed(spark, folder, "sanitized").select("file_id", "sanitized_hash")
+    listed = committed(spark, folder, "catalog").select("file_id", "status")
+    return listed.join(copies, "file_id").join(events, "file_id")
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "text_extraction": text_extraction,
@@ -794,6 +807,7 @@ def all_queries() -> dict[str, Query]:
         "key_ids": key_ids,
         "key_rotation": key_rotation,
         "stored_outputs": stored_outputs,
+        "committed_outputs": committed_outputs,
         "repeated_uploads": repeated_uploads,
         "preview": preview,
         **_detectors(),

@@ -34,9 +34,11 @@ def write_batch(
     so the texts are looked at once.  They hold detected values, so their
     folder is to be kept from readers of sanitized copies.  Every output of a
     batch has a folder of its own that is overwritten: a batch that runs again
-    after a failure replaces what it left behind.
+    after a failure replaces what it left behind.  A mark of the batch is taken away first and
+    written last; ``committed`` reads what has one.
     """
     spark = files.sparkSession
+    _withdraw(spark, _mark(folder, name))
 
     def target(output: str) -> str:
         return f"{folder}/{output}/batch={name}"
@@ -63,6 +65,34 @@ def write_batch(
     write_sanitized(done, target("sanitized"), mode="overwrite")
     catalog_rows(done.withColumns(stored)).write.mode("overwrite").parquet(target("catalog"))
     write_audit(log_lifecycle(done, users), f"{folder}/audit", name)
+    spark.range(1).select(F.current_timestamp().alias("committed_at")).write.mode("overwrite").parquet(
+        _mark(folder, name)
+    )
+
+
+def _mark(folder: str, name: str) -> str:
+    return f"{folder}/commits/batch={name}"
+
+
+def _withdraw(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def committed(spark: SparkSession, folder: str, output: str) -> DataFrame:
+    """An output (processed, vault, sanitized, catalog, audit) of the batches that are whole.
+
+    Outputs of a batch come into sight together: no catalog row is seen without its copy, its
+    vault entry and its log.  A batch that runs again is out of sight until it is done.
+    Without any batch that is whole there is no row.
+    """
+    rows = spark.read.parquet(f"{folder}/{output}")
+    if not _exists(spark, f"{folder}/commits"):
+        return rows.limit(0)
+    # A row for each batch.
+    whole = spark.read.schema("committed_at timestamp, batch string").parquet(f"{folder}/commits")
+    named = F.col("batch").cast("string")
+    return rows.withColumn("batch", named).join(whole.select("batch").distinct(), "batch", "left_semi")
 
 
 def run_incremental(
@@ -75,14 +105,14 @@ def run_incremental(
     spark = files.sparkSession
     query = start_incremental(files, users, folder, once=True, repeats_within=repeats_within, **options)
     query.awaitTermination()
-    if not any(p["numInputRows"] for p in query.recentProgress) and not _has_outputs(spark, folder):
+    if not any(p["numInputRows"] for p in query.recentProgress) and not _exists(spark, f"{folder}/catalog"):
         empty = spark.createDataFrame([], files.schema)
         write_batch(empty, users, folder, "none", **options)
 
 
-def _has_outputs(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/catalog")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def distinct_uploads(files: DataFrame, within: str) -> DataFrame:

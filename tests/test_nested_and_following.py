@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.functions.spans import empty_of
 from spanveil.operators import audit, catalog, nested, search, stats
 from spanveil.operators.detect import find_uncovered
+from spanveil.streaming import incremental
 from spanveil.streaming.trends import late_files, start_trend, trend_so_far
 from tests import model
 from tests.texts import random_texts
@@ -255,3 +256,35 @@ def test_listed_values_in_the_log(spark):
         (2, "error_message", "EMAIL", 15, 22),
     ]
     assert audit.find_value_leaks(log, values.limit(0)).count() == 0
+
+
+def test_outputs_of_a_batch_come_into_sight_together(spark, tmp_path, monkeypatch):
+    users = spark.createDataFrame([(1, "ann", "admin")], "id long, username string, role string")
+    files = spark.createDataFrame([(k, f"f{k}.txt", f"mail a{k}@b.com", 1) for k in range(6)], "file_id long, filename string, text string, uploaded_by long")
+    files = files.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    folder = str(tmp_path)
+
+    def seen(output):
+        return sorted(r.file_id for r in incremental.committed(spark, folder, output).select("file_id").distinct().collect())
+
+    def fail(*_):
+        raise OSError("lost")
+
+    def broken(part, name):
+        with monkeypatch.context() as patch:
+            patch.setattr(incremental, "write_audit", fail)
+            with pytest.raises(OSError, match="lost"):
+                incremental.write_batch(part, users, folder, name, mode="redact")
+
+    one, two = files.filter("file_id < 3"), files.filter("file_id >= 3")
+    broken(one, "0")
+    assert spark.read.parquet(f"{folder}/catalog").count() == 3 and seen("catalog") == []
+    incremental.write_batch(one, users, folder, "0", mode="redact")
+    broken(two, "1")
+    for output in ("catalog", "sanitized", "processed", "audit"):
+        assert seen(output) == [0, 1, 2]
+    incremental.write_batch(two, users, folder, "1", mode="redact")
+    assert seen("catalog") == seen("sanitized") == seen("audit") == [0, 1, 2, 3, 4, 5]
+    # Out of sight while it runs again.
+    broken(one, "0")
+    assert seen("catalog") == seen("audit") == [3, 4, 5]
