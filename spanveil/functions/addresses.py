@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanveil.functions import fixed_values as V
 from spanveil.functions.arrays import cut, indexes, let, pages_of, running_max
 from spanveil.functions.regex import alternation, jvm_regex, strip
-from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, hit, order_number
+from spanveil.functions.rules import ADDRESS_CONFIDENCE, ADDRESS_RANK, Pattern, gate, order_number
 from spanveil.functions.spans import MATCH, RANKED, empty_of, find_ranked, islands, match, ranked
 
 _PREFIX_HEAD = alternation(V.ADDRESS_PREFIX_WORDS)
@@ -78,7 +78,7 @@ def _stripped(found: Column) -> Column:
 def address_parts(text: Column, gates: Mapping[str, Column] | None = None) -> Column:
     """``array<RANKED>`` of the four patterns, numbered by rank from 1."""
     searches = [
-        (hit(text, part, gates), part.regex, number, "ADDRESS", ADDRESS_CONFIDENCE)
+        (gate(text, part.needs, gates), part.regex, number, "ADDRESS", ADDRESS_CONFIDENCE)
         for number, part in enumerate(PARTS, 1)
     ]
     return find_ranked(text, searches)

@@ -66,8 +66,15 @@ def running(values: Column, combine: Callable[[Column, Column], Column], zero: i
             ),
         )
 
-    none = F.array().cast("array<int>")
-    return let(values, lambda array: F.when(F.size(array) > 0, in_blocks(array)).otherwise(none))
+    def any_size(array: Column) -> Column:
+        n = F.size(array)
+        return (
+            F.when(n == 0, F.array().cast("array<int>"))
+            .when(n <= BLOCK, before_each(array, start))
+            .otherwise(in_blocks(array))
+        )
+
+    return let(values, any_size)
 
 
 def running_sum(values: Column) -> Column:

@@ -66,13 +66,6 @@ def gate(
     return gates[needs] if gates and needs in gates else GATES[needs](text)
 
 
-def hit(text: Column, pattern: Pattern, gates: Mapping[str, Column] | None = None) -> Column:
-    """Whether a text holds a match, the cheap condition first."""
-    found = text.rlike(pattern.regex)
-    cheap = gate(text, pattern.needs, gates)
-    return F.coalesce(found if cheap is None else cheap & found, F.lit(False))
-
-
 # Rules of one rank that a list may hold.
 _PER_RANK = 1000
 
@@ -114,7 +107,7 @@ def rule_spans(
     numbered = [(order_number(r.rank, i), r) for i, r in enumerate(rules, 1)]
     numbered.sort(key=lambda pair: pair[0])
     searches = [
-        (hit(text, pattern, gates), pattern.regex, number, r.entity_type, r.confidence)
+        (gate(text, pattern.needs, gates), pattern.regex, number, r.entity_type, r.confidence)
         for number, r in numbered
         for pattern in r.patterns
     ]

@@ -29,17 +29,14 @@ def empty_of(element_type: str) -> Column:
 
 
 def _with_offsets(
-    text: Column, regex: Column, dress: Callable[[Column, Column, Column], Column]
+    text: Column, regex: Column, hits: Column, dress: Callable[[Column, Column, Column], Column]
 ) -> Column:
     """All leftmost, non-overlapping matches; ``dress(start, end, value)`` makes an element.
 
-    The text between matches and the matches themselves come from one pass
-    each; running lengths give the offsets.
+    ``hits`` are the matches. A single one whose string the text holds once stands there.
+    Else the text between the matches comes from another pass, and running lengths
+    give the offsets.
     """
-    found = F.struct(
-        F.transform(F.split(text, regex, -1), F.length).alias("gaps"),
-        F.regexp_extract_all(text, regex, F.lit(0)).alias("hits"),
-    )
 
     def placed(gaps: Column, hits: Column) -> Column:
         lengths = F.transform(hits, lambda hit, i: F.get(gaps, i) + F.length(hit))
@@ -53,7 +50,28 @@ def _with_offsets(
 
         return let(running_sum(lengths), at)
 
-    return let(found, lambda pair: placed(pair["gaps"], pair["hits"]))
+    def alone(found: Column) -> Column:
+        """Where a single match begins, if its string is in the text once; else null."""
+        hit = F.get(found, F.lit(0))
+
+        def locate(after: Column) -> Column:
+            return F.call_function("locate", hit, text, after + 1)
+
+        # In bytes that aren't UTF-8, places are not those in the text that a regex sees.
+        begin = let(
+            locate(F.lit(0)),
+            lambda at: F.when((at > 0) & (locate(at) == 0) & F.is_valid_utf8(text), at - 1),
+        )
+        return F.when(F.size(found) == 1, begin)
+
+    def all_of(found: Column, begin: Column) -> Column:
+        gaps = F.transform(F.split(text, regex, -1), F.length)
+        hit = F.get(found, F.lit(0))
+        return F.when(
+            begin.isNotNull(), F.array(dress(begin, begin + F.length(hit), hit))
+        ).otherwise(let(gaps, lambda g: placed(g, found)))
+
+    return let(hits, lambda found: let(alone(found), lambda begin: all_of(found, begin)))
 
 
 def match(start: Column, end: Column, text: Column) -> Column:
@@ -62,7 +80,8 @@ def match(start: Column, end: Column, text: Column) -> Column:
 
 def find_matches(text: Column, regex: str) -> Column:
     """``array<MATCH>`` of one regex."""
-    return _with_offsets(text, F.lit(regex), match)
+    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    return _with_offsets(text, F.lit(regex), hits, match)
 
 
 def ranked(
@@ -88,23 +107,31 @@ def ranked(
     )
 
 
-def find_ranked(text: Column, searches: Sequence[tuple[Column, str, int, str, float]]) -> Column:
+def find_ranked(
+    text: Column, searches: Sequence[tuple[Column | None, str, int, str, float]]
+) -> Column:
     """``array<RANKED>`` of many regexes, in their order.
 
-    Each search is (hit, regex, rank, entity type, confidence), where ``hit``
-    tells whether there is anything to find.  The regexes are rows of a small
-    array, so the plan holds the search once, however many there are.
+    Each search is (gate, regex, rank, entity type, confidence), where ``gate``, if there is one,
+    tells whether there may be anything to find.  Each regex has a search of its own, as one that
+    changes from call to call is compiled anew each time.  What places the matches is
+    in the plan once: the regexes with matches are rows of a small array.
     """
+
+    def hits(gate: Column | None, regex: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        return found if gate is None else F.when(gate, found)
+
     rows = F.array(
         *[
             F.struct(
-                hit.alias("hit"),
+                hits(gate, regex).alias("hits"),
                 F.lit(regex).alias("regex"),
                 F.lit(rank).alias("rank"),
                 F.lit(entity_type).alias("entity_type"),
                 F.lit(confidence).alias("confidence"),
             )
-            for hit, regex, rank, entity_type, confidence in searches
+            for gate, regex, rank, entity_type, confidence in searches
         ]
     )
 
@@ -120,9 +147,9 @@ def find_ranked(text: Column, searches: Sequence[tuple[Column, str, int, str, fl
                 method=F.lit("regex"),
             )
 
-        return _with_offsets(text, row["regex"], dress)
+        return _with_offsets(text, row["regex"], row["hits"], dress)
 
-    return F.flatten(F.transform(F.filter(rows, lambda row: row["hit"]), search))
+    return F.flatten(F.transform(F.filter(rows, lambda row: F.size(row["hits"]) > 0), search))
 
 
 def drop_repeats(spans: Column) -> Column:

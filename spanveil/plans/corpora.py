@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.sources.readers import read_table
+from spanveil.sources.readers import read_spread, read_table
 
 
 def _digits(value: str, width: int, fill: str = "0") -> str:
@@ -134,15 +135,17 @@ AS_OF_FILES = "2001-08-01 00:00:00"
 AS_OF_EVENTS = "2024-01-30 00:00:00"
 
 
-def run(spark: SparkSession, directory: str, sql: str, *tables: str) -> DataFrame:
-    """Run one of the statements above on the tables it names.
+def run(
+    spark: SparkSession, directory: str, sql: str, *tables: str, read: Callable[..., DataFrame] = read_table
+) -> DataFrame:
+    """Run one of the statements above on the tables it names, read by ``read``.
 
     The tables are views of a name of their own for as long as the statement is
     analyzed, so no view of the session is touched.
     """
     suffix = uuid.uuid4().hex
     for table in tables:
-        read_table(spark, directory, table).createOrReplaceTempView(f"{table}_{suffix}")
+        read(spark, directory, table).createOrReplaceTempView(f"{table}_{suffix}")
         sql = re.sub(rf"\bFROM {table}\b", f"FROM {table}_{suffix}", sql)
     found = spark.sql(sql)
     for table in tables:
@@ -150,14 +153,19 @@ def run(spark: SparkSession, directory: str, sql: str, *tables: str) -> DataFram
     return found
 
 
+def records(spark: SparkSession, directory: str) -> DataFrame:
+    """Records of the customers: (key, text)."""
+    return read_spread(spark, directory, "customer").selectExpr(
+        f"'rec-' || {K} AS key", f"{RECORD} AS text"
+    )
+
+
 def corpus(spark: SparkSession, directory: str) -> DataFrame:
     """Documents and records: (key, text)."""
     parts = [
         read_table(spark, directory, "documents").select("doc_id", "text").selectExpr(
             "'doc-' || doc_id AS key", "text"
         ),
-        read_table(spark, directory, "customer").selectExpr(
-            f"'rec-' || {K} AS key", f"{RECORD} AS text"
-        ),
+        records(spark, directory),
     ]
     return parts[0].unionByName(parts[1])

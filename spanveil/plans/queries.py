@@ -18,7 +18,7 @@ from spanveil.operators import sanitize as S
 from spanveil.plans import corpora as C
 from spanveil.plans.oracles import TOKEN_KEY
 from spanveil.sources import crypto
-from spanveil.sources.readers import read_table, with_text
+from spanveil.sources.readers import read_spread, read_table, with_text
 from spanveil.sources.storage import settle, shared_folder
 from spanveil.streaming.incremental import committed, run_incremental, write_batch
 from spanveil.streaming.trends import start_trend, trend_so_far
@@ -52,9 +52,7 @@ def _processed(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, directory: str) -> DataFrame:
-    return read_table(spark, directory, "customer").selectExpr(
-        f"'rec-' || {C.K} AS key", f"{C.RECORD} AS text"
-    )
+    return C.records(spark, directory)
 
 
 def _users(spark: SparkSession, directory: str) -> DataFrame:
@@ -367,7 +365,7 @@ def compare_modes(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _dumps(spark: SparkSession, directory: str) -> DataFrame:
-    return C.run(spark, directory, C.DUMPS, "customer")
+    return C.run(spark, directory, C.DUMPS, "customer", read=read_spread)
 
 
 def sanitize_sql_dump(spark: SparkSession, directory: str) -> DataFrame:
@@ -647,7 +645,7 @@ def role_violations(spark: SparkSession, directory: str) -> DataFrame:
 
 # --- tables and streams -----------------------------------------------------
 def _contacts(spark: SparkSession, directory: str) -> DataFrame:
-    return read_table(spark, directory, "customer").selectExpr(
+    return read_spread(spark, directory, "customer").selectExpr(
         "c_custkey",
         "c_name",
         f"{C.EMAIL} || ' ' || ({C.PHONE}) AS contact",
@@ -669,7 +667,7 @@ def sanitize_columns(spark: SparkSession, directory: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, directory: str) -> DataFrame:
     """Customers as nested rows; some have JSON text that is cut off."""
-    return C.run(spark, directory, C.PROFILES, "customer")
+    return C.run(spark, directory, C.PROFILES, "customer", read=read_spread)
 
 
 def scan_nested(spark: SparkSession, directory: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,29 @@ TABLES = (
 ).split()
 
 
+#: Rows of a narrow table from which texts are made that a task gets at most, more or less.
+ROWS_PER_TASK = 2500
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def read_spread(
+    spark: SparkSession, directory: str, name: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """A table of short rows that much work is done on, dealt to tasks by its number of rows.
+
+    Splits are by bytes, and a row group is one split: millions of keys may come as a single task.
+    The rows are dealt out one by one, so neither repeated nor null keys matter, and before
+    anything is made from them, so that only what is read moves.
+    """
+    table = read_table(spark, directory, name)
+    # Read from the footers.
+    tasks = math.ceil(table.count() / rows_per_task)
+    return table.repartition(tasks) if tasks > 1 else table
+
+
 def read_files(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
     """Files as rows: filename, file_type, file_size, content."""
     return (
