@@ -19,6 +19,9 @@ fraction of whole numbers so that no rounding decides. The join is exact:
   is not set in the other cannot be shared, so bit counts bound the overlap from
   above. What passes is settled by intersecting the sorted sets.
 
+Links are counted after that: linking sets are of one class, so all pairs of a class are compared
+by their members, in blocks of bounded size, and only sums leave a block.
+
 Equal sets are one row from the start. Every shuffle is by tile, pair or id, with
 partial results per task, and no list of a tile is ever gathered whole.
 """
@@ -43,6 +46,8 @@ from spanveil.llm.shingles import mix, shingle_set
 BITS_PER_MEMBER = 4
 #: Members of a tile that are compared with each other as one block.
 BLOCK = 512
+#: Members of sets, in all, that a block of a class holds when links are counted.
+BLOCK_MEMBERS = 1 << 19
 #: Texts, and pairs of sets, that a Python worker holds at a time.
 TEXTS_PER_BATCH, SETS_PER_BATCH = 2000, 500
 #: Groups that the settled rows of a tile are dealt to.
@@ -154,6 +159,12 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def digest(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    one = int(np.add.reduce(mix(found ^ _GOLDEN), dtype=np.uint64))
+    return one, int(np.bitwise_xor.reduce(mix(found + _GOLDEN), initial=np.uint64(0)))
+
+
 def _describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Per document its set's size, a 128-bit digest of the set, signature and tiles."""
     schema = pa.schema(
@@ -173,8 +184,7 @@ def _describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         seen: set[tuple[int, int, int]] = set()
         for doc_id, text in zip(ids, texts, strict=True):
             found = shingle_set(text.as_py(), width)
-            one = int(np.add.reduce(mix(found ^ _GOLDEN), dtype=np.uint64))
-            two = int(np.bitwise_xor.reduce(mix(found + _GOLDEN), initial=np.uint64(0)))
+            one, two = digest(found)
             # Rows without an id go no further, so they stand for none of their copies.
             known = not doc_id.is_valid or (len(found), one, two) in seen
             if doc_id.is_valid:
@@ -436,8 +446,138 @@ def _blocks(open_members: DataFrame, sizes: DataFrame, num: int, den: int) -> Da
     )
 
 
+def linked_rows(
+    sets: list[np.ndarray], own: np.ndarray, copies: np.ndarray, i: int, j: int, num: int, den: int
+) -> np.ndarray:
+    """For each set of a block pair, the copies of the sets of the other block that link with it."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count > 1
+    # Members of one set only are shared with none.
+    keep = shared[column]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
+    words = np.zeros((len(sets), int(shared.sum()) // 64 + 1), dtype=np.uint64)
+    bit = np.uint64(1) << (column & 63).astype(np.uint64)
+    np.bitwise_or.at(words, (row, column >> 6), bit)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    linked = np.zeros(len(sets), dtype=np.int64)
+    theirs = words[right]
+    for x in left:
+        both = np.bitwise_count(words[x] & theirs).sum(axis=1, dtype=np.int64)
+        links = (both * (den + num) >= num * (sizes[x] + sizes[right])) & (right != x)
+        linked[x] += copies[right[links]].sum()
+        if i != j:
+            linked[right[links]] += copies[x]
+    return linked
+
+
+def _link_counts(
+    classes: DataFrame, equal: DataFrame, docs: DataFrame, width: int, num: int, den: int
+) -> DataFrame:
+    """(n, d1, d2, linked): how many documents of other sets each set links with.
+
+    All pairs of a class are compared; a large class is cut into blocks, and a set travels
+    once for each block of its class.
+    """
+    placed = equal.select("set_id", "n", "d1", "d2", "copies").join(
+        classes.select(F.col("id").alias("set_id"), "class_id"), "set_id"
+    )
+    # At least BLOCK sets or BLOCK_MEMBERS members each, so they are few.
+    large = (
+        placed.groupBy("class_id")
+        .agg(
+            F.greatest(
+                F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_MEMBERS))
+            ).cast("int").alias("blocks")
+        )
+        .where("blocks > 1")
+    )
+    ids = placed.select(F.col("set_id").alias("doc_id")).distinct()
+    if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    schema = pa.schema(
+        [("set_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("members", pa.binary())]
+    )
+
+    def pack(batch: pa.RecordBatch):
+        sets = [shingle_set(x.as_py(), width) for x in batch.column(1)]
+        digests = np.array([digest(x) for x in sets], dtype=np.uint64).reshape(-1, 2)
+        yield [
+            batch.column(0),
+            pa.array([len(x) for x in sets], pa.int64()),
+            _signed(digests[:, 0]),
+            _signed(digests[:, 1]),
+            pa.array([x.tobytes() for x in sets], pa.binary()),
+        ]
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    packed = texts.join(ids, "doc_id", "left_semi").mapInArrow(
+        _batches(pack, schema), "set_id long, n long, d1 long, d2 long, members binary"
+    )
+    rows = (
+        placed.join(packed, ["set_id", "n", "d1", "d2"])
+        .join(F.broadcast(large), "class_id", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("n", "d1", "d2"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "class_id",
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            "n",
+            "d1",
+            "d2",
+            "own",
+            "copies",
+            "members",
+        )
+    )
+    out = pa.schema([("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("linked", pa.int64())])
+
+    def counted(group: pa.Table, i: int, j: int) -> pa.RecordBatch:
+        n, d1, d2, own, copies = (group.column(k).to_numpy() for k in range(3, 8))
+        # Rows that repeat an id and its text are one set.
+        first = np.unique(np.stack([n, d1, d2]), axis=1, return_index=True)[1]
+        blobs = group.column(8).to_pylist()
+        sets = [np.frombuffer(blobs[k], dtype=np.uint64) for k in first]
+        linked = linked_rows(sets, own[first], copies[first], i, j, num, den)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (n[first], d1[first], d2[first], linked)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def groups(table: pa.Table, last: bool):
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)])
+            starts = np.flatnonzero(np.append(True, np.any(keys[:, 1:] != keys[:, :-1], axis=0)))
+            ends = np.append(starts[1:], table.num_rows)
+            whole = len(starts) if last else len(starts) - 1
+            for s, e in zip(starts[:whole], ends[:whole], strict=True):
+                if e - s > 1:
+                    yield counted(table.slice(s, e - s), keys[1, s], keys[2, s])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                yield from groups(table, last=False)
+                keys = np.stack([table.column(k).to_numpy() for k in range(3)])
+                change = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0))
+                rest = table.slice(int(change[-1]) + 1 if len(change) else 0)
+        if rest is not None:
+            yield from groups(rest, last=True)
+
+    return (
+        rows.repartition("class_id", "i", "j")
+        .sortWithinPartitions("class_id", "i", "j")
+        .mapInArrow(run, "n long, d1 long, d2 long, linked long")
+        .groupBy("n", "d1", "d2")
+        .agg(F.sum("linked").alias("linked"))
+    )
+
+
 def ngram_classes(
-    docs: DataFrame, width: int = 4, num: int = 85, den: int = 100
+    docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, *, count_links: bool = True
 ) -> DataFrame:
     """Per document the size of its n-gram set and the smallest id reachable by links.
 
@@ -451,8 +591,8 @@ def ngram_classes(
     class null. An empty table gives an empty result.
 
     Returns doc_id, n_shingles, component_id, copies (documents with an equal set)
-    and links (pairs found between this document and others, an equal set counting
-    once): enough links to make the classes, not all of them.
+    and, unless `count_links` is false, links: how many other documents it links with, all of
+    them, copies among them. Pairs are not written out.
     """
     spark = docs.sparkSession
     with rows_per_batch(spark, TEXTS_PER_BATCH):
@@ -546,34 +686,23 @@ def ngram_classes(
         links = settle(links.union(exact(pairs, "last")), "ngram-links")
         classes = connected_classes(links)
 
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("set_id"))
-        .groupBy("set_id")
-        .agg(F.count("*").alias("links"))
-    )
-    labelled = (
-        equal.join(classes.select(F.col("id").alias("set_id"), "class_id"), "set_id", "left")
-        .join(degree, "set_id", "left")
-        .select(
-            "n",
-            "d1",
-            "d2",
-            F.coalesce("class_id", "set_id").alias("class_id"),
-            "copies",
-            F.coalesce("links", F.lit(0)).alias("links"),
-        )
-    )
-    return (
-        described.select("doc_id", "n", "d1", "d2")
-        .join(labelled, ["n", "d1", "d2"], "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("class_id", "doc_id").alias("component_id"),
-            F.coalesce("copies", F.lit(1)).alias("copies"),
-            F.coalesce("links", F.lit(0)).alias("links"),
-        )
-    )
+    labelled = equal.join(
+        classes.select(F.col("id").alias("set_id"), "class_id"), "set_id", "left"
+    ).withColumn("class_id", F.coalesce("class_id", "set_id"))
+    result = [
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("class_id", "doc_id").alias("component_id"),
+        F.coalesce("copies", F.lit(1)).alias("copies"),
+    ]
+    if count_links:
+        with rows_per_batch(spark, SETS_PER_BATCH):
+            counts = settle(_link_counts(classes, equal, docs, width, num, den), "ngram-counts")
+        labelled = labelled.join(counts, ["n", "d1", "d2"], "left")
+        others = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+        result.append(F.when(F.col("doc_id").isNotNull(), F.coalesce(others, F.lit(0))).otherwise(0).alias("links"))
+    labelled = labelled.drop("set_id", "bits")
+    return described.select("doc_id", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"], "left").select(result)
 
 
 def first_of_each_class(
@@ -584,7 +713,7 @@ def first_of_each_class(
     All columns and rows of what is kept stay as they are; documents without
     words, and rows without an id, are all kept.
     """
-    classes = ngram_classes(docs, width, num, den)
+    classes = ngram_classes(docs, width, num, den, count_links=False)
     repeated = (
         classes.where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
     )
