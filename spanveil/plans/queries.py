@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,12 @@ from spanveil.streaming.incremental import committed, run_incremental, write_bat
 from spanveil.streaming.trends import start_trend, trend_so_far
 
 Query = Callable[[SparkSession, str], DataFrame]
+Reader = Callable[[SparkSession, str, str], DataFrame]
 
 
 NAMED_KINDS = ["PERSON_NAME", "LOCATION", "ORGANIZATION", "SOMETHING_ELSE"]
+# Texts of the log are short, so a task gets more of its rows.
+LOG_ROWS_PER_TASK = 25_000
 # Some of the files of ``upload_outcomes`` are a character too long.
 UPLOAD_LIMIT = 26
 
@@ -63,14 +67,14 @@ def _files(spark: SparkSession, directory: str) -> DataFrame:
     return C.run(spark, directory, C.FILES, "orders")
 
 
-def _actions(spark: SparkSession, directory: str) -> DataFrame:
-    return C.run(spark, directory, C.ACTIONS, "events").withColumn(
+def _actions(spark: SparkSession, directory: str, read: Reader = read_table) -> DataFrame:
+    return C.run(spark, directory, C.ACTIONS, "events", read=read).withColumn(
         "success", F.col("success") == 1
     )
 
 
-def _log(spark: SparkSession, directory: str) -> DataFrame:
-    named = _actions(spark, directory).withColumn(
+def _log(spark: SparkSession, directory: str, read: Reader = read_table) -> DataFrame:
+    named = _actions(spark, directory, read).withColumn(
         "filename", F.concat(F.lit("Report_"), F.col("file_id"))
     )
     return audit.log_events(named, _users(spark, directory))
@@ -701,7 +705,7 @@ def search_files_by_index(spark: SparkSession, directory: str) -> DataFrame:
 
 def detected_values_in_log(spark: SparkSession, directory: str) -> DataFrame:
     """Names of users, which no pattern finds, in file names of the log."""
-    log = _log(spark, directory)
+    log = _log(spark, directory, partial(read_spread, rows_per_task=LOG_ROWS_PER_TASK))
     named = F.concat(F.lit("Statement of "), F.col("username"), F.lit(".txt"))
     told = log.withColumn("filename", F.when(F.col("id") % 3 == 0, named).otherwise(F.col("filename")))
     values = _users(spark, directory).select(
