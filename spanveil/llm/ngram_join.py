@@ -14,7 +14,8 @@ fraction of whole numbers so that no rounding decides. The join is exact:
   members, not with their square. Classes follow from the links; a tile whose
   members are all of one class is done. The others take another leader, and what
   is still open after that is compared by pairs of different classes, in
-  blocks of bounded size.
+  blocks of bounded size. Linking sets agree in many slices, so that a set's largest tiles,
+  one less than it must share, are left out there.
 - Each pair is tested on *bitmap signatures* first: members of one set whose bit
   is not set in the other cannot be shared, so bit counts bound the overlap from
   above. What passes is settled by intersecting the sorted sets.
@@ -56,6 +57,8 @@ SALTS = 1024
 LEADERS = 2
 #: Open members from which a tile leaves pairs to an earlier tile that they share.
 CROWDED = 64
+#: Of its crowded tiles, those that a set shows to leave pairs to one of them.
+SHOWN = 16
 #: Rows of blocks that a worker gets at a time.
 ROWS_PER_BATCH = 2000
 #: Most ids that are sent to the executors to choose texts, of 8 bytes each; more are joined.
@@ -86,12 +89,16 @@ def slices_of(last: int, num: int, den: int) -> tuple[int, int]:
     return most + 1 + max(2, most // 8), most
 
 
-def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tiles of one set of sorted distinct hashes."""
+def tiles_of(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """The tiles of one set of sorted distinct hashes, and how many of them a linking set shares.
+
+    The lowest bit of a tile tells even bands from odd ones. What is shared at least is given
+    for both, 0 if the set has no tiles there.
+    """
     size = len(hashes)
     edges = band_edges(1 << (size - 1).bit_length(), num, den)
     band = bisect_right(edges, size) - 1
-    keys = []
+    keys, least = [], [0, 0]
     # In the next band, only if a partner can be so large.
     reach = [band] + [band + 1] * (size * den >= num * edges[band + 1])
     scattered = mix(hashes)
@@ -107,11 +114,21 @@ def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         tag = mix(
             np.arange(count, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(one + 1)
         )
-        own = mix(sums + tag)
+        own = (mix(sums + tag) & ~np.uint64(1)) | np.uint64(one & 1)
         # Of `count` slices at least count - most agree. If that many are empty, they could
         # be the ones that agree, so such a set shows its empty slices too.
         keys.append(own if empty >= count - most else own[members > 0])
-    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+        # As for `most`, with the size of this set and the largest one that links with it. A
+        # slice that agrees and isn't empty is shown by both.
+        other = min(edges[one + 1] - 1, size * den // num)
+        differ = (size + other) * (den - num) // (den + num)
+        least[one & 1] = max(1, count - differ - empty)
+    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64), least
+
+
+def tile_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The tiles of one set of sorted distinct hashes."""
+    return tiles_of(hashes, num, den)[0]
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -166,7 +183,10 @@ def digest(found: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Per document its set's size, a 128-bit digest of the set, signature and tiles."""
+    """Per document its set's size, a 128-bit digest of the set, signature and tiles.
+
+    `even` and `odd` are what `tiles_of` says to be shared; 0 for a copy without tiles.
+    """
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -175,12 +195,14 @@ def _describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             ("d2", pa.int64()),
             ("bits", pa.binary()),
             ("tiles", pa.binary()),
+            ("even", pa.int64()),
+            ("odd", pa.int64()),
         ]
     )
 
     def make(batch: pa.RecordBatch):
         ids, texts = batch.column(0), batch.column(1)
-        n, d1, d2, bits, tiles = [], [], [], [], []
+        n, d1, d2, bits, tiles, shared = [], [], [], [], [], []
         seen: set[tuple[int, int, int]] = set()
         for doc_id, text in zip(ids, texts, strict=True):
             found = shingle_set(text.as_py(), width)
@@ -194,7 +216,9 @@ def _describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             d2.append(two)
             bits.append(signature(found))
             # A copy in the same batch has nothing to add.
-            tiles.append(b"" if known or not len(found) else tile_keys(found, num, den).tobytes())
+            keys, least = (b"", [0, 0]) if known or not len(found) else tiles_of(found, num, den)
+            tiles.append(bytes(keys))
+            shared.append(least)
         yield [
             ids,
             pa.array(n, pa.int64()),
@@ -202,11 +226,13 @@ def _describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             _signed(np.array(d2, dtype=np.uint64)),
             pa.array(bits, pa.binary()),
             pa.array(tiles, pa.binary()),
+            *[pa.array([least[k] for least in shared], pa.int64()) for k in (0, 1)],
         ]
 
     frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return frame.mapInArrow(
-        _batches(make, schema), "doc_id long, n long, d1 long, d2 long, bits binary, tiles binary"
+        _batches(make, schema),
+        "doc_id long, n long, d1 long, d2 long, bits binary, tiles binary, even long, odd long",
     )
 
 
@@ -320,35 +346,72 @@ def _ordered(one: str, two: str) -> list:
 
 
 def _open_tiles(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of tiles that hold several classes, with their class."""
+    """Members of tiles that hold several classes, with their class.
+
+    Two sets that are alone in a tile have been compared there.
+    """
     placed = members.join(
         classes.select(F.col("id").alias("set_id"), "class_id"), "set_id", "left"
     ).withColumn("class_id", F.coalesce("class_id", "set_id"))
     spread = (
         placed.groupBy("tile")
+        .agg(
+            F.min("class_id").alias("low"),
+            F.max("class_id").alias("high"),
+            F.count("*").alias("sets"),
+        )
+        .where("low < high and sets > 2")
+        .select("tile")
+    )
+    return placed.join(spread, "tile")
+
+
+def _rarest_tiles(open_members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Open tiles without those that a set can do without.
+
+    Sets that link and are of different classes have so many open tiles in common that, of those
+    of either in order of size, the first one in common comes before its last `least - 1`.
+    """
+    sized = open_members.join(
+        open_members.groupBy("tile").agg(F.count("*").alias("size")), "tile"
+    ).withColumn("is_odd", F.col("tile").bitwiseAND(F.lit(1)))
+    least = F.greatest(F.when(F.col("is_odd") == 1, F.col("odd")).otherwise(F.col("even")), F.lit(1))
+    # At most the tiles of one set.
+    own = Window.partitionBy("set_id", "is_odd")
+    kept = (
+        sized.join(shared, "set_id")
+        .withColumn("place", F.row_number().over(own.orderBy("size", "tile")))
+        .withColumn("held", F.count("*").over(own))
+        .where(F.col("place") <= F.col("held") - least + 1)
+        .select("tile", "set_id", "class_id")
+    )
+    spread = (
+        kept.groupBy("tile")
         .agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"))
         .where("low < high")
         .select("tile")
     )
-    return placed.join(spread, "tile")
+    return kept.join(spread, "tile")
 
 
 def _blocks(open_members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets of different classes in one tile that signatures allow, block by block.
 
-    Near copies meet in many tiles. A pair of a crowded tile leaves it from the first crowded
-    tile that both sets are in only; their other tiles, too, hold both, and are open, as the
-    classes differ.
+    Near copies meet in many tiles. Of its crowded tiles a set shows the largest ones, and a pair
+    doesn't leave a crowded tile if both sets show one that comes before it; that tile, too,
+    holds both, and is open, as the classes differ.
     """
     counts = open_members.groupBy("tile").agg(F.count("*").alias("size")).select(
         "tile",
+        F.col("size"),
         F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"),
         (F.col("size") >= CROWDED).alias("crowded"),
     )
     placed = open_members.join(counts, "tile")
     # At most the tiles of one set, which are fewer than its members.
+    largest = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "tile")))
     lists = (
-        placed.where("crowded").groupBy("set_id").agg(F.array_sort(F.collect_list("tile")).alias("tiles"))
+        placed.where("crowded").groupBy("set_id").agg(F.slice(largest, 1, SHOWN)["tile"].alias("tiles"))
     )
     rows = (
         placed.join(lists, "set_id", "left")
@@ -383,7 +446,10 @@ def _blocks(open_members: DataFrame, sizes: DataFrame, num: int, den: int) -> Da
                 fits &= ids[right] > ids[x]
             if tiles is not None:
                 for y in np.flatnonzero(fits).tolist():
-                    fits[y] = np.intersect1d(tiles[x], tiles[right[y]], assume_unique=True)[0] == tile
+                    # Of the tiles that either shows; those that it doesn't show come later.
+                    both = np.flatnonzero(np.isin(tiles[x], tiles[right[y]]))
+                    here = np.flatnonzero(tiles[x] == tile)
+                    fits[y] = not len(both) or (len(here) > 0 and here[0] <= both[0])
             a.append(np.full(int(fits.sum()), ids[x]))
             b.append(ids[right[fits]])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -604,6 +670,8 @@ def ngram_classes(
             F.min("doc_id").alias("set_id"),
             F.count("*").alias("copies"),
             F.min("bits").alias("bits"),
+            F.max("even").alias("even"),
+            F.max("odd").alias("odd"),
         ),
         "ngram-equal",
     )
@@ -680,7 +748,8 @@ def ngram_classes(
         classes = connected_classes(links)
         remaining = settle(_open_tiles(members, classes), "ngram-open")
     if not remaining.isEmpty():
-        pairs = _blocks(remaining, sizes, num, den).join(tried, ["a", "b"], "left_anti")
+        rarest = settle(_rarest_tiles(remaining, equal.select("set_id", "even", "odd")), "ngram-rare")
+        pairs = _blocks(rarest, sizes, num, den).join(tried, ["a", "b"], "left_anti")
         with rows_per_batch(spark, ROWS_PER_BATCH):
             pairs = settle(pairs, "ngram-blocks")
         links = settle(links.union(exact(pairs, "last")), "ngram-links")
@@ -701,7 +770,7 @@ def ngram_classes(
         labelled = labelled.join(counts, ["n", "d1", "d2"], "left")
         others = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
         result.append(F.when(F.col("doc_id").isNotNull(), F.coalesce(others, F.lit(0))).otherwise(0).alias("links"))
-    labelled = labelled.drop("set_id", "bits")
+    labelled = labelled.drop("set_id", "bits", "even", "odd")
     return described.select("doc_id", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"], "left").select(result)
 
 
